@@ -50,6 +50,19 @@ def trailing(fn: Callable[[Column], Column], y: Column, order: WindowSpec, n: in
     return full_frame(fn, y, order, -(n - 1) - back, -back)
 
 
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows without any null.
+
+    One condition per column: the optimizer derives facts from each alone,
+    where the single many-column test of ``na.drop`` makes it try every
+    combination of column aliases.
+    """
+    keep = F.lit(True)
+    for c in df.columns:
+        keep = keep & F.col(c).isNotNull()
+    return df.where(keep)
+
+
 # ---- calendar ------------------------------------------------------------
 
 def period_start(ts: str | Column, freq: str) -> Column:

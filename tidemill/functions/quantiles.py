@@ -4,7 +4,7 @@ Spark's exact ``percentile`` keeps a value -> count map per group in one task,
 which is right for a series already reduced to periods and wrong for raw rows.
 Here a mergeable sketch first brackets each wanted rank; one pass then counts
 everything outside the brackets in a handful of groups and keeps only values
-inside them, so the ordered step sees about ``4 / accuracy`` of the rows per
+inside them, so the ordered step sees about ``8 / accuracy`` of the rows per
 probability however the keys are skewed. The answer is exact: if a sketch ever
 missed its rank the job fails instead of returning a wrong value.
 """
@@ -32,8 +32,8 @@ def exact_quantiles(
 
     ``rule``: ``linear`` interpolates between ranks, ``floor`` takes the sorted
     value at index ``floor(n * p)``. Raise ``accuracy`` with the size of a key:
-    the ordered step holds about ``4 n / accuracy`` distinct values per
-    probability.
+    the ordered step holds about ``8 n / accuracy`` distinct values per
+    probability, or the whole key while n is at most ``accuracy``.
     """
     if rule not in ("linear", "floor"):
         raise ValueError(f"unknown rule {rule!r}")
@@ -41,15 +41,18 @@ def exact_quantiles(
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy
     edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_v", edges, accuracy).alias("edges"))
+    sketch = rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", edges, accuracy).alias("edges"), F.count("*").alias("size")
+    )
     near = attach(rows, sketch, keys, "_s")
 
     def edge(i: int) -> Column:
         return F.col("_s.edges")[i]
 
-    inside = F.lit(False)
+    # a bracket narrower than a few ranks proves nothing, so small keys (bounded by accuracy) are kept whole
+    inside = F.col("_s.size") <= accuracy
     above = F.lit(0)
     for i in range(len(probs)):
         inside = inside | F.col("_v").between(edge(2 * i), edge(2 * i + 1))

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import attach, by_time, change_rate, per_series, ratio, trailing
+from ..functions.columns import attach, by_time, change_rate, complete_rows, per_series, ratio, trailing
 from .profile import numeric_columns, top_k_features
 from .resample import season_columns
 
@@ -117,7 +117,7 @@ def all_features(
         out |= trend_columns(keys, ts, y)
     if statistical:
         out |= statistical_columns(keys, ts, y)
-    return df.withColumns(out).na.drop()
+    return complete_rows(df.withColumns(out))
 
 
 def model_feature_columns(
@@ -162,7 +162,7 @@ def model_features(
     df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y", lagged: bool = False, **options
 ) -> DataFrame:
     """Regression feature set, rows with nulls dropped."""
-    return df.withColumns(model_feature_columns(keys, ts, y, lagged=lagged, **options)).na.drop()
+    return complete_rows(df.withColumns(model_feature_columns(keys, ts, y, lagged=lagged, **options)))
 
 
 def lookback_sequences(

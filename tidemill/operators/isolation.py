@@ -106,8 +106,8 @@ def _seed_of(seed: int, tree: int) -> np.random.Generator:
 
 def _pick(hashes: np.ndarray, tree: int, seed: int, size: int) -> np.ndarray:
     """Indices of the ``size`` smallest re-hashed ids: the tree's sample, free of row order."""
-    salt = np.uint64((seed * 1_000_003 + tree + 1) & 0xFFFFFFFF)
-    mixed = (hashes.view(np.uint64) ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+    salt = np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    mixed = (np.ascontiguousarray(hashes).view(np.uint64) ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
     mixed ^= mixed >> np.uint64(33)
     return np.lexsort((hashes, mixed))[:size]
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import by_time, complete_rows
 from ..operators import features, profile
 from . import panels
 from .panels import NATION_M
@@ -176,10 +177,10 @@ def _scaled(method: str, expr: str) -> None:
     @query(f"scale_{method}", "nation:i ts:d y:2 y_lag_1:6 linear_trend:6 month:6", sql)
     def _run(spark, sf):
         df = panels.nation_monthly(spark, sf)
-        w = features.by_time(["nation"])
-        made = df.withColumns(
-            {"y_lag_1": F.lag("y").over(w), "linear_trend": F.row_number().over(w) - 1, "month": F.month("ts")}
-        ).na.drop()
+        w = by_time(["nation"])
+        made = complete_rows(
+            df.withColumns({"y_lag_1": F.lag("y").over(w), "linear_trend": F.row_number().over(w) - 1, "month": F.month("ts")})
+        )
         return features.scale_features(made, method, "y", ["nation"], cols)
 
 
@@ -199,7 +200,7 @@ SELECT nation, ts, y * before AS first_second, y * month AS first_month, before
 )
 def _interactions(spark, sf):
     df = panels.nation_monthly(spark, sf).withColumn("y", F.col("y") / 1000000)
-    df = df.withColumns({"before": F.lag("y").over(features.by_time(["nation"])), "month": F.month("ts")}).na.drop()
+    df = complete_rows(df.withColumns({"before": F.lag("y").over(by_time(["nation"])), "month": F.month("ts")}))
     out = features.interaction_features(df, ["y", "before", "month"], 3)
     renamed = {"y before": "first_second", "y month": "first_month", "before month": "second_month", "y before month": "all_three"}
     return out.withColumnsRenamed(renamed)
