@@ -37,6 +37,13 @@ def change_rate(y: Column, before: Column) -> Column:
     return ratio(y - before, before)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over complete pairs, null where either side does not vary."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def full_frame(
     fn: Callable[[Column], Column], y: Column, order: WindowSpec, first: int, last: int
 ) -> Column:
@@ -127,6 +134,18 @@ def sample_kurtosis(y: str | Column) -> Column:
     )
 
 
+# ---- spreading heavy groups -------------------------------------------------
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over the session's shuffle width before a compute-heavy grouped step.
+
+    Such groups are small in bytes, so left alone adaptive execution would pack
+    many into one task; a stated width is kept, and the grouping reuses it.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys) if keys else df
+
+
 # ---- attaching aggregates to rows -------------------------------------------
 
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_time
-from .features import apply_scaler, fit_scaler
+from ..functions.columns import attach, by_time, per_series, ratio, spread
 
 # Fixed value: rows each tree is grown on.
 SAMPLE = 256
 EULER = 0.5772156649015329
+TREE_BLOCK = 10
+# Trees of a forest as three (tree, node) arrays; node i has children 2i+1 and 2i+2.
+Forest = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -34,87 +36,73 @@ def expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rows (feature, cut, left, right) of one random tree; a leaf holds (-1, path beyond it, -1, -1)."""
-    limit = max(1, math.ceil(math.log2(max(len(points), 2))))
-    nodes: list[list[float]] = []
-    waiting = [(points, 0, -1, 0)]
-    while waiting:
-        rows, depth, parent, side = waiting.pop()
-        here = len(nodes)
-        if parent >= 0:
-            nodes[parent][side] = here
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        choices = np.flatnonzero(high > low)
-        if depth >= limit or len(choices) == 0:
-            nodes.append([-1, depth + float(expected_path(len(rows))), -1, -1])
-            continue
-        f = int(rng.choice(choices))
-        cut = rng.uniform(low[f], high[f])
-        goes = rows[:, f] < cut
-        if not goes.any() or goes.all():
-            nodes.append([-1, depth + float(expected_path(len(rows))), -1, -1])
-            continue
-        nodes.append([f, cut, 0, 0])
-        waiting.append((rows[goes], depth + 1, here, 2))
-        waiting.append((rows[~goes], depth + 1, here, 3))
-    return np.array(nodes)
-
-
-def path_lengths(points: np.ndarray, tree: np.ndarray) -> np.ndarray:
-    """Depth at which each point ends, all points descending together."""
-    at = np.zeros(len(points), dtype=int)
-    while True:
-        feature = tree[at, 0].astype(int)
-        moving = np.flatnonzero(feature >= 0)
-        if len(moving) == 0:
-            return tree[at, 1]
-        left = points[moving, feature[moving]] < tree[at[moving], 1]
-        at[moving] = np.where(left, tree[at[moving], 2], tree[at[moving], 3]).astype(int)
-
-
-def forest_score(points: np.ndarray, forest: Sequence[np.ndarray], sample: int) -> np.ndarray:
-    total = np.zeros(len(points))
-    for tree in forest:
-        total += path_lengths(points, tree)
-    return np.power(2.0, -(total / len(forest)) / max(float(expected_path(sample)), 1e-12))
-
-
-def _prepared(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], features: Sequence[str], scale: str) -> DataFrame:
-    """Features standardised per key as ``_x`` (array), nulls filled, and the row's hash ``_h``."""
-    work = df.select(*df.columns, *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)])
-    names = [f"_f{i}" for i in range(len(features))]
-    if scale == "series":
-        w = by_time(keys, row_id[0])
-        work = work.withColumns(
-            {
-                n: F.coalesce(
-                    F.last(n, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(n, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-                )
-                for n in names
-            }
-        )
-        scaled = apply_scaler(work, fit_scaler(work, names, "standard", keys), keys)
-    else:
-        scaled = apply_scaler(work, fit_scaler(work, names, "standard", keys), keys).na.fill(0.0, names)
-    return scaled.withColumns({"_x": F.array(*names), "_h": F.xxhash64(*keys, *row_id)}).drop(*names)
-
-
-def _seed_of(seed: int, tree: int) -> np.random.Generator:
-    return np.random.default_rng([seed, tree])
-
+def grow_forest(samples: np.ndarray, seed: Sequence[int]) -> Forest:
+    """Random trees on samples of shape (trees, rows, features), all trees growing level by level together.
 
-def _pick(hashes: np.ndarray, tree: int, seed: int, size: int) -> np.ndarray:
-    """Indices of the ``size`` smallest re-hashed ids: the tree's sample, free of row order."""
-    salt = np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    mixed = (np.ascontiguousarray(hashes).view(np.uint64) ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
-    mixed ^= mixed >> np.uint64(33)
-    return np.lexsort((hashes, mixed))[:size]
-
-
-def _grown(points: np.ndarray, hashes: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    chosen = _pick(hashes, tree, seed, min(SAMPLE, len(points)))
-    return grow_tree(points[chosen], _seed_of(seed, tree))
+    ``feature`` is -1 at a leaf, whose ``path`` is its depth plus the expected
+    path through the rows that share it.
+    """
+    n_trees, n_rows, n_features = samples.shape
+    depth_limit = max(1, math.ceil(math.log2(max(n_rows, 2))))
+    n_nodes = 2 ** (depth_limit + 1) - 1
+    rng = np.random.default_rng(list(seed))
+    feature = np.full(n_trees * n_nodes, -1)
+    cut, path = np.zeros(n_trees * n_nodes), np.zeros(n_trees * n_nodes)
+    offset = np.repeat(np.arange(n_trees) * n_nodes, n_rows)
+    points, at = samples.reshape(-1, n_features), np.zeros(n_trees * n_rows, dtype=int)
+    for depth in range(depth_limit):
+        level = np.arange(2**depth - 1, 2 ** (depth + 1) - 1)
+        nodes = (np.arange(n_trees)[:, None] * n_nodes + level).ravel()
+        low = np.full((n_trees * n_nodes, n_features), np.inf)
+        high = np.full((n_trees * n_nodes, n_features), -np.inf)
+        np.minimum.at(low, offset + at, points)
+        np.maximum.at(high, offset + at, points)
+        preference = rng.random((len(nodes), n_features)) * (high[nodes] > low[nodes])
+        place = rng.random(len(nodes))
+        chosen = preference.argmax(axis=1)
+        splits = preference[np.arange(len(nodes)), chosen] > 0
+        where, f = nodes[splits], chosen[splits]
+        feature[where] = f
+        cut[where] = low[where, f] + place[splits] * (high[where, f] - low[where, f])
+        here = offset + at
+        moving = (feature[here] >= 0) & (at >= level[0])
+        goes_right = points[np.arange(len(points)), np.maximum(feature[here], 0)] >= cut[here]
+        at = np.where(moving, 2 * at + 1 + goes_right, at)
+    held = np.bincount(offset + at, minlength=n_trees * n_nodes)
+    depth_of = np.floor(np.log2(np.arange(n_nodes) + 1))
+    path[:] = np.tile(depth_of, n_trees) + expected_path(held)
+    shape = (n_trees, n_nodes)
+    return feature.reshape(shape), cut.reshape(shape), path.reshape(shape)
+
+
+def forest_score(points: np.ndarray, forest: Forest, sample: int) -> np.ndarray:
+    """2 ** (-mean path / expected path): every point descends every tree together."""
+    feature, cut, path = forest
+    trees = np.arange(len(feature))[:, None]
+    at = np.zeros((len(feature), len(points)), dtype=int)
+    rows = np.arange(len(points))[None, :]
+    while True:
+        f = feature[trees, at]
+        inner = f >= 0
+        if not inner.any():
+            break
+        right = points[rows, np.maximum(f, 0)] >= cut[trees, at]
+        at = np.where(inner, 2 * at + 1 + right, at)
+    mean_path = path[trees, at].mean(axis=0)
+    return np.power(2.0, -mean_path / max(float(expected_path(sample)), 1e-12))
+
+
+def draw_samples(points: np.ndarray, hashes: np.ndarray, trees: Sequence[int], seed: int) -> np.ndarray:
+    """Per tree, the rows with the smallest re-hashed ids: uniform samples that ignore row order."""
+    size = min(SAMPLE, len(points))
+    ids = np.ascontiguousarray(hashes).view(np.uint64)
+    out = np.empty((len(trees), size, points.shape[1]))
+    for i, tree in enumerate(trees):
+        salt = np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        mixed = (ids ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(33)
+        out[i] = points[np.lexsort((ids, mixed))[:size]]
+    return out
 
 
 def isolation_scores(
@@ -126,66 +114,99 @@ def isolation_scores(
     seed: int = 42,
     trees: int = 100,
 ) -> DataFrame:
-    """The frame with ``outlier_score_isolation``.
+    """The frame with ``outlier_score_isolation`` (0..1, higher is odder).
 
+    Features are standardised per key (population std, a constant one is 0).
     ``row_id`` identifies a row within its key and seeds the samples. For
-    ``scale="rows"`` there is one forest over all rows (features standardised
-    per key); for ``scale="series"`` one forest per key.
+    ``scale="series"`` nulls are filled in time order first and each key has its
+    own forest; for ``scale="rows"`` nulls count as the key's mean and there is
+    one forest over all rows.
     """
-    work = _prepared(df, keys, row_id, features, scale)
     if scale == "rows":
-        return _score_rows(work, df.columns, seed, trees)
+        return _score_rows(df, keys, row_id, features, seed, trees)
+    order, whole = by_time(keys, row_id[0]), per_series(keys)
+    filled = {
+        f"_f{i}": F.coalesce(
+            F.last(c, True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            F.first(c, True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+        ).cast("double")
+        for i, c in enumerate(features)
+    }
+    scaled = [
+        F.coalesce(ratio(F.col(f) - F.avg(f).over(whole), F.stddev_pop(f).over(whole)), F.lit(0.0)) for f in filled
+    ]
+    work = df.withColumns(filled).withColumns({"_x": F.array(*scaled), "_h": F.xxhash64(*keys, *row_id)}).drop(*filled)
     schema = T.StructType([*work.schema.fields, T.StructField("outlier_score_isolation", T.DoubleType())])
 
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
         points, hashes = np.vstack(pdf["_x"].to_numpy()).astype(float), pdf["_h"].to_numpy()
-        forest = [_grown(points, hashes, t, seed) for t in range(trees)]
-        scores = forest_score(points, forest, min(SAMPLE, len(points)))
-        return pdf.assign(outlier_score_isolation=scores)
+        forest = grow_forest(draw_samples(points, hashes, range(trees), seed), [seed])
+        return pdf.assign(outlier_score_isolation=forest_score(points, forest, min(SAMPLE, len(points))))
 
-    return work.groupBy(*keys).applyInPandas(one_series, schema).drop("_x", "_h")
+    return spread(work, *keys).groupBy(*keys).applyInPandas(one_series, schema).drop("_x", "_h")
 
 
-def _score_rows(work: DataFrame, columns: Sequence[str], seed: int, trees: int) -> DataFrame:
-    """One forest for all rows: pool -> trees in parallel -> broadcast nodes -> vectorised scoring.
+def _score_rows(
+    df: DataFrame, keys: Sequence[str], row_id: Sequence[str], features: Sequence[str], seed: int, trees: int
+) -> DataFrame:
+    """One forest for all rows: pool -> trees grown in blocks -> broadcast nodes -> vectorised scoring.
 
     The pool is the ``trees * SAMPLE`` rows with the smallest hashes, a uniform
     sample of fixed size found by a top-k, not a sort. Sampling is part of the
     method; every row is scored.
     """
-    pool_rows = (
+    facts = df.groupBy(*keys).agg(
+        *[
+            F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(f"f{i}")
+            for i, c in enumerate(features)
+        ]
+    )
+    scaled = [
+        F.coalesce(ratio(F.col(c) - F.col(f"_s.f{i}.mean"), F.col(f"_s.f{i}.std")), F.lit(0.0))
+        for i, c in enumerate(features)
+    ]
+    work = attach(df, facts, keys, "_s").withColumns(
+        {"_x": F.array(*scaled), "_h": F.xxhash64(*keys, *row_id)}
+    )
+    pool = (
         work.select("_h", "_x")
-        .orderBy("_h", F.col("_x"))
+        .orderBy("_h", "_x")
         .limit(trees * SAMPLE)
-        .select(F.struct("_h", "_x").alias("_p"))
+        .agg(F.collect_list("_h").alias("hashes"), F.collect_list("_x").alias("points"))
     )
-    pool = pool_rows.agg(F.collect_list("_p").alias("pool"))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for tree, packed in zip(pdf["tree"], pdf["pool"]):
-                hashes = np.array([p["_h"] for p in packed], dtype=np.int64)
-                points = np.array([p["_x"] for p in packed], dtype=float)
-                nodes = _grown(points, hashes, int(tree), seed)
-                yield pd.DataFrame({"tree": [int(tree)], "size": [min(SAMPLE, len(points))], "nodes": [nodes.ravel()]})
-
-    # the pool is bounded by trees * SAMPLE rows; each tree re-samples it by its own hash order
-    spread = pool.select("pool", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    grown = (
-        spread.repartition(trees, "tree").mapInPandas(build, "tree int, size int, nodes array<double>").collect()
-    )
-    grown = sorted(grown, key=lambda r: r["tree"])
-    spark = work.sparkSession
-    shared = spark.sparkContext.broadcast(
-        ([np.array(r["nodes"]).reshape(-1, 4) for r in grown], grown[0]["size"] if grown else 1)
+            for block, hashes, packed in zip(pdf["block"], pdf["hashes"], pdf["points"]):
+                if len(hashes) == 0:
+                    continue
+                points = np.vstack(packed).astype(float)
+                mine = range(block * TREE_BLOCK, min((block + 1) * TREE_BLOCK, trees))
+                forest = grow_forest(draw_samples(points, np.asarray(hashes, dtype=np.int64), mine, seed), [seed, block])
+                flat = [part.astype(float).ravel() for part in forest]
+                yield pd.DataFrame(
+                    {"block": [block], "n_trees": [len(mine)], "size": [min(SAMPLE, len(points))],
+                     "feature": [flat[0]], "cut": [flat[1]], "path": [flat[2]]}
+                )
+
+    blocks = F.sequence(F.lit(0), F.lit((trees - 1) // TREE_BLOCK))
+    grown = spread(pool.withColumn("block", F.explode(blocks)), "block").mapInPandas(
+        build, "block int, n_trees int, size int, feature array<double>, cut array<double>, path array<double>"
     )
+    parts = sorted(grown.collect(), key=lambda r: r["block"])  # a bounded number of nodes
 
-    @F.pandas_udf(T.DoubleType())
-    def score(x: pd.Series) -> pd.Series:
-        forest, size = shared.value
-        return pd.Series(forest_score(np.vstack(x.to_numpy()).astype(float), forest, size))
+    def stacked(name: str) -> np.ndarray:
+        return np.vstack([np.array(r[name]).reshape(r["n_trees"], -1) for r in parts])
 
-    return work.withColumn("outlier_score_isolation", score("_x")).select(*columns, "outlier_score_isolation")
+    if parts:
+        forest = (stacked("feature").astype(int), stacked("cut"), stacked("path"))
+        shared = df.sparkSession.sparkContext.broadcast((forest, parts[0]["size"]))
+    else:
+        shared = df.sparkSession.sparkContext.broadcast(None)
 
+    @F.pandas_udf(T.DoubleType())
+    def score(x: pd.Series) -> pd.Series:
+        trained, size = shared.value
+        return pd.Series(forest_score(np.vstack(x.to_numpy()).astype(float), trained, size))
 
-__all__ = ["isolation_scores"]
+    return work.withColumn("outlier_score_isolation", score("_x")).select(*df.columns, "outlier_score_isolation")

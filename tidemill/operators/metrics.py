@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_time, per_series, ratio, sample_kurtosis, sample_skewness
+from ..functions.columns import by_time, correlation, per_series, ratio, sample_kurtosis, sample_skewness
 from ..functions.student import t_quantile
 
 BASIC = ("mae", "rmse", "mse", "r2", "mape", "smape", "me", "mpe")
@@ -62,19 +62,32 @@ def _changes(pairs: DataFrame, by: Sequence[str], ts: str, y: str, yhat: str) ->
     )
 
 
-def _directional_aggregates() -> dict[str, Column]:
+# Fixed value: changes spread less than this share of the level are rounding noise on a constant change.
+NOISE = 1e-6
+
+
+def _directional_aggregates(y: str, yhat: str) -> dict[str, Column]:
     same = F.signum("_dy") == F.signum("_dp")
+
+    def varies(change: str, level: str) -> Column:
+        return F.stddev_pop(change) > NOISE * F.avg(F.abs(F.col(level)))
+
+    both = varies("_dy", y) & varies("_dp", yhat)
+    follows = F.greatest(F.lit(0.0), F.coalesce(correlation("_dy", "_dp"), F.lit(0.0))) * 100
     return {
         "directional_accuracy": F.coalesce(F.avg(same.cast("double")) * 100, F.lit(0.0)),
-        "trend_accuracy": F.greatest(F.lit(0.0), F.coalesce(F.corr("_dy", "_dp"), F.lit(0.0))) * 100,
+        "trend_accuracy": F.when(both, follows).otherwise(0.0),
     }
 
 
 def directional_accuracy(
     pairs: DataFrame, by: Sequence[str], ts: str = "ts", y: str = "y", yhat: str = "yhat"
 ) -> DataFrame:
-    """% of successive changes with the same sign, and the positive part of their correlation in %."""
-    return _changes(pairs, by, ts, y, yhat).groupBy(*by).agg(*_named(_directional_aggregates()))
+    """% of successive changes with the same sign, and the positive part of their correlation in %.
+
+    Changes that do not vary (a straight-line forecast) have no correlation and give 0.
+    """
+    return _changes(pairs, by, ts, y, yhat).groupBy(*by).agg(*_named(_directional_aggregates(y, yhat)))
 
 
 def seasonal_metrics(
@@ -143,7 +156,7 @@ def _residual_aggregates() -> dict[str, Column]:
     return {
         "mean_residual": F.avg("_e"),
         "std_residual": F.stddev_pop("_e"),
-        "residual_autocorr": F.coalesce(F.corr("_e", "_e1"), F.lit(0.0)),
+        "residual_autocorr": F.coalesce(correlation("_e", "_e1"), F.lit(0.0)),
     }
 
 
@@ -205,7 +218,7 @@ def evaluation_report(
     ready = _residuals(_changes(good, by, ts, y, yhat), by, ts, y, yhat)
     facts = ready.groupBy(*by).agg(
         *_named(basic_aggregates(y, yhat)),
-        *_named(_directional_aggregates()),
+        *_named(_directional_aggregates(y, yhat)),
         *_named(_bias_aggregates(y, yhat)),
         *_named(_residual_aggregates()),
     )

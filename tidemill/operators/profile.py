@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import attach, by_time, change_rate, ratio, sample_kurtosis, sample_skewness
+from ..functions.columns import attach, by_time, change_rate, correlation, ratio, sample_kurtosis, sample_skewness
 from ..functions.ordered import gap_days
 from ..functions.quantiles import exact_quantiles
 from ..schema import TIME_WORDS, VALUE_WORDS, find_roles
@@ -294,7 +294,7 @@ def feature_importance(
     """
     names = list(features or numeric_columns(df, (*keys, target)))
     wide = df.groupBy(*keys).agg(
-        *[F.abs(F.corr(F.col(n).cast("double"), F.col(target).cast("double"))).alias(n) for n in names]
+        *[F.abs(correlation(n, target)).alias(n) for n in names]
     )
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("importance")) for n in names])
     return wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.feature", "_p.importance")
@@ -348,7 +348,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str
         for j in range(i, len(cols)):
             cells.append((a, cols[j], f"_p{i}_{j}"))
     wide = df.groupBy(*keys).agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n) for a, b, n in cells]
+        *[correlation(a, b).alias(n) for a, b, n in cells]
     )
     entries = []
     for a, b, n in cells:

@@ -36,7 +36,7 @@ def _basic_sql(by: str, source: str, where: str = "") -> str:
 FROM {source} {where} GROUP BY {by}"""
 
 
-_BASIC_SPEC = "n:i mae:4 rmse:4 mse:0 r2:6 mape:6 smape:6 me:4 mpe:6 n_zero_actual:i"
+_BASIC_SPEC = "n:i mae:6 rmse:4 mse:0 r2:6 mape:6 smape:6 me:6 mpe:6 n_zero_actual:i"
 
 
 @query("holdout_paths", "nation:i model:s step:i ts:d y:2 yhat:2", f"WITH {_PAIRS} SELECT * FROM pairs")
@@ -50,8 +50,8 @@ def _metrics(spark, sf):
 
 
 _DIRECTION = """dir AS (SELECT nation, model, coalesce(avg(CASE WHEN sign(dy) = sign(dp) THEN 1.0 WHEN dy IS NOT NULL THEN 0.0 END) * 100, 0) AS directional_accuracy,
-  greatest(0, coalesce(corr(dy, dp), 0)) * 100 AS trend_accuracy
-  FROM (SELECT nation, model, y - lag(y) OVER w AS dy, yhat - lag(yhat) OVER w AS dp FROM pairs WINDOW w AS (PARTITION BY nation, model ORDER BY ts)) GROUP BY 1, 2)"""
+  CASE WHEN stddev_pop(dy) > 1e-6 * avg(abs(y)) AND stddev_pop(dp) > 1e-6 * avg(abs(yhat)) THEN greatest(0, coalesce(corr(dy, dp), 0)) * 100 ELSE 0 END AS trend_accuracy
+  FROM (SELECT nation, model, y, yhat, y - lag(y) OVER w AS dy, yhat - lag(yhat) OVER w AS dp FROM pairs WINDOW w AS (PARTITION BY nation, model ORDER BY ts)) GROUP BY 1, 2)"""
 
 
 @query(
@@ -74,7 +74,7 @@ def _seasonal(spark, sf):
 
 @query(
     "seasonal_metrics_summary",
-    "nation:i model:s avg_seasonal_mae:4 std_seasonal_mae:4 avg_seasonal_rmse:4 std_seasonal_rmse:4 avg_seasonal_mape:6 std_seasonal_mape:6",
+    "nation:i model:s avg_seasonal_mae:0 std_seasonal_mae:2 avg_seasonal_rmse:2 std_seasonal_rmse:2 avg_seasonal_mape:6 std_seasonal_mape:6",
     f"""WITH {_PAIRS}, {_SEASONS} SELECT nation, model, avg(mae) AS avg_seasonal_mae, stddev_pop(mae) AS std_seasonal_mae,
   avg(rmse) AS avg_seasonal_rmse, stddev_pop(rmse) AS std_seasonal_rmse, avg(mape) AS avg_seasonal_mape, stddev_pop(mape) AS std_seasonal_mape FROM sm GROUP BY 1, 2""",
 )
@@ -87,7 +87,7 @@ _BIAS = """bias AS (SELECT nation, model, avg(yhat - y) AS bias, coalesce(avg(yh
 
 
 @query(
-    "forecast_bias", "nation:i model:s bias:4 bias_percentage:6 forecast_tendency:s", f"WITH {_PAIRS}, {_BIAS} SELECT * FROM bias"
+    "forecast_bias", "nation:i model:s bias:6 bias_percentage:6 forecast_tendency:s", f"WITH {_PAIRS}, {_BIAS} SELECT * FROM bias"
 )
 def _bias(spark, sf):
     return metrics.forecast_bias(_pairs(spark, sf), BY)
@@ -114,7 +114,7 @@ _RESID = """res AS (SELECT nation, model, avg(e) AS mean_residual, stddev_pop(e)
 
 @query(
     "residual_analysis",
-    "nation:i model:s mean_residual:4 std_residual:4 residual_autocorr:6",
+    "nation:i model:s mean_residual:6 std_residual:4 residual_autocorr:6",
     f"WITH {_PAIRS}, {_RESID} SELECT * FROM res",
 )
 def _residuals(spark, sf):
@@ -136,7 +136,7 @@ SELECT *, lb_pvalue > 0.05 AS is_white_noise FROM p"""
 
 @query(
     "ljung_box",
-    "nation:i model:s n:i lb_stat:6 lb_pvalue:6 is_white_noise:b mean_residual:4 std_residual:4 min_residual:2 max_residual:2 skewness:6 kurtosis:6",
+    "nation:i model:s n:i lb_stat:6 lb_pvalue:6 is_white_noise:b mean_residual:6 std_residual:4 min_residual:2 max_residual:2 skewness:6 kurtosis:6",
     _ljung_sql(),
 )
 def _ljung(spark, sf):
@@ -145,7 +145,7 @@ def _ljung(spark, sf):
 
 @query(
     "evaluation_report",
-    "nation:i model:s n:i mae:4 rmse:4 r2:6 mape:6 directional_accuracy:6 trend_accuracy:6 bias:4 forecast_tendency:s std_residual:4 "
+    "nation:i model:s n:i mae:6 rmse:4 r2:6 mape:6 directional_accuracy:6 trend_accuracy:6 bias:6 forecast_tendency:s std_residual:4 "
     "residual_autocorr:6 performance_level:s strengths:s weaknesses:s",
     f"""WITH {_PAIRS}, {_DIRECTION}, {_BIAS}, {_RESID}, bas AS ({_basic_sql('nation, model', 'pairs')})
 SELECT *, CASE WHEN mape < 10 AND r2 > 0.8 THEN 'Excellent' WHEN mape < 20 AND r2 > 0.6 THEN 'Good' WHEN mape < 30 AND r2 > 0.4 THEN 'Fair' ELSE 'Poor' END AS performance_level,
@@ -166,7 +166,7 @@ _LONG = " UNION ALL ".join(f"SELECT nation, '{m}' AS metric, model, {m} AS value
 _RANKS = f"{_SCORES}, lng AS ({_LONG}), rnk AS (SELECT *, row_number() OVER (PARTITION BY nation, metric ORDER BY value, model) AS rank FROM lng)"
 
 
-@query("model_ranking", "nation:i metric:s model:s value:4 rank:i", f"WITH {_RANKS} SELECT * FROM rnk")
+@query("model_ranking", "nation:i metric:s model:s value:6 rank:i", f"WITH {_RANKS} SELECT * FROM rnk")
 def _ranking(spark, sf):
     return metrics.model_ranking(metrics.forecast_metrics(_pairs(spark, sf), BY), ["nation"])
 
@@ -188,7 +188,7 @@ _LONG4 = " UNION ALL ".join(f"SELECT nation, '{m}' AS metric, model, {m} AS valu
 
 @query(
     "metrics_pivot",
-    "nation:i metric:s recent_slope:4 seasonal_path:4 trend:4",
+    "nation:i metric:s recent_slope:6 seasonal_path:6 trend:6",
     f"WITH {_SCORES}, lng AS ({_LONG4}) SELECT nation, metric, {_PIVOTED} FROM lng GROUP BY 1, 2",
 )
 def _pivot(spark, sf):
