@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import per_series, spread
+from ..functions.columns import per_series, period_end, spread
 from .calendar_effects import SEASONALITIES, epoch_days, fourier_columns, hinge_positions, holiday_regressors
 from .packing import key_fields
 from .resample import future_calendar
@@ -61,7 +61,9 @@ def _design(
         past = past.unionByName(
             ahead.select(*keys, F.col("ds").alias("ts"), F.lit(None).cast("double").alias("y"), F.col("step").cast("int"))
         )
-    day, whole = epoch_days("ts"), per_series(keys)
+    # seasons are read at the period's end, so labels at its start or end mean the same period
+    past = past.withColumn("_end", period_end("ts", config.freq))
+    day, whole = epoch_days("_end"), per_series(keys)
     known = F.when(F.col("step") == 0, day)
     first, last = F.min(known).over(whole), F.max(known).over(whole)
     timed = past.withColumn("_t", (day - first) / F.greatest(last - first, F.lit(1)))
@@ -70,12 +72,12 @@ def _design(
     parts = ["trend"] * len(terms)
     columns = [F.lit(1.0), F.col("_t"), *hinges]
     for name, spec in config.seasonalities().items():
-        waves = fourier_columns("ts", {name: spec})
+        waves = fourier_columns("_end", {name: spec})
         terms += list(waves)
         parts += [name] * len(waves)
         columns += list(waves.values())
     if holidays is not None and names:
-        timed = holiday_regressors(timed, holidays, names, "ts", freq="M" if config.freq == "M" else "D")
+        timed = holiday_regressors(timed, holidays, names, "_end", freq="M" if config.freq == "M" else "D")
         terms += [f"holiday_{n}" for n in names]
         parts += ["holidays"] * len(names)
         columns += [F.col(f"holiday_{n}") for n in names]

@@ -28,9 +28,10 @@ def lagged_frame(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str
     Every frame ends one row before the target. A feature that is undefined
     (a growth from zero) counts as 0; rows without a full window are dropped.
     """
-    made = model_feature_columns(keys, ts, y, N_LAGS, WINDOWS, lagged=True)
+    # calendar features are read at month ends, as the forecasts are labelled
+    made = model_feature_columns(keys, "_end", y, N_LAGS, WINDOWS, lagged=True)
     names = list(made)
-    rows = df.select(*keys, ts, y).withColumns(made).where(F.col(f"rolling_mean_{max(WINDOWS)}").isNotNull())
+    rows = df.select(*keys, ts, y, F.last_day(ts).alias("_end")).withColumns(made).where(F.col(f"rolling_mean_{max(WINDOWS)}").isNotNull())
     values = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
     return rows.select(*keys, ts, F.col(y).cast("double").alias("y"), F.array(*values).alias("x")), names
 
@@ -258,7 +259,8 @@ def pooled_lag_regression(
     """
     scale = F.avg(y).over(per_series(keys))
     relative = df.select(*keys, ts, ratio(F.col(y).cast("double"), scale).alias("y")).where(F.col("y").isNotNull())
-    made = model_feature_columns(keys, ts, "y", N_LAGS, WINDOWS, lagged=True)
+    relative = relative.withColumn("_end", F.last_day(ts))
+    made = model_feature_columns(keys, "_end", "y", N_LAGS, WINDOWS, lagged=True)
     chosen = list(features or made)
     # the longest lag marks the rows with a full window
     whole = relative.withColumns({**{c: made[c] for c in chosen}, "_full": F.lag("y", N_LAGS).over(by_time(keys, ts))})

@@ -63,9 +63,9 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(events, ["event_type"], "ts", "value", "D", digits=2)
 
 
-def events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_columns(events: DataFrame) -> DataFrame:
     """The events as an untidy text table: unknown dates, missing and overflowing amounts."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "user_id",
         "event_id",
         "event_type",
@@ -77,6 +77,10 @@ def events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_columns(table(spark, sf_dir, "events"))
+
+
 # ---- the same series in SQL -----------------------------------------------------------
 
 EVENTS_TEXT = """events_text AS (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +32,14 @@ def build_session(master: str | None = None, app: str = "tidemill", **conf: str)
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The cluster's shared checkpoint folder, or None where it is unset."""
-    return spark.conf.get(CHECKPOINT_DIR, None) or os.environ.get("TIDEMILL_SHARED_DIR")
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder name for one run of a job, under the folder the cluster shares.
+
+    Only a local session without that setting gets a folder of its own machine.
+    """
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
+        base = tempfile.mkdtemp(prefix="tidemill-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
