@@ -135,6 +135,14 @@ def test_additive_forecast_quality(series):
     assert mape(Y[-12:], [r.yhat for r in rows]) < 30 and [str(r.ds) for r in rows[:1]] == ["1971-10-31"]
 
 
+def test_only_resolvable_seasons_are_used():
+    config = additive.AdditiveConfig()
+    assert [config.usable_order(*config.seasonalities()[n]) for n in ("yearly", "quarterly", "monthly")] == [6, 1, 0]
+    daily = additive.AdditiveConfig(freq="D", weekly=True)
+    assert [daily.usable_order(*v) for v in daily.seasonalities().values()] == [10, 3, 5, 4]
+    assert additive.AdditiveConfig(resolvable_only=False).usable_order(30.5, 5) == 5
+
+
 def test_additive_multiplicative_mode(spark):
     values = [np.exp(0.02 * i) * (2 + np.sin(2 * np.pi * i / 12)) for i in range(72)]
     config = additive.AdditiveConfig(mode="multiplicative", extra={})

@@ -15,7 +15,10 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 # queries whose building itself runs training or streaming jobs
-EAGER = {"stream_ingest", "stream_daily", "lookback_forecast", "lag_regression_pooled", "outlier_isolation"}
+EAGER = {
+    "stream_ingest", "stream_daily", "lookback_forecast", "lag_regression_pooled", "lag_regression_forecast", "outlier_isolation",
+    "holdout_scores", "ensemble_forecast", "compare_models",
+}
 
 
 @pytest.fixture(scope="module")

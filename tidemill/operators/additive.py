@@ -4,7 +4,9 @@ Regressor columns (trend hinges, Fourier terms, holiday counts) are made by
 Spark for history and future alike; each series then needs one small penalised
 least-squares solve, done in its group. Penalties are the inverse prior
 variances of the coefficients. Changepoint shrinkage is quadratic, so deltas are
-small rather than exactly zero.
+small rather than exactly zero. Seasonal terms faster than two periods of the
+calendar cannot be told from slower ones in the data and are left out by default,
+since they would fit noise and extrapolate wildly.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from .resample import future_calendar
 from .trend import component_shares
 
 
+# Mean length of a period in days.
+STEP_DAYS = {"D": 1.0, "W": 7.0, "M": 30.4375, "Q": 91.3125, "Y": 365.25}
+
+
 @dataclass(frozen=True)
 class AdditiveConfig:
     """Settings with the usual defaults; ``extra`` seasonalities are used from ``extra_rows`` rows on."""
@@ -43,6 +49,13 @@ class AdditiveConfig:
     mode: str = "additive"
     level: float = 0.95
     freq: str = "M"
+    resolvable_only: bool = True
+
+    def usable_order(self, period: float, order: int) -> int:
+        """How many harmonics of a season to use."""
+        if not self.resolvable_only:
+            return order
+        return min(order, int(period / (2 * STEP_DAYS[self.freq])))
 
     def seasonalities(self) -> dict[str, tuple[float, int]]:
         out = {"yearly": SEASONALITIES["yearly"]} if self.yearly else {}
@@ -71,8 +84,8 @@ def _design(
     terms = ["intercept", "slope", *[f"hinge_{i + 1}" for i in range(config.changepoints)]]
     parts = ["trend"] * len(terms)
     columns = [F.lit(1.0), F.col("_t"), *hinges]
-    for name, spec in config.seasonalities().items():
-        waves = fourier_columns("_end", {name: spec})
+    for name, (period, order) in config.seasonalities().items():
+        waves = fourier_columns("_end", {name: (period, config.usable_order(period, order))})
         terms += list(waves)
         parts += [name] * len(waves)
         columns += list(waves.values())
@@ -135,7 +148,7 @@ def additive_fit(
     """
     rows, terms, parts = _design(df, keys, horizon, config, holidays, holiday_names)
     fit = _group_fit(terms, parts, config)
-    components = list(dict.fromkeys(parts))
+    components = list(dict.fromkeys(["trend", *config.seasonalities(), *parts]))
     z = NormalDist().inv_cdf(0.5 + config.level / 2)
     names = list(keys)
     multiplicative = config.mode == "multiplicative"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import attach, by_time, full_frame, per_series, ratio
 from ..functions.quantiles import exact_quantiles, series_quantile
+from ..session import settle
 from .isolation import isolation_scores
 
 # Contamination and fence threshold of each sensitivity.
@@ -144,6 +145,8 @@ def isolation_outliers(
 ) -> DataFrame:
     """Isolation forest score (0..1, higher is odder) and the top ``contamination`` share as outliers."""
     scored = isolation_scores(df, keys, row_id, features, scale, seed, trees)
+    if scale == "rows":  # the threshold reads the scores more than once
+        scored = settle(scored)
     held, (limit,) = _with_quantiles(scored, keys, "outlier_score_isolation", (1 - contamination,), scale, accuracy)
     return held.withColumn("is_outlier_isolation", _flag(F.col("outlier_score_isolation") > limit)).drop("_q")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import by_time, per_series, ratio, spread
+from ..session import settle
 from .features import WINDOWS, apply_scaler, fit_scaler, model_feature_columns
 from .packing import key_fields, month_ends, pack_series
 
@@ -37,23 +38,33 @@ def lagged_frame(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str
 
 
 def coordinate_lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 2000) -> np.ndarray:
-    """Minimise |y - xb|^2 / (2n) + alpha |b|_1 for centred y and standardised x."""
+    """Minimise |y - xb|^2 / (2n) + alpha |b|_1 for centred y and standardised x.
+
+    Coordinate steps find which coefficients are non-zero; their values are
+    then solved for exactly and accepted once the optimality conditions hold.
+    """
     n, k = x.shape
-    beta, resid = np.zeros(k), y.copy()
-    power = (x**2).sum(axis=0) / n
-    for _ in range(rounds):
-        biggest = 0.0
-        for j in range(k):
-            if power[j] == 0:
-                continue
-            pull = x[:, j] @ resid / n + power[j] * beta[j]
-            new = np.sign(pull) * max(abs(pull) - alpha, 0.0) / power[j]
-            if new != beta[j]:
-                resid -= x[:, j] * (new - beta[j])
-                biggest = max(biggest, abs(new - beta[j]))
-                beta[j] = new
-        if biggest < 1e-9 * (np.abs(beta).max() + 1e-12):
-            break
+    gram, target = x.T @ x / n, x.T @ y / n
+    beta = np.zeros(k)
+    for turn in range(rounds):
+        for j in np.flatnonzero(np.diag(gram) > 0):
+            pull = target[j] - gram[j] @ beta + gram[j, j] * beta[j]
+            beta[j] = np.sign(pull) * max(abs(pull) - alpha, 0.0) / gram[j, j]
+        if turn % 10 == 9:
+            active, signs = beta != 0, np.sign(beta)
+            exact = np.zeros(k)
+            exact[active] = np.linalg.lstsq(gram[np.ix_(active, active)], target[active] - alpha * signs[active], rcond=None)[0]
+            slack = np.abs(target - gram @ exact)
+            if np.all(np.sign(exact) == signs) and np.all(slack <= alpha * (1 + 1e-7) + 1e-9):
+                return exact
+            # otherwise go towards it as far as the signs hold; the first to reach zero leaves
+            turned = np.flatnonzero(active & (np.sign(exact) != signs))
+            if len(turned):
+                reach = beta[turned] / (beta[turned] - exact[turned])
+                beta = beta + reach.min() * (exact - beta)
+                beta[turned[reach.argmin()]] = 0.0
+            else:
+                beta = exact
     return beta
 
 
@@ -205,6 +216,7 @@ def lag_regression_forecast(
     The state of a series is its last 12 values. Series of a batch step forward
     together. Bounds are 1.96 population stds of the training residuals.
     """
+    df = settle(df.select(*keys, ts, y))
     fitted = models if models is not None else lag_regression_fit(df, keys, ts, y, model)
     state = pack_series(df.select(*keys, ts, F.col(y).alias("y")), keys, ts).select(
         *keys,

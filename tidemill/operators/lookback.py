@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, per_series, ratio
+from ..session import settle
 from .features import lookback_sequences
 from .packing import month_ends, pack_series
 
@@ -78,6 +79,7 @@ def lookback_forecast(
     no shuffle or job per step. Bounds use the validation error in the series'
     own units.
     """
+    df = settle(df.select(*keys, ts, y))
     trained = fitted or lookback_fit(df, keys, ts, y, **options)
     scaled = scaled_panel(df, keys, ts, y)
     state = pack_series(scaled, keys, ts, ("y", "low", "span"))

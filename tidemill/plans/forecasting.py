@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import attach, per_series
 from ..operators import crossval, ensemble, metrics, scenario
 from ..operators.trend import indexed
+from ..session import settle
 
 Member = Callable[[DataFrame, Sequence[str], int], DataFrame]
 
@@ -90,7 +91,7 @@ def future_paths(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str
 def split_parts(df: DataFrame, keys: Sequence[str], ts: str = "ts", share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(training panel, test rows with their step), the same cut for every member."""
     rows = crossval.holdout_split(df, keys, ts, share)
-    extras = [c for c in ("idx", "n", "split", "is_train")]
+    extras = ("idx", "n", "split", "is_train")
     train = rows.where("is_train").drop(*extras)
     test = rows.where(~F.col("is_train")).withColumn("step", F.col("idx") - F.col("split") + 1).drop(*extras)
     return train, test
@@ -125,6 +126,7 @@ def holdout_scores(
     prediction for a series, or a series with fewer than ``min_test`` test
     rows, is reported as failed rather than scored by default.
     """
+    df = settle(df)  # read by every member and by the comparison
     train, test = split_parts(df, keys, share=share)
     predicted = forecast_members(train, members, keys, horizon).select(*keys, "model", "step", "yhat")
     actual = test.select(*keys, "step", "y")
@@ -190,13 +192,13 @@ def fit(
     here and listed by :func:`series_eligibility`.
     """
     n = F.count("*").over(per_series(keys))
-    ready = df.withColumn("_n", n).where(F.col("_n") >= min_rows).drop("_n")
+    ready = settle(df.withColumn("_n", n).where(F.col("_n") >= min_rows).drop("_n"))
     forecasts = forecast_members(ready, members, keys, horizon)
     if not scored:
         return FittedPanel(list(keys), forecasts)
     if test_horizon is None:
         raise ValueError("test_horizon is needed to score the members")
-    scores = holdout_scores(ready, members, keys, test_horizon)
+    scores = settle(holdout_scores(ready, members, keys, test_horizon))
     return FittedPanel(list(keys), forecasts, scores, ensemble.ensemble_weights(scores, keys))
 
 

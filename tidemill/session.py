@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -32,14 +32,34 @@ def build_session(master: str | None = None, app: str = "tidemill", **conf: str)
     return builder.getOrCreate()
 
 
+def _shared_base(spark: SparkSession) -> str | None:
+    """The folder the cluster shares; on a local session without one, a folder of this machine."""
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    if base is None and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set(CHECKPOINT_DIR, base)
+    return base
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name for one run of a job, under the folder the cluster shares.
+    """A new folder name for one run of a job, under the folder the cluster shares."""
+    base = _shared_base(spark)
+    if base is None:
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
-    Only a local session without that setting gets a folder of its own machine.
+
+def settle(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared folder, for steps that read it several times.
+
+    A reliable checkpoint: it survives lost executors and cuts the lineage. On
+    a cluster that names no shared folder the frame stays lazy and is
+    recomputed by each reader.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    spark = df.sparkSession
+    base = _shared_base(spark)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="tidemill-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()
