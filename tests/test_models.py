@@ -269,3 +269,19 @@ def test_a_member_without_predictions_weighs_nothing(panel):
     scores = forecasting.holdout_scores(panel, {"arima": members()["arima"], "broken": broken}, ["k"], 21)
     status = {(r.k, r.model): r.status for r in scores.collect()}
     assert status[("b", "broken")] == "failed" and list(status.values()).count("success") == 3
+
+
+def test_cross_validation_refits_every_fold(series, panel):
+    pairs = forecasting.cross_validate(panel, {"arima": members()["arima"]}, ["k"], horizon=6, step=6).cache()
+    cut = 52 + 2 * 6
+    rows = pairs.where("k = 'a' and fold = 2").orderBy("step").collect()
+    alone = arima.arima_forecast(series.orderBy("ts").limit(cut), [], 6).orderBy("step").collect()
+    assert [r.yhat for r in rows] == pytest.approx([r.yhat for r in alone]) and [r.y for r in rows] == list(Y[cut : cut + 6])
+    assert pairs.groupBy("k").agg(F.count_distinct("fold").alias("f")).where("k = 'a'").first().f == len(range(52, 100, 6))
+
+
+def test_cutoff_validation_uses_every_cutoff(panel):
+    pairs = forecasting.cross_validate_cutoffs(panel, {"arima": members()["arima"]}, ["k"], max_step=13)
+    last = {r.k: r.t for r in pairs.where("fold = 0").groupBy("k").agg(F.max("ts").alias("t")).collect()}
+    assert {str(t) for t in last.values()} == {"1972-09-01"}
+    assert pairs.groupBy("k", "fold").count().where("count < 12 or count > 13").count() == 0

@@ -17,7 +17,7 @@ QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 # queries whose building itself runs training or streaming jobs
 EAGER = {
     "stream_ingest", "stream_daily", "lookback_forecast", "lag_regression_pooled", "lag_regression_forecast", "outlier_isolation",
-    "holdout_scores", "ensemble_forecast", "compare_models",
+    "cv_models", "cv_cutoff_scores", "holdout_scores", "ensemble_forecast", "compare_models",
 }
 
 

@@ -114,8 +114,11 @@ def period_end(ts: str | Column, freq: str) -> Column:
     return start if freq == "D" else F.date_sub(shift_periods(start, freq, 1), 1)
 
 
-def iso_day(ts: str | Column) -> Column:
-    return F.date_format(col(ts), "yyyy-MM-dd")
+def clock_seconds(ts: str | Column) -> Column:
+    """Seconds since 1970 by the wall clock of a time without zone, whatever the session's zone."""
+    t = col(ts).cast("timestamp_ntz")
+    day = F.unix_date(F.to_date(t)).cast("bigint")
+    return day * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 # ---- shape of a distribution ----------------------------------------------

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import attach
+from .columns import attach, clock_seconds
 
 UNBOUNDED_BEFORE = Window.unboundedPreceding
 UNBOUNDED_AFTER = Window.unboundedFollowing
@@ -76,7 +76,7 @@ def gap_days(df: DataFrame, keys: Sequence[str], ts: str, block: str = "month")
     between = edges.select(*keys, F.col("_lo").alias("_t"), F.lag("_hi").over(across).alias("_p")).where(
         F.col("_p").isNotNull()
     )
-    seconds = F.unix_timestamp(F.col("_t").cast("timestamp")) - F.unix_timestamp(F.col("_p").cast("timestamp"))
+    seconds = clock_seconds("_t") - clock_seconds("_p")
     return (
         within.unionByName(between)
         .select(*keys, seconds.alias("seconds"))

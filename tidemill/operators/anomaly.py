@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import attach, by_time, full_frame, per_series, ratio
+from ..functions.columns import attach, by_time, clock_seconds, full_frame, per_series, ratio
 from ..functions.quantiles import exact_quantiles, series_quantile
 from ..session import settle
 from .isolation import isolation_scores
@@ -313,7 +313,7 @@ def interpolate_outliers(
     """
     w = by_time(keys, ts)
     kept = F.when(~F.col(flag), F.col(y))
-    seconds = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    seconds = clock_seconds(ts)
     point = F.when(kept.isNotNull(), F.struct(seconds.alias("t"), kept.alias("v")))
     held = df.withColumns(
         {

@@ -57,6 +57,27 @@ def fold_tests(
     )
 
 
+def fold_train(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    ts: str = "ts",
+    initial: int | None = None,
+    horizon: int = 1,
+    step: int = 1,
+) -> DataFrame:
+    """The training rows of every fold, with ``fold``: a panel keyed by (keys, fold) that any model can be run on.
+
+    A row finds the folds it trains by arithmetic on its index. The frame grows
+    with the number of folds, as refitting does; it is made from reduced series.
+    """
+    rows = indexed(df, keys, ts).withColumn("_first", _initial(initial))
+    room = F.col("n") - horizon - F.col("_first")
+    low = F.greatest(F.lit(0), F.ceil((F.col("idx") + 1 - F.col("_first")) / step)).cast("int")
+    high = F.floor(room / step).cast("int")
+    folds = F.when((room >= 0) & (high >= low), F.sequence(low, high))
+    return rows.withColumn("fold", F.explode(folds)).drop("idx", "n", "_first")
+
+
 def cv_linear_trend(
     df: DataFrame,
     keys: Sequence[str] = (),
@@ -118,6 +139,34 @@ def cv_cutoffs(
     )
 
 
+def cutoff_parts(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    ts: str = "ts",
+    initial: int = 730,
+    period: int = 180,
+    horizon: int = 365,
+) -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows of every cutoff of :func:`cv_cutoffs`, with ``fold`` counted back from the newest.
+
+    Training is ts <= cutoff, testing the ``horizon`` days after it, with ``step``
+    numbering a fold's test rows from 1.
+    """
+    whole = Window.partitionBy(*keys)
+    day = F.unix_date(F.to_date(ts))
+    placed = df.withColumns({"_lo": F.min(day).over(whole), "_hi": F.max(day).over(whole), "_day": day})
+    last = F.floor((F.col("_hi") - F.col("_lo") - horizon - initial) / period).cast("int")
+    back = F.col("_hi") - horizon - F.col("_day")  # cutoff k lies at or after the row while k * period <= back
+    upto = F.least(F.floor(back / period).cast("int"), last)
+    train = placed.withColumn("fold", F.explode(F.when(upto >= 0, F.sequence(F.lit(0), upto))))
+    low = F.greatest(F.floor(back / period).cast("int") + 1, F.lit(0))
+    high = F.least(F.floor((F.col("_hi") - F.col("_day")) / period).cast("int"), last)
+    test = placed.withColumn("fold", F.explode(F.when(high >= low, F.sequence(low, high))))
+    order = Window.partitionBy(*keys, "fold").orderBy(ts)
+    extras = ("_lo", "_hi", "_day")
+    return train.drop(*extras), test.withColumn("step", F.row_number().over(order)).drop(*extras)
+
+
 def holdout_split(
     df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", share: float = 0.8
 ) -> DataFrame:

@@ -144,6 +144,48 @@ def holdout_scores(
     )
 
 
+def _cv_pairs(
+    train: DataFrame, test: DataFrame, members: Mapping[str, Member], keys: Sequence[str], horizon: int
+) -> DataFrame:
+    by = [*keys, "fold"]
+    predicted = forecast_members(settle(train), members, by, horizon).select(*by, "model", "step", "yhat")
+    return test.select(*by, "step", "ts", "y").join(predicted, [*by, "step"])
+
+
+def cross_validate(
+    df: DataFrame,
+    members: Mapping[str, Member],
+    keys: Sequence[str] = (),
+    initial: int | None = None,
+    horizon: int = 6,
+    step: int = 3,
+) -> DataFrame:
+    """(keys, fold, model, step, ts, y, yhat) of every member refitted on every expanding-window fold.
+
+    The fold is one more key, so all series and folds of a member are fitted by
+    one job, in parallel. Score with :func:`crossval.cv_scores` by keys and model.
+    """
+    df = settle(df)
+    train = crossval.fold_train(df, keys, "ts", initial, horizon, step)
+    test = crossval.fold_tests(df, keys, "ts", initial, horizon, step)
+    return _cv_pairs(train, test.withColumn("step", F.col("idx") - F.col("cut") + 1), members, keys, horizon)
+
+
+def cross_validate_cutoffs(
+    df: DataFrame,
+    members: Mapping[str, Member],
+    keys: Sequence[str] = (),
+    initial: int = 730,
+    period: int = 180,
+    horizon: int = 365,
+    max_step: int = 12,
+) -> DataFrame:
+    """The same by calendar cutoffs in days; ``max_step`` is the most periods a horizon can hold."""
+    df = settle(df)
+    train, test = crossval.cutoff_parts(df, keys, "ts", initial, period, horizon)
+    return _cv_pairs(train, test, members, keys, max_step)
+
+
 @dataclass
 class FittedPanel:
     """Forecasts and weights of a panel as lazy frames, with parquet persistence."""

@@ -21,6 +21,15 @@ def _preview(spark, sf):
     return profile.preview(orders, 50, ("o_orderdate", "o_orderkey"))
 
 
+@query(
+    "table_shape",
+    "n_rows:i n_columns:i columns:s",
+    """SELECT count(*) AS n_rows, 6 AS n_columns, 'o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string' AS columns FROM orders""",
+)
+def _shape(spark, sf):
+    return profile.shape(table(spark, sf, "orders")).withColumn("columns", F.array_join("columns", ", "))
+
+
 @query("file_inventory", "name:s extension:s size:i")
 def _inventory(spark, sf):
     return readers.file_inventory(spark, sf, extensions=("parquet",))

@@ -224,6 +224,36 @@ ln AS (SELECT c.nation, fold, cut, regr_slope(y, idx) AS slope, regr_intercept(y
 cv AS (SELECT ln.nation, fold, cut, ts, y, intercept + slope * idx AS yhat FROM ln JOIN ix ON ix.nation = ln.nation AND idx >= cut AND idx < cut + 6)"""
 
 
+@query(
+    "cv_train_sizes",
+    "nation:i fold:i n_train:i first_ts:d last_ts:d total:2",
+    f"""WITH {_CUTS} SELECT c.nation, fold, count(*) AS n_train, min(ts) AS first_ts, max(ts) AS last_ts, sum(y) AS total
+FROM cuts c JOIN ix ON ix.nation = c.nation AND idx < cut GROUP BY 1, 2""",
+)
+def _train_sizes(spark, sf):
+    rows = crossval.fold_train(panels.nation_monthly(spark, sf), ["nation"], horizon=6, step=3)
+    return rows.groupBy("nation", "fold").agg(
+        F.count("*").alias("n_train"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("y").alias("total")
+    )
+
+
+@query(
+    "cv_cutoff_sizes",
+    "nation:i fold:i n_train:i n_test:i last_train:d last_test:d",
+    f"""WITH {NATION_M}, s AS (SELECT nation, CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM nm GROUP BY 1),
+k AS (SELECT nation, k AS fold, hi - CAST(365 + 180 * k AS INTEGER) AS cutoff, hi - CAST(180 * k AS INTEGER) AS horizon_end FROM s, range(0, 1000) AS r(k)
+  WHERE hi - CAST(365 + 180 * k AS INTEGER) >= lo + 730)
+SELECT k.nation, fold, count(*) FILTER (ts <= cutoff) AS n_train, count(*) FILTER (ts > cutoff AND ts <= horizon_end) AS n_test,
+  max(ts) FILTER (ts <= cutoff) AS last_train, max(ts) FILTER (ts > cutoff AND ts <= horizon_end) AS last_test
+FROM k JOIN nm USING (nation) GROUP BY 1, 2""",
+)
+def _cutoff_sizes(spark, sf):
+    train, test = crossval.cutoff_parts(panels.nation_monthly(spark, sf), ["nation"])
+    left = train.groupBy("nation", "fold").agg(F.count("*").alias("n_train"), F.max("ts").alias("last_train"))
+    right = test.groupBy("nation", "fold").agg(F.count("*").alias("n_test"), F.max("ts").alias("last_test"))
+    return left.join(right, ["nation", "fold"])
+
+
 @query("cv_linear_trend", "nation:i fold:i cut:i ts:d y:2 yhat:2", f"WITH {_CV_LINES} SELECT * FROM cv")
 def _cv_trend(spark, sf):
     return crossval.cv_linear_trend(panels.nation_monthly(spark, sf), ["nation"])

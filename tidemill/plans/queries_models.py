@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import additive, arima, lagreg, lookback
+from ..operators import additive, arima, crossval, lagreg, lookback
 from . import forecasting, panels
 from .panels import NATION_M
 from .registry import query
@@ -122,6 +122,22 @@ def _scores(spark, sf):
     return forecasting.holdout_scores(panels.priority_monthly(spark, sf), members(), ["priority"], 20)
 
 
+@query("cv_models", "priority:s model:s n_folds:i avg_mae:2 std_mae:2 avg_rmse:2 std_rmse:2 avg_mape:4 std_mape:4")
+def _cv_models(spark, sf):
+    """ARIMA and the additive model refitted on every fold of every series."""
+    chosen = {name: m for name, m in members().items() if name != "lag_regression"}
+    pairs = forecasting.cross_validate(panels.priority_monthly(spark, sf), chosen, ["priority"])
+    return crossval.cv_scores(pairs, ["priority", "model"])
+
+
+@query("cv_cutoff_scores", "priority:s model:s n_folds:i avg_mae:2 std_mae:2 avg_rmse:2 std_rmse:2 avg_mape:4 std_mape:4")
+def _cv_cutoff_scores(spark, sf):
+    pairs = forecasting.cross_validate_cutoffs(
+        panels.priority_monthly(spark, sf), {"additive": members()["additive"]}, ["priority"], max_step=13
+    )
+    return crossval.cv_scores(pairs, ["priority", "model"])
+
+
 @query("ensemble_forecast", "priority:s step:i ds:d n_models:i yhat:2 lower:2 upper:2")
 def _ensemble(spark, sf):
     """Fit three members, score them on a hold-out, weigh and combine their forecasts."""

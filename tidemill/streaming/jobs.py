@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.columns import period_end
+from ..functions.columns import clock_seconds, period_end
 from ..operators.clean import TIME_FORMATS, parse_time, to_number
 from ..schema import require_roles
 
@@ -104,12 +104,14 @@ def daily_stream(
     length = {"D": "1 day", "W": "7 days"}[freq]
     # seven-day windows count from 1970-01-01, a Thursday; four days later they start on Mondays
     start = "4 days" if freq == "W" else "0 days"
-    timed = stream.select(*keys, F.col(ts).cast("timestamp").alias("_ts"), F.col(y).cast("double").alias("_y"))
+    # watermarks need an instant: the wall clock is read as UTC on the way in and out
+    timed = stream.select(*keys, F.timestamp_seconds(clock_seconds(ts)).alias("_ts"), F.col(y).cast("double").alias("_y"))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("_w.start")) / 86400).cast("int"))
     sums = (
         timed.withWatermark("_ts", late)
         .groupBy(*keys, F.window("_ts", length, length, start).alias("_w"))
         .agg(F.sum("_y").alias("y"), F.count("*").alias("n"))
-        .select(*keys, period_end(F.col("_w.start"), freq).alias("ts"), "y", "n")
+        .select(*keys, period_end(day, freq).alias("ts"), "y", "n")
     )
     writer = sums.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
