@@ -303,9 +303,9 @@ def feature_importance(
 def top_k_features(
     df: DataFrame, target: str = "y", k: int = 20, keys: Sequence[str] = (), features: Sequence[str] | None = None
 ) -> DataFrame:
-    """The k features with the largest importance per key, ranked; ties by name."""
+    """The k features with the largest importance per key, ranked; equal to nine places, the name decides."""
     scored = feature_importance(df, target, keys, features)
-    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("importance"), "feature")
+    order = Window.partitionBy(*keys).orderBy(F.round("importance", 9).desc_nulls_last(), "feature")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -206,15 +206,21 @@ def _interactions(spark, sf):
     return out.withColumnsRenamed(renamed)
 
 
+def corr_sql(a: str, b: str) -> str:
+    """Correlation, null (not NaN) where a side does not vary."""
+    c = f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+    return f"CASE WHEN isfinite({c}) THEN {c} END"
+
+
 def _importance_sql(columns: Sequence[str], source: str = "f") -> str:
     parts = [
-        f"SELECT nation, '{n}' AS feature, abs(corr(CAST({n} AS DOUBLE), y)) AS importance FROM {source} GROUP BY nation"
+        f"SELECT nation, '{n}' AS feature, abs({corr_sql(n, 'y')}) AS importance FROM {source} GROUP BY nation"
         for n in _names(columns)
     ]
     return " UNION ALL ".join(parts)
 
 
-_RANKED = "row_number() OVER (PARTITION BY nation ORDER BY importance DESC NULLS LAST, feature) AS rank"
+_RANKED = "row_number() OVER (PARTITION BY nation ORDER BY round(importance, 9) DESC NULLS LAST, feature) AS rank"
 _ALL_F = f"{NATION_M},\n{feature_cte('f_once', _ALL, True)},\nf AS MATERIALIZED (SELECT * FROM f_once)"
 _LAGGED_F = f"{NATION_M},\n{feature_cte('f_once', _LAGGED, True)},\nf AS MATERIALIZED (SELECT * FROM f_once)"
 
@@ -267,7 +273,7 @@ _MATRIX = ("y", "y_lag_1", "y_lag_12", "y_rolling_mean_3", "y_rolling_std_12", "
     "nation:i left:s right:s corr:6",
     f"WITH {_ALL_F}\n"
     + " UNION ALL ".join(
-        f"""SELECT nation, '{a}' AS "left", '{b}' AS "right", corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM f GROUP BY nation"""
+        f"""SELECT nation, '{a}' AS "left", '{b}' AS "right", {corr_sql(a, b)} AS corr FROM f GROUP BY nation"""
         for a in _MATRIX
         for b in _MATRIX
     ),

@@ -123,7 +123,7 @@ def _path(spark, sf):
     return scenario.base_path(panels.nation_monthly(spark, sf), ["nation"])
 
 
-@query("scenario_base", "nation:i step:i ds:d base:4", f"WITH {_PATH} SELECT * FROM path")
+@query("scenario_base", "nation:i step:i ds:d base:2", f"WITH {_PATH} SELECT * FROM path")
 def _base(spark, sf):
     return _path(spark, sf)
 
@@ -141,7 +141,7 @@ _SCENARIOS = {
 def _scenario(name: str, expr: str, fn) -> None:
     @query(
         f"scenario_{name}",
-        "nation:i step:i ds:d base:4 scenario:4 difference:4",
+        "nation:i step:i ds:d base:2 scenario:2 difference:2",
         f"WITH {_PATH}, s AS (SELECT *, {expr} AS scenario FROM path) SELECT *, scenario - base AS difference FROM s",
     )
     def _run(spark, sf):
@@ -154,7 +154,7 @@ for _name, (_expr, _fn) in _SCENARIOS.items():
 
 @query(
     "scenario_impact",
-    "nation:i total_base:4 total_scenario:4 absolute_impact:4 percentage_impact:6 direction:s recommendation:s",
+    "nation:i total_base:2 total_scenario:2 absolute_impact:2 percentage_impact:6 direction:s recommendation:s",
     f"""WITH {_PATH}, s AS (SELECT nation, sum(base) AS total_base, sum({_SCENARIOS['growth'][0]}) AS total_scenario FROM path GROUP BY 1),
 p AS (SELECT *, total_scenario - total_base AS absolute_impact, (total_scenario - total_base) * 100 / nullif(total_base, 0) AS percentage_impact FROM s)
 SELECT *, CASE WHEN percentage_impact > 0 THEN 'Positive' ELSE 'Negative' END AS direction,
