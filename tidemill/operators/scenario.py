@@ -82,6 +82,7 @@ def scenario_impact(path: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     diff = F.col("total_scenario") - F.col("total_base")
     pct = F.col("percentage_impact")
+    # Fixed values below: the 5 % limits and the labels.
     return totals.withColumns(
         {"absolute_impact": diff, "percentage_impact": ratio(diff * 100.0, F.col("total_base"))}
     ).withColumns(

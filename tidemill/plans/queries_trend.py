@@ -69,7 +69,7 @@ _decomposition("multiplicative", 6)
 
 @query(
     "component_importance",
-    "flag:s status:s component:s variance:2 importance:6",
+    "flag:s status:s component:s variance:0 importance:6",
     f"""WITH d AS ({_decomposition_sql('additive')}),
 v AS (SELECT flag, status, 'trend' AS component, var_samp(trend) AS variance FROM d GROUP BY ALL
   UNION ALL SELECT flag, status, 'seasonal', var_samp(seasonal) FROM d GROUP BY ALL)
