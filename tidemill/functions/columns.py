@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 FREQUENCIES = ("D", "W", "M", "Q", "Y")
 
 
@@ -151,16 +153,34 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 # ---- attaching aggregates to rows -------------------------------------------
 
-def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+# Fixed value: most key rows that are broadcast. Each holds a few numbers, so this stays far below 100 MB.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(facts: DataFrame) -> DataFrame:
+    """The facts computed once and, when counted to be few, marked for broadcast.
+
+    Spark cannot know the size of an aggregate beforehand and would shuffle the
+    raw rows to meet it. Beyond the bound, or where nothing can be kept, the
+    join stays Spark's to plan.
+    """
+    kept = settle(facts)
+    if kept is facts or kept.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return kept
+    return F.broadcast(kept)
+
+
+def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], name: str, raw: bool = False) -> DataFrame:
     """Put each key's aggregate row beside its rows, as struct column ``name``.
 
     Without keys the single aggregate row comes in as a scalar subquery. With
-    keys it is an equi-join whose strategy is left to Spark, since the number
-    of keys grows with the data: it broadcasts only below its own size limit
-    and splits a hot key otherwise. Null keys match each other.
+    keys it is an equi-join; its strategy is Spark's, which splits a hot key,
+    except that for ``raw`` rows facts of checked size are broadcast
+    (:func:`small_side`). Null keys match each other.
     """
     fields = [c for c in facts.columns if c not in keys]
-    packed = facts.select(*keys, F.struct(*fields).alias(name))
+    held = small_side(facts) if raw and keys else facts
+    packed = held.select(*keys, F.struct(*fields).alias(name))
     if not keys:
         return df.withColumn(name, packed.scalar())
     renamed = packed.withColumnsRenamed({k: f"__{k}" for k in keys})

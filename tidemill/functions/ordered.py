@@ -55,7 +55,7 @@ def carry_fill(
         F.last("_tail", True).over(across.rowsBetween(UNBOUNDED_BEFORE, -1)).alias("before"),
         F.first("_head", True).over(across.rowsBetween(1, UNBOUNDED_AFTER)).alias("after"),
     )
-    joined = attach(marked, carried, [*keys, "_block"], "_c")
+    joined = attach(marked, carried, [*keys, "_block"], "_c", raw=True)
     filled = F.coalesce("_back", F.col("_c.before"), "_ahead", F.col("_c.after"))
     return joined.withColumn(out or y, filled).drop("_block", "_back", "_ahead", "_c")
 

@@ -4,9 +4,10 @@ Spark's exact ``percentile`` keeps a value -> count map per group in one task,
 which is right for a series already reduced to periods and wrong for raw rows.
 Here a mergeable sketch first brackets each wanted rank; one pass then counts
 everything outside the brackets in a handful of groups and keeps only values
-inside them, so the ordered step sees about ``8 / accuracy`` of the rows per
-probability however the keys are skewed. The answer is exact: if a sketch ever
-missed its rank the job fails instead of returning a wrong value.
+inside them, about ``8 / accuracy`` of the rows per probability however the
+keys are skewed. Those are ordered in slots by many tasks, with one total per slot
+carried across. The answer is exact: if a sketch ever missed its rank the job
+fails instead of returning a wrong value.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .columns import attach, per_series
 
+# Fixed value: slots a bracket is cut into, so that its values are ordered by many tasks.
+SLOTS = 256
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -32,8 +37,8 @@ def exact_quantiles(
 
     ``rule``: ``linear`` interpolates between ranks, ``floor`` takes the sorted
     value at index ``floor(n * p)``. Raise ``accuracy`` with the size of a key:
-    the ordered step holds about ``8 n / accuracy`` distinct values per
-    probability, or the whole key while n is at most ``accuracy``.
+    an ordering task holds about ``8 n / accuracy / SLOTS`` distinct values, or
+    the whole key while n is at most ``accuracy``.
     """
     if rule not in ("linear", "floor"):
         raise ValueError(f"unknown rule {rule!r}")
@@ -42,30 +47,41 @@ def exact_quantiles(
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
     slack = 4.0 / accuracy
-    edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
+    brackets = sorted(set(probs))
+    edges = [min(max(p + s, 0.0), 1.0) for p in brackets for s in (-slack, slack)]
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", edges, accuracy).alias("edges"), F.count("*").alias("size")
     )
-    near = attach(rows, sketch, keys, "_s")
-
-    def edge(i: int) -> Column:
-        return F.col("_s.edges")[i]
+    # one row per key, kept: merging a sketch again could move its edges, and a retried task must see the same ones
+    near = attach(rows, sketch if keys else settle(sketch), keys, "_s", raw=True)
 
+    # every value gets a slot, and slots are disjoint intervals: one per gap between brackets, many inside a bracket
+    v, whole = F.col("_v"), F.col("_s.size") <= accuracy
+    inside, slot = F.lit(False), -1 - sum((v > F.col("_s.edges")[2 * i + 1]).cast("int") for i in range(len(brackets)))
+    for i in reversed(range(len(brackets))):
+        low, high = F.col("_s.edges")[2 * i], F.col("_s.edges")[2 * i + 1]
+        place = F.floor(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)) * SLOTS).cast("int")
+        here = v.between(low, high)
+        inside = inside | here
+        slot = F.when(here, F.lit(i * (SLOTS + 1)) + place).otherwise(slot)
     # a bracket narrower than a few ranks proves nothing, so small keys (bounded by accuracy) are kept whole
-    inside = F.col("_s.size") <= accuracy
-    above = F.lit(0)
-    for i in range(len(probs)):
-        inside = inside | F.col("_v").between(edge(2 * i), edge(2 * i + 1))
-        above = above + (F.col("_v") > edge(2 * i + 1)).cast("int")
-    # rows outside every bracket collapse to one group per gap between brackets
     cells = (
-        near.select(*keys, "_v", F.when(inside, F.col("_v")).alias("_kept"), above.alias("_gap"))
-        .groupBy(*keys, "_kept", "_gap")
+        near.select(*keys, "_v", F.when(inside | whole, v).alias("_kept"), F.when(whole, 0).otherwise(slot).alias("_slot"))
+        .groupBy(*keys, "_kept", "_slot")
         .agg(F.count("*").alias("_n"), F.min("_v").alias("_at"))
     )
-    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumns(
-        {"_end": F.sum("_n").over(upto), "_total": F.sum("_n").over(per_series(keys))}
+    upto = Window.partitionBy(*keys, "_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = cells.withColumn("_run", F.sum("_n").over(upto))
+    slots = cells.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_m"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slots.select(
+        *keys,
+        "_slot",
+        F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("before"),
+        F.sum("_m").over(per_series(keys)).alias("total"),
+    )
+    ranked = attach(running, offsets, [*keys, "_slot"], "_o").withColumns(
+        {"_end": F.col("_run") + F.col("_o.before"), "_total": F.col("_o.total")}
     )
 
     def value_at(rank: Column) -> Column:

@@ -37,7 +37,7 @@ def _with_quantiles(
     if scale == "series" and rule == "linear":
         out = df.withColumn("_q", F.struct(*[series_quantile(y, p, keys).alias(n) for p, n in zip(probs, names)]))
     elif scale in ("rows", "series"):
-        out = attach(df, exact_quantiles(df, keys, y, probs, rule, accuracy, names), keys, "_q")
+        out = attach(df, exact_quantiles(df, keys, y, probs, rule, accuracy, names), keys, "_q", raw=True)
     else:
         raise ValueError(f"unknown scale {scale!r}; series or rows")
     return out, [F.col(f"_q.{n}") for n in names]
@@ -62,7 +62,7 @@ def zscore_outliers(
     """|y - mean| / population std above the threshold."""
     if scale == "rows":
         facts = df.groupBy(*keys).agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"))
-        held = attach(df, facts, keys, "_f")
+        held = attach(df, facts, keys, "_f", raw=True)
     else:
         whole = per_series(keys)
         held = df.withColumn(
@@ -281,7 +281,7 @@ def iqr_floor_outliers(
     held = df
     for i, c in enumerate(names):
         facts = exact_quantiles(df, keys, c, (0.25, 0.75), "floor", accuracy, ("q1", "q3"))
-        held = attach(held, facts, keys, f"_q{i}")
+        held = attach(held, facts, keys, f"_q{i}", raw=True)
 
     def outside(i: int, c: str) -> Column:
         q1, q3, v = F.col(f"_q{i}.q1"), F.col(f"_q{i}.q3"), F.col(c)

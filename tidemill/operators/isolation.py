@@ -165,7 +165,7 @@ def _score_rows(
         F.coalesce(ratio(F.col(c) - F.col(f"_s.f{i}.mean"), F.col(f"_s.f{i}.std")), F.lit(0.0))
         for i, c in enumerate(features)
     ]
-    work = attach(df, facts, keys, "_s").withColumns(
+    work = attach(df, facts, keys, "_s", raw=True).withColumns(
         {"_x": F.array(*scaled), "_h": F.xxhash64(*keys, *row_id)}
     )
     pool = (
