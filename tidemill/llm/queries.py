@@ -10,7 +10,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Words of a text in DuckDB, as the operators take them.
-WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ gone AS (
   GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE
-         list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), z -> NOT list_contains(ps, z[2])), z -> z[1]) END, ' ')) AS kept_sha256
+         list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
@@ -48,3 +48,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import digest, remove_repeats
 
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingles have a Jaccard similarity of 0.75 or more."""
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
