@@ -70,6 +70,7 @@ def _emit_anchors(window: int, anchor: int) -> repeats.Emitter:
 
 def _emit_windows(window: int, anchor: int) -> repeats.Emitter:
     def emit(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        batch = batch.filter(batch.column("seeds").is_valid())
         seeds = batch.column("seeds")
         for part in texts(batch.column("text")):
             ids, _ = _known(batch, part)
@@ -118,7 +119,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """(doc_id, key): hashes of the windows of a document that also start in a document with a smaller doc_id."""
     texts_ = docs.select("doc_id", "text")
     anchors = repeats.shared_keys(texts_, _emit_anchors(window, anchor), first_too=True)
-    seeded = texts_.join(repeats.by_document(anchors, "seeds"), "doc_id")
+    # a left join, as in remove_repeats: the texts are then shuffled once for both
+    seeded = texts_.join(repeats.by_document(anchors, "seeds"), "doc_id", "left")
     return repeats.shared_keys(seeded, _emit_windows(window, anchor), first_too=False)
 
 
