@@ -56,3 +56,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_matrices")
+def op7_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of 4096 token ids, by checksum."""
+    from .matrices import digest, packed_rows
+
+    return digest(packed_rows(table(spark, sf_dir, "documents")))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 token ids."""
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
