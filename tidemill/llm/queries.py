@@ -72,3 +72,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item and the overlap."""
+    from .decontamination import halves, leaks
+
+    return leaks(table(spark, sf_dir, "documents"), halves(table(spark, sf_dir, "benchmark")))
