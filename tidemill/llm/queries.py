@@ -80,3 +80,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from .decontamination import halves, leaks
 
     return leaks(table(spark, sf_dir, "documents"), halves(table(spark, sf_dir, "benchmark")))
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text under context-tree weighting, beside a unigram base."""
+    from .lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
