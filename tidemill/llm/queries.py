@@ -96,3 +96,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict of base rules and robust outlier distances."""
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
