@@ -24,8 +24,8 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 STATS = ("size", "length", "symbols", "lines", "repeats")
 # Least standard deviation of each statistic: a group of copies, or one that lacks something, does not make small differences odd.
-FLOORS = (1.0, 0.8, 0.1, 0.12, 0.1)
-CUTOFF = 45.0  # of squared distance; beyond it lie under 2 in 10**8 rows of a normal law of five dimensions
+FLOORS = (1.0, 0.8, 0.1, 0.3, 0.25)
+CUTOFF = 30.0  # of squared distance; beyond it lie under 2 in 10**5 rows of a normal law of five dimensions
 MEDIAN_5 = 4.3515  # the median of that law's squared distance
 SHARE, STEPS, LEAST_ROWS = 0.75, 3, 200
 GRID = 64

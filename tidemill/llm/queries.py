@@ -104,3 +104,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"))
+
+
+# The rules of the query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+OP6_SQL = f"""
+WITH rules(rhost, rpath, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (SELECT page_id, strpos(url, '://') AS begin, url FROM pages),
+r AS (SELECT page_id, CASE WHEN begin > 0 THEN substr(url, begin + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+m AS (SELECT p.*, rhost || rpath AS rule, verdict FROM p LEFT JOIN rules
+      ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
+
+
+@query("op6_url_filters", OP6_SQL)
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by nested host and path rules."""
+    from .url_filters import judge
+
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(str(r) for r in URL_RULES)} AS rules(host, path, verdict)")
+    return judge(table(spark, sf_dir, "pages"), rules)
