@@ -154,7 +154,16 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
     Groups of fewer than ``least_rows`` rows are judged by the estimate over all such
     groups together. Repeated rows count and are judged each, ties alike.
     """
-    counts = text_counts(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
+    return _judged(docs, cutoff, least_rows).drop("row_hash")
+
+
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "text", "lang", "source")
+
+
+def _judged(docs: DataFrame, cutoff: float, least_rows: int) -> DataFrame:
+    named = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    counts = text_counts(named.withColumn("row_hash", _row_hash()))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counts = keep(counts.withColumn("base_failed", failed), "counts")
     passed = counts.where("not base_failed")
@@ -163,16 +172,14 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
     sizes = sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), group.alias("group"))
     named = passed.join(sizes, passed.lang.eqNullSafe(sizes.l) & passed.source.eqNullSafe(sizes.s), "left").drop("l", "s")
     found = mcd_distances(named.select("*", *[v.alias(s) for v, s in zip(_vector(), STATS)]))
-    shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    shown = ["row_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = found.select(*shown, F.col("d").alias("distance"), (F.col("d") <= cutoff).alias("kept"))
     out = counts.where("base_failed").select(*shown, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.unionByName(out)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, without the documents that are rejected.
-
-    A doc_id that several rows share stays if one of them is kept. Rows without doc_id go.
-    """
-    good = judge(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """``docs``, all columns, without the rows that are rejected; equal rows fare alike, and doc_id may be null."""
+    good = _judged(docs, cutoff, least_rows).where("kept").select(F.col("row_hash").alias("kept_hash")).distinct()
+    own = F.xxhash64(docs["doc_id"], docs["text"], docs["lang"].cast("string"), docs["source"].cast("string"))
+    return docs.join(good, own == good["kept_hash"], "left_semi").select(*docs.columns)

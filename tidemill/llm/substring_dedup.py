@@ -172,9 +172,41 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     return held.mapInArrow(cut_out, "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<array<int>>")
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs``, all rows and columns, with the repeated words cut out of text.
+
+    What is left of a text keeps its own white space, with one space where
+    words were cut out; a text that loses nothing stays as it is, a text that
+    loses all becomes empty. n_chars, if there, is counted anew. As to nulls and
+    repeated rows see :func:`remove_repeats`.
+    """
+    gone = repeats.by_document(repeated_windows(docs, window, anchor), "gone")
+    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")).join(gone, "doc_id", "left")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.column("text").to_pylist()
+            for part in texts(batch.column("text")):
+                marks = batch.column("gone").slice(part.first, len(part))
+                if marks.null_count == len(marks):
+                    continue
+                raw, grams = part.data.tobytes(), gram_hashes(word_hashes(part), window)
+                for i in range(len(part)):
+                    if marks[i].is_valid and part.counts[i] >= window:
+                        stay = ~_covered(part, i, grams, marks[i].values.to_numpy(), window)
+                        runs = np.flatnonzero(np.diff(np.concatenate([[0], stay.view(np.int8), [0]]))).reshape(-1, 2) + part.bounds[i]
+                        left[part.first + i] = b" ".join(raw[part.starts[b] : part.ends[e - 1]] for b, e in runs.tolist()).decode()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
+
+    row = docs.select(F.struct(*docs.columns).alias("row")).schema.simpleString()[len("struct<row:") : -1]
+    cut = held.select("text", "gone", "row").mapInArrow(cut_out, f"row {row}, left string")
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast("bigint")}
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def digest(result: DataFrame) -> DataFrame:
     """The columns of the query: counts and the hash of what is kept."""
     return result.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-__all__ = ["digest", "remove_repeats", "repeated_windows"]
+__all__ = ["digest", "remove_repeats", "repeated_windows", "without_repeats"]
