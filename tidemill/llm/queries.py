@@ -136,3 +136,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(str(r) for r in URL_RULES)} AS rules(host, path, verdict)")
     return judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
