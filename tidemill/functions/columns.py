@@ -161,15 +161,27 @@ def small_side(facts: DataFrame) -> DataFrame:
     """The facts computed once and, when counted to be few, marked for broadcast.
 
     Spark cannot know the size of an aggregate beforehand and would shuffle the
-    raw rows to meet it. Beyond the bound, or where nothing can be kept, the
-    join stays Spark's to plan.
+    raw rows to meet it. Beyond the bound the join stays Spark's to plan.
     """
     kept = settle(facts)
-    if kept is facts or kept.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if kept.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return kept
     return F.broadcast(kept)
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` in which null keys match each other; the key columns are the left ones."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    condition = [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
+    return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
+
+
+def known(c: str | Column) -> Column:
+    """Whether a number is neither null nor NaN."""
+    c = col(c).cast("double")
+    return c.isNotNull() & ~F.isnan(c)
+
+
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], name: str, raw: bool = False) -> DataFrame:
     """Put each key's aggregate row beside its rows, as struct column ``name``.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import spread
+from ..functions.columns import match, spread
 from .packing import key_fields, month_ends, pack_series
 
 Order = tuple[int, int, int]
@@ -252,7 +252,7 @@ def arima_forecast(
     packed = pack_series(df, keys, ts, columns)
     if orders is not None:
         picked = orders.select(*keys, "p", "d", "q", "sp", "sd", "sq")
-        jobs = packed.join(picked, list(keys), "left") if keys else packed.select(
+        jobs = match(packed, picked, keys, "left") if keys else packed.select(
             "*", *[picked.select(c).scalar().alias(c) for c in ("p", "d", "q", "sp", "sd", "sq")]
         )
         fixed = dict(zip(("p", "d", "q", "sp", "sd", "sq"), (*order, *seasonal)))
@@ -265,7 +265,7 @@ def arima_forecast(
             raise ValueError("future_exog is needed with exog")
         ahead = pack_series(future_exog.where(F.col("step") <= horizon), keys, "step", exog).drop("last_ts")
         ahead = ahead.withColumnsRenamed({c: f"_next_{c}" for c in exog})
-        jobs = jobs.join(ahead, list(keys), "left") if keys else jobs.select(
+        jobs = match(jobs, ahead, keys, "left") if keys else jobs.select(
             "*", *[ahead.select(f"_next_{c}").scalar().alias(f"_next_{c}") for c in exog]
         )
     names, z_level = list(keys), NormalDist().inv_cdf(0.5 + level / 2)
@@ -308,5 +308,5 @@ def arima_forecast(
     fields = key_fields(df, keys) + [packed.schema["last_ts"], T.StructField("step", T.IntegerType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("yhat", "lower", "upper")] + [T.StructField("status", T.StringType())]
     made = spread(jobs, *keys).mapInPandas(run, T.StructType(fields))
-    bounds = {c: F.when(~F.isnan(c), F.col(c)) for c in ("lower", "upper")}
+    bounds = {c: F.when(~F.isnan(c), F.col(c)) for c in ("yhat", "lower", "upper")}
     return month_ends(made).withColumns(bounds).select(*keys, "step", "ds", "yhat", "lower", "upper", "status")

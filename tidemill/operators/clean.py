@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import per_series
+from ..functions.columns import known, match, per_series
 from ..functions.ordered import carry_fill
 from ..schema import require_roles
 
@@ -188,8 +188,8 @@ def trailing_range(df: DataFrame, span: str, keys: Sequence[str] = (), ts: str =
 
 
 def align_pairs(actual: DataFrame, predicted: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """(keys, ts, y) joined with (keys, ts, …, yhat) on key and time, pairs with a null dropped."""
-    return actual.join(predicted, [*keys, ts]).where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    """(keys, ts, y) joined with (keys, ts, …, yhat) on key and time; pairs with a null or NaN are dropped, null keys match."""
+    return match(actual, predicted, [*keys, ts]).where(known("y") & known("yhat"))
 
 
 # ---- named steps -----------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time
+from ..functions.columns import by_time, match
 from .metrics import basic_aggregates
 from .trend import indexed
 
@@ -103,7 +103,7 @@ def cv_linear_trend(
     )
     tests = fold_tests(df, keys, ts, initial, horizon, step)
     return (
-        tests.join(lines, [*keys, "cut"])
+        match(tests, lines, [*keys, "cut"])
         .withColumn("yhat", F.col("_intercept") + F.col("_slope") * F.col("idx"))
         .select(*keys, "fold", "cut", ts, F.col(y).alias("y"), "yhat")
     )

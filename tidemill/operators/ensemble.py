@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import attach, per_series, ratio
+from ..functions.columns import attach, known, per_series, ratio
 
 # Fixed value: half width of the fallback interval in standard deviations.
 Z95 = 1.96
@@ -20,7 +20,7 @@ def _complete_steps(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def simple_average(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    grouped = forecasts.where(F.col("yhat").isNotNull()).groupBy(*keys, "step", "ds").agg(
+    grouped = forecasts.where(known("yhat")).groupBy(*keys, "step", "ds").agg(
         F.count("*").alias("n_models"), F.avg("yhat").alias("yhat")
     )
     return _complete_steps(grouped, keys)
@@ -43,7 +43,7 @@ def ensemble_weights(
         raw = F.lit(1.0)
     elif method == "auto":
         ok = F.col("status") == "success" if "status" in scores.columns else F.lit(True)
-        raw = F.when(ok & F.col("mape").isNotNull(), 1.0 / (F.col("mape") + 1.0)).otherwise(0.0)
+        raw = F.when(ok & known("mape"), 1.0 / (F.col("mape") + 1.0)).otherwise(0.0)
     else:
         raise ValueError(f"unknown weighting {method!r}")
     whole = per_series(keys)
@@ -56,18 +56,18 @@ def ensemble_weights(
 def weighted_average(
     forecasts: DataFrame, weights: DataFrame, keys: Sequence[str] = (), intervals: bool = False
 ) -> DataFrame:
-    """sum(w * yhat) / sum(w) per step, over members with a weight; optionally the same for the bounds.
+    """sum(w * yhat) / sum(w) per step, over members with a weight above 0; optionally the same for the bounds.
 
     Without any bounds the interval is the members' mean -/+ 1.96 population stds.
     """
-    rows = attach(forecasts.where(F.col("yhat").isNotNull()), weights, [*keys, "model"], "_w")
-    rows = rows.withColumn("_wt", F.col("_w.weight")).where(F.col("_wt").isNotNull())
+    rows = attach(forecasts.where(known("yhat")), weights, [*keys, "model"], "_w")
+    rows = rows.withColumn("_wt", F.col("_w.weight")).where(F.col("_wt") > 0)
     aggs = [
         F.count("*").alias("n_models"),
         ratio(F.sum(F.col("_wt") * F.col("yhat")), F.sum("_wt")).alias("yhat"),
     ]
     if intervals:
-        both = F.col("lower").isNotNull() & F.col("upper").isNotNull()
+        both = known("lower") & known("upper")
 
         def bound(c: str, sign: int) -> Column:
             weighted = ratio(F.sum(F.when(both, F.col("_wt") * F.col(c))), F.sum(F.when(both, F.col("_wt"))))
@@ -80,7 +80,7 @@ def weighted_average(
 def ensemble_intervals(forecasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Members' mean -/+ 1.96 population stds per step: the interval when members give none."""
     spread = F.stddev_pop("yhat") * Z95
-    grouped = forecasts.where(F.col("yhat").isNotNull()).groupBy(*keys, "step", "ds").agg(
+    grouped = forecasts.where(known("yhat")).groupBy(*keys, "step", "ds").agg(
         F.count("*").alias("n_models"),
         F.avg("yhat").alias("yhat"),
         (F.avg("yhat") - spread).alias("lower"),

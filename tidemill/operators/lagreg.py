@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_time, per_series, ratio, spread
+from ..functions.columns import by_time, match, per_series, ratio, spread
 from ..session import settle
 from .features import WINDOWS, apply_scaler, fit_scaler, model_feature_columns
 from .packing import key_fields, month_ends, pack_series
@@ -227,7 +227,7 @@ def lag_regression_forecast(
     ).where(F.size("recent") == N_LAGS)
     needed = [f.name for f in MODEL_FIELDS[:6]]
     picked = fitted.select(*keys, *needed)
-    jobs = state.join(picked, list(keys)) if keys else state.select(
+    jobs = match(state, picked, keys) if keys else state.select(
         "*", picked.select(F.struct(*needed)).scalar().alias("_m")
     ).select(*state.columns, "_m.*")
     names = list(keys)

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, per_series, ratio
+from ..functions.columns import by_time, match, per_series, ratio
 from ..session import settle
 from .features import lookback_sequences
 from .packing import month_ends, pack_series
@@ -99,7 +99,7 @@ def lookback_forecast(
     steps = F.array(*[F.struct(F.lit(h).alias("step"), F.col(f"_p{h}").alias("p")) for h in range(1, horizon + 1)])
     long = rows.select(*keys, "last_ts", "low", "span", F.explode(steps).alias("_s"))
     if keys:
-        held = long.join(trained.validation, list(keys), "left")
+        held = match(long, trained.validation, keys, "left")
     else:
         held = long.withColumn("rmse_scaled", trained.validation.select("rmse_scaled").scalar())
     yhat = F.col("low") + F.col("_s.p") * F.col("span")

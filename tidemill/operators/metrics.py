@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_time, correlation, per_series, ratio, sample_kurtosis, sample_skewness
+from ..functions.columns import by_time, correlation, known, match, per_series, ratio, sample_kurtosis, sample_skewness
 from ..functions.student import t_quantile
 
 BASIC = ("mae", "rmse", "mse", "r2", "mape", "smape", "me", "mpe")
@@ -24,7 +24,8 @@ RANKED = ("mae", "rmse", "mape")
 
 
 def valid_pairs(pairs: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    return pairs.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
+    """Pairs in which both are numbers: neither null nor NaN."""
+    return pairs.where(known(y) & known(yhat))
 
 
 def basic_aggregates(y: str = "y", yhat: str = "yhat") -> dict[str, Column]:
@@ -145,7 +146,7 @@ def residual_intervals(
     else:
         facts = valid_pairs(pairs, y, yhat).groupBy(*by).agg(F.count("*").alias("_n"), F.stddev_pop(e).alias("_s"))
         scaled = facts.select(*by, (_t_critical(F.lit(level), F.col("_n")) * F.col("_s")).alias("_margin"))
-        held = pairs.join(scaled, list(by), "left")
+        held = match(pairs, scaled, by, "left")
     margin = F.coalesce("_margin", F.abs(yhat) * 0.1)
     return held.withColumns(
         {"lower": F.col(yhat) - margin, "upper": F.col(yhat) + margin, "margin": margin}

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import attach, per_series
+from ..functions.columns import attach, match, per_series
 from ..operators import crossval, ensemble, metrics, scenario
 from ..operators.trend import indexed
 from ..session import settle
@@ -100,11 +100,13 @@ def split_parts(df: DataFrame, keys: Sequence[str], ts: str = "ts", share: float
 def forecast_members(
     df: DataFrame, members: Mapping[str, Member], keys: Sequence[str], horizon: int
 ) -> DataFrame:
-    """All members' forecasts in one long table (keys, model, step, ds, yhat, lower, upper)."""
+    """All members' forecasts in one long table (keys, model, step, ds, yhat, lower, upper, status)."""
     out: DataFrame | None = None
     for name, member in members.items():
-        rows = member(df, keys, horizon).select(
-            *keys, F.lit(name).alias("model"), F.col("step").cast("int").alias("step"), "ds", "yhat", "lower", "upper"
+        made = member(df, keys, horizon)
+        status = F.col("status") if "status" in made.columns else F.lit("success")
+        rows = made.select(
+            *keys, F.lit(name).alias("model"), F.col("step").cast("int").alias("step"), "ds", "yhat", "lower", "upper", status.alias("status")
         )
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -116,21 +118,22 @@ def holdout_scores(
     df: DataFrame,
     members: Mapping[str, Member],
     keys: Sequence[str],
-    horizon: int,
+    horizon: int | None = None,
     share: float = 0.8,
     min_test: int = 3,
 ) -> DataFrame:
     """(keys, model, mae, rmse, mape, status) on each series' last part, one row for every member asked for.
 
-    ``horizon`` must reach the longest test part. A member that gave no
-    prediction for a series, or a series with fewer than ``min_test`` test
-    rows, is reported as failed rather than scored by default.
+    Every test row counts: ``horizon`` is the longest test part, and a shorter
+    one given is refused. A member that gave no prediction for a series, says
+    itself that it could not fit it, or a series with fewer than ``min_test``
+    test rows, is reported as failed rather than scored by default.
     """
     df = settle(df)  # read by every member and by the comparison
     train, test = split_parts(df, keys, share=share)
-    predicted = forecast_members(train, members, keys, horizon).select(*keys, "model", "step", "yhat")
-    actual = test.select(*keys, "step", "y")
-    pairs = actual.join(predicted, [*keys, "step"]) if keys else actual.join(predicted, "step")
+    horizon = _reach(test, horizon)
+    predicted = forecast_members(train, members, keys, horizon).where("status = 'success'").select(*keys, "model", "step", "yhat")
+    pairs = match(test.select(*keys, "step", "y"), predicted, [*keys, "step"])
     scored = metrics.forecast_metrics(pairs, [*keys, "model"]).select(*keys, "model", "n", "mae", "rmse", "mape")
     asked = df.select(*keys).distinct() if keys else df.agg(F.count("*").alias("_any")).drop("_any")
     listed = asked.withColumn("model", F.explode(F.array(*[F.lit(m) for m in members])))
@@ -144,12 +147,19 @@ def holdout_scores(
     )
 
 
-def _cv_pairs(
-    train: DataFrame, test: DataFrame, members: Mapping[str, Member], keys: Sequence[str], horizon: int
-) -> DataFrame:
+def _reach(test: DataFrame, horizon: int | None) -> int:
+    """The longest test part, by one small aggregate; an ``horizon`` that does not reach it is an error."""
+    longest = test.agg(F.coalesce(F.max("step"), F.lit(1)).alias("longest")).first().longest
+    if horizon is not None and horizon < longest:
+        raise ValueError(f"a horizon of {horizon} leaves out test rows, of which a series has {longest}")
+    return longest
+
+
+def _cv_pairs(train: DataFrame, test: DataFrame, members: Mapping[str, Member], keys: Sequence[str], horizon: int | None = None) -> DataFrame:
     by = [*keys, "fold"]
-    predicted = forecast_members(settle(train), members, by, horizon).select(*by, "model", "step", "yhat")
-    return test.select(*by, "step", "ts", "y").join(predicted, [*by, "step"])
+    reach = _reach(test, horizon)
+    predicted = forecast_members(settle(train), members, by, reach).select(*by, "model", "step", "yhat")
+    return match(test.select(*by, "step", "ts", "y"), predicted, [*by, "step"])
 
 
 def cross_validate(
@@ -178,9 +188,9 @@ def cross_validate_cutoffs(
     initial: int = 730,
     period: int = 180,
     horizon: int = 365,
-    max_step: int = 12,
+    max_step: int | None = None,
 ) -> DataFrame:
-    """The same by calendar cutoffs in days; ``max_step`` is the most periods a horizon can hold."""
+    """The same by calendar cutoffs in days. Every test row counts; a ``max_step`` that would leave some out is refused."""
     df = settle(df)
     train, test = crossval.cutoff_parts(df, keys, "ts", initial, period, horizon)
     return _cv_pairs(train, test, members, keys, max_step)
@@ -229,17 +239,15 @@ def fit(
 ) -> FittedPanel:
     """Train the members on every series with at least ``min_rows`` rows and forecast ``horizon`` periods.
 
-    ``test_horizon`` is the longest hold-out part (a fifth of the longest
-    series); it is needed when members are scored. Short series are left out
-    here and listed by :func:`series_eligibility`.
+    Hold-out parts are scored whole; ``test_horizon`` may state their greatest
+    length. Short series are left out here and listed by :func:`series_eligibility`.
+    Forecasts that a member gives with another status than success are not kept.
     """
     n = F.count("*").over(per_series(keys))
     ready = settle(df.withColumn("_n", n).where(F.col("_n") >= min_rows).drop("_n"))
-    forecasts = forecast_members(ready, members, keys, horizon)
+    forecasts = forecast_members(ready, members, keys, horizon).where("status = 'success'").drop("status")
     if not scored:
         return FittedPanel(list(keys), forecasts)
-    if test_horizon is None:
-        raise ValueError("test_horizon is needed to score the members")
     scores = settle(holdout_scores(ready, members, keys, test_horizon))
     return FittedPanel(list(keys), forecasts, scores, ensemble.ensemble_weights(scores, keys))
 

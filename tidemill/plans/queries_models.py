@@ -119,7 +119,7 @@ def members():
 
 @query("holdout_scores", "priority:s model:s mae:2 rmse:2 mape:4 status:s")
 def _scores(spark, sf):
-    return forecasting.holdout_scores(panels.priority_monthly(spark, sf), members(), ["priority"], 20)
+    return forecasting.holdout_scores(panels.priority_monthly(spark, sf), members(), ["priority"])
 
 
 @query("cv_models", "priority:s model:s n_folds:i avg_mae:2 std_mae:2 avg_rmse:2 std_rmse:2 avg_mape:4 std_mape:4")
@@ -133,7 +133,7 @@ def _cv_models(spark, sf):
 @query("cv_cutoff_scores", "priority:s model:s n_folds:i avg_mae:2 std_mae:2 avg_rmse:2 std_rmse:2 avg_mape:4 std_mape:4")
 def _cv_cutoff_scores(spark, sf):
     pairs = forecasting.cross_validate_cutoffs(
-        panels.priority_monthly(spark, sf), {"additive": members()["additive"]}, ["priority"], max_step=13
+        panels.priority_monthly(spark, sf), {"additive": members()["additive"]}, ["priority"]
     )
     return crossval.cv_scores(pairs, ["priority", "model"])
 
@@ -141,7 +141,7 @@ def _cv_cutoff_scores(spark, sf):
 @query("ensemble_forecast", "priority:s step:i ds:d n_models:i yhat:2 lower:2 upper:2")
 def _ensemble(spark, sf):
     """Fit three members, score them on a hold-out, weigh and combine their forecasts."""
-    fitted = forecasting.fit(panels.priority_monthly(spark, sf), members(), ["priority"], 12, test_horizon=20)
+    fitted = forecasting.fit(panels.priority_monthly(spark, sf), members(), ["priority"], 12)
     return fitted.combined()
 
 
@@ -149,5 +149,5 @@ def _ensemble(spark, sf):
 def _compare(spark, sf):
     from ..operators.metrics import model_best
 
-    scores = forecasting.holdout_scores(panels.priority_monthly(spark, sf), members(), ["priority"], 20)
+    scores = forecasting.holdout_scores(panels.priority_monthly(spark, sf), members(), ["priority"])
     return model_best(scores.where("status = 'success'"), ["priority"])

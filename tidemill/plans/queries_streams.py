@@ -12,7 +12,7 @@ from .registry import query, table
 
 
 def _event_stream(spark, sf):
-    return jobs.open_folder(spark, sf, table(spark, sf, "events").schema, "parquet", glob="events.parquet")
+    return jobs.open_table(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
 
 
 @query(
@@ -27,7 +27,7 @@ def _ingest(spark, sf):
     work = scratch_dir(spark, "stream_ingest")
     rows = panels.text_columns(_event_stream(spark, sf))
     jobs.ingest_stream(rows, f"{work}/landed", f"{work}/progress", ["user_id"]).awaitTermination()
-    return jobs.landed(spark, f"{work}/landed")
+    return jobs.landed(spark, f"{work}/landed", jobs.sorted_rows(rows, ["user_id"]).schema)
 
 
 @query(

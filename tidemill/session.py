@@ -52,14 +52,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder, for steps that read it several times.
 
-    A reliable checkpoint: it survives lost executors and cuts the lineage. On
-    a cluster that names no shared folder the frame stays lazy and is
-    recomputed by each reader.
+    A reliable checkpoint: it survives lost executors and cuts the lineage. A
+    cluster session must name a shared folder.
     """
     spark = df.sparkSession
     base = _shared_base(spark)
     if base is None:
-        return df
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint()

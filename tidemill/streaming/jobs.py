@@ -35,6 +35,17 @@ def open_folder(
     raise ValueError(f"unsupported stream format {fmt!r}; csv, json or parquet")
 
 
+def open_table(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
+    """Stream a table that is a folder of part files or one file; no such path is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(place).isDirectory():
+        return open_folder(spark, path, schema, fmt)
+    return open_folder(spark, place.getParent().toString(), schema, fmt, glob=place.getName())
+
+
 def sorted_rows(
     df: DataFrame, keys: Sequence[str] = (), ts: str | None = None, y: str | None = None, formats: Sequence[str] = TIME_FORMATS
 ) -> DataFrame:
@@ -78,8 +89,12 @@ def ingest_stream(
     return writer.start()
 
 
-def landed(spark: SparkSession, out: str) -> DataFrame:
-    """All landed rows with their ``batch_id`` and ``verdict``."""
+def landed(spark: SparkSession, out: str, schema: T.StructType | None = None) -> DataFrame:
+    """All landed rows with their ``batch_id`` and ``verdict``; none when nothing has landed and the ``schema`` of the rows is given."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch_id=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if schema is not None and not found:
+        return spark.createDataFrame([], schema.add("batch_id", "int"))
     return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
 
 
