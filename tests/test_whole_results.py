@@ -104,3 +104,15 @@ def test_nan_is_no_value(spark):
     got = ensemble.weighted_average(parts, weights, intervals=True).first()
     assert (got.n_models, got.yhat, got.lower, got.upper) == (1, 4.0, 0.0, 9.0)
     assert ensemble.ensemble_intervals(parts).first().n_models == 2
+
+
+@pytest.mark.parametrize(("freq", "label"), [("D", "2024-01-01"), ("W", "2024-01-07"), ("M", "2024-01-31"), ("Q", "2024-03-31"), ("Y", "2024-12-31")])
+def test_holidays_count_in_every_period(spark, freq, label):
+    from tidemill.operators import calendar_effects
+
+    days = spark.createDataFrame([("2024-01-01", "new year"), ("2024-01-01", "founding day"), ("2023-12-31", "eve")], "ds string, holiday string")
+    rows = spark.createDataFrame([(label,)], "ts string").selectExpr("to_date(ts) AS ts")
+    got = calendar_effects.holiday_regressors(rows, days, ["new year", "founding day", "eve"], freq=freq).first()
+    assert (got["holiday_new year"], got["holiday_founding day"], got.holiday_eve) == (1.0, 1.0, 0.0)
+    if freq == "D":
+        assert calendar_effects.holiday_join(rows, days).first().holiday == "founding day, new year"

@@ -90,7 +90,7 @@ def _design(
         parts += [name] * len(waves)
         columns += list(waves.values())
     if holidays is not None and names:
-        timed = holiday_regressors(timed, holidays, names, "_end", freq="M" if config.freq == "M" else "D")
+        timed = holiday_regressors(timed, holidays, names, "_end", freq=config.freq)
         terms += [f"holiday_{n}" for n in names]
         parts += ["holidays"] * len(names)
         columns += [F.col(f"holiday_{n}") for n in names]

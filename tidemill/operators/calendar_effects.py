@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import per_series, ratio
+from ..functions.columns import per_series, period_end, ratio
 
 # Period in days and Fourier order of each seasonality.
 SEASONALITIES = {
@@ -57,11 +57,11 @@ def changepoint_features(
 def holiday_join(df: DataFrame, holidays: DataFrame, ts: str = "ts", ds: str = "ds") -> DataFrame:
     """Left join a holiday table (ds, holiday) on the day, and add ``is_holiday``.
 
-    The table comes from the user, so whether it is broadcast is decided by
+    Several holidays of a day are named in order, with commas. The table comes from the user, so whether it is broadcast is decided by
     its size, by Spark.
     """
     named = holidays.select(F.to_date(ds).alias("_ds"), "holiday").groupBy("_ds").agg(
-        F.min("holiday").alias("holiday")
+        F.array_join(F.array_sort(F.collect_set("holiday")), ", ").alias("holiday")
     )
     joined = df.join(named, F.to_date(df[ts]) == F.col("_ds"), "left").drop("_ds")
     return joined.withColumn("is_holiday", F.col("holiday").isNotNull().cast("int"))
@@ -70,8 +70,11 @@ def holiday_join(df: DataFrame, holidays: DataFrame, ts: str = "ts", ds: str = "
 def holiday_regressors(
     df: DataFrame, holidays: DataFrame, names: Sequence[str], ts: str = "ts", ds: str = "ds", freq: str = "D"
 ) -> DataFrame:
-    """One column per named holiday: how many of its days fall in the row's day (D) or month (M)."""
-    grain = {"D": F.to_date, "M": lambda c: F.last_day(F.to_date(c))}[freq]
+    """One column per named holiday: how many of its days fall in the row's day, week, month, quarter or year (D, W, M, Q, Y)."""
+
+    def grain(c):
+        return period_end(F.to_date(c), freq)
+
     counts = holidays.groupBy(grain(ds).alias("_ds")).agg(
         *[F.count_if(F.col("holiday") == n).cast("double").alias(f"holiday_{n}") for n in names]
     )

@@ -115,6 +115,10 @@ NATION_M = monthly_cte("nm", _NATION_SOURCE, {"nation": "c_nationkey"}, "o_order
 FLAG_M = monthly_cte(
     "fm", "lineitem", {"flag": "l_returnflag", "status": "l_linestatus"}, "l_shipdate", NET_PRICE, 4, _LINES_AS_OF
 )
+# The same panels to the last row, the month that the data only partly covers included.
+ORDERS_ALL = monthly_cte("om", "orders", {}, "o_orderdate", "o_totalprice", 2)
+NATION_ALL = monthly_cte("nm", _NATION_SOURCE, {"nation": "c_nationkey"}, "o_orderdate", "o_totalprice", 2)
+FLAG_ALL = monthly_cte("fm", "lineitem", {"flag": "l_returnflag", "status": "l_linestatus"}, "l_shipdate", NET_PRICE, 4)
 PART_M = monthly_cte("ptm", "lineitem", {"part": "l_partkey"}, "l_shipdate", NET_PRICE, 4)
 EVENTS_D = """ed_raw AS (SELECT event_type, CAST(ts AS DATE) AS ts, sum(value) AS s FROM events GROUP BY ALL),
 ed_span AS (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM ed_raw GROUP BY ALL),

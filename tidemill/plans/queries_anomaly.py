@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly
 from . import panels
-from .panels import NATION_M
+from .panels import NATION_ALL
 from .registry import query, table
 
 _FENCES = """q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
@@ -73,22 +73,22 @@ def _rolling(window: int) -> str:
 @query(
     "outlier_seasonal",
     "nation:i ts:d seasonal_zscore:6 is_outlier_seasonal:b",
-    f"WITH {NATION_M}, {_SEASONAL} SELECT *, seasonal_zscore > 1.5 AS is_outlier_seasonal FROM sea",
+    f"WITH {NATION_ALL}, {_SEASONAL} SELECT *, seasonal_zscore > 1.5 AS is_outlier_seasonal FROM sea",
 )
 def _seasonal(spark, sf):
-    return anomaly.seasonal_outliers(panels.nation_monthly(spark, sf), ["nation"], threshold=1.5)
+    return anomaly.seasonal_outliers(panels.nation_monthly(spark, sf, closed=False), ["nation"], threshold=1.5)
 
 
 @query(
     "outlier_rolling",
     "nation:i ts:d rolling_zscore:6 is_outlier_rolling:b",
-    f"WITH {NATION_M}, {_rolling(7)} SELECT *, rolling_zscore > 2 AS is_outlier_rolling FROM rol",
+    f"WITH {NATION_ALL}, {_rolling(7)} SELECT *, rolling_zscore > 2 AS is_outlier_rolling FROM rol",
 )
 def _rolling_query(spark, sf):
-    return anomaly.rolling_outliers(panels.nation_monthly(spark, sf), ["nation"], window=7)
+    return anomaly.rolling_outliers(panels.nation_monthly(spark, sf, closed=False), ["nation"], window=7)
 
 
-_CONSENSUS = f"""{NATION_M}, {_SEASONAL}, {_rolling(5)},
+_CONSENSUS = f"""{NATION_ALL}, {_SEASONAL}, {_rolling(5)},
 fen AS (SELECT nation, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3, avg(y) AS m, stddev_pop(y) AS s FROM nm GROUP BY 1),
 flags AS (SELECT nm.nation, nm.ts, nm.y,
     nm.y < q1 - 1.5 * (q3 - q1) OR nm.y > q3 + 1.5 * (q3 - q1) AS is_outlier_iqr,
@@ -102,7 +102,7 @@ con AS (SELECT *, outlier_votes >= 2 AS is_outlier_consensus, (outlier_score_iqr
 
 
 def _consensus_frame(spark, sf):
-    return anomaly.consensus_outliers(panels.nation_monthly(spark, sf), ["nation"], isolation=False)
+    return anomaly.consensus_outliers(panels.nation_monthly(spark, sf, closed=False), ["nation"], isolation=False)
 
 
 @query(
@@ -121,7 +121,7 @@ def _consensus_sql(spark, sf):
 )
 def _consensus(spark, sf):
     """All five votes, with one isolation forest per series."""
-    return anomaly.consensus_outliers(panels.nation_monthly(spark, sf), ["nation"])
+    return anomaly.consensus_outliers(panels.nation_monthly(spark, sf, closed=False), ["nation"])
 
 
 _METHODS = ("iqr", "zscore", "seasonal", "rolling", "consensus")
@@ -192,14 +192,14 @@ def _winsorize(spark, sf):
 @query(
     "anomaly_points",
     "nation:i ts:d y:2 is_anomaly:b anomaly_score:6",
-    f"""WITH {NATION_M}, f AS (SELECT nation, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM nm GROUP BY 1),
+    f"""WITH {NATION_ALL}, f AS (SELECT nation, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM nm GROUP BY 1),
 l AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM f)
 SELECT nm.nation, ts, y, y < low OR y > high AS is_anomaly,
   CASE WHEN y < low THEN (low - y) / (q3 - q1) WHEN y > high THEN (y - high) / (q3 - q1) ELSE 0 END AS anomaly_score
 FROM nm JOIN l USING (nation)""",
 )
 def _points(spark, sf):
-    return anomaly.anomaly_points(panels.nation_monthly(spark, sf), "statistical", "high", ["nation"])
+    return anomaly.anomaly_points(panels.nation_monthly(spark, sf, closed=False), "statistical", "high", ["nation"])
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, profile, resample
 from ..sources import readers
 from . import panels
-from .panels import EVENTS_TEXT, FLAG_M, NATION_M, ORDERS_M, PART_M
+from .panels import EVENTS_TEXT, FLAG_ALL, NATION_ALL, ORDERS_ALL, PART_M
 from .registry import query, table
 
 
@@ -35,9 +35,9 @@ def _inventory(spark, sf):
     return readers.file_inventory(spark, sf, extensions=("parquet",))
 
 
-@query("tail_n", "ts:d y:2", f"WITH {ORDERS_M} SELECT ts, y FROM om ORDER BY ts DESC LIMIT 50")
+@query("tail_n", "ts:d y:2", f"WITH {ORDERS_ALL} SELECT ts, y FROM om ORDER BY ts DESC LIMIT 50")
 def _tail(spark, sf):
-    return profile.tail_rows(panels.orders_monthly(spark, sf), 50)
+    return profile.tail_rows(panels.orders_monthly(spark, sf, closed=False), 50)
 
 
 @query(
@@ -146,11 +146,11 @@ def _convert(spark, sf):
 @query(
     "trailing_range",
     "nation:i ts:d y:2",
-    f"""WITH {NATION_M}, m AS (SELECT nation, max(ts) AS hi FROM nm GROUP BY 1)
+    f"""WITH {NATION_ALL}, m AS (SELECT nation, max(ts) AS hi FROM nm GROUP BY 1)
 SELECT nm.nation, ts, y FROM nm JOIN m USING (nation) WHERE ts > hi - INTERVAL 12 MONTH""",
 )
 def _trailing(spark, sf):
-    return clean.trailing_range(panels.nation_monthly(spark, sf), "1Y", ["nation"])
+    return clean.trailing_range(panels.nation_monthly(spark, sf, closed=False), "1Y", ["nation"])
 
 
 @query(
@@ -210,23 +210,23 @@ def _distribution(spark, sf):
 @query(
     "yoy_growth",
     "nation:i n_growth:i mean_yoy_growth:6 std_yoy_growth:6 latest_yoy_growth:6",
-    f"""WITH {NATION_M}, g AS (SELECT nation, ts, (y - lag(y, 12) OVER w) / nullif(lag(y, 12) OVER w, 0) AS g FROM nm
+    f"""WITH {NATION_ALL}, g AS (SELECT nation, ts, (y - lag(y, 12) OVER w) / nullif(lag(y, 12) OVER w, 0) AS g FROM nm
   WINDOW w AS (PARTITION BY nation ORDER BY ts))
 SELECT nation, count(g) AS n_growth, avg(g) AS mean_yoy_growth, stddev_samp(g) AS std_yoy_growth,
   arg_max(g, ts) FILTER (g IS NOT NULL) AS latest_yoy_growth FROM g GROUP BY 1""",
 )
 def _yoy(spark, sf):
-    return profile.yoy_growth(panels.nation_monthly(spark, sf), ["nation"])
+    return profile.yoy_growth(panels.nation_monthly(spark, sf, closed=False), ["nation"])
 
 
 def _season(part: str) -> None:
     @query(
         f"seasonal_profile_{part}",
         f"nation:i {part}:i mean:6 std:4 n:i",
-        f"WITH {NATION_M} SELECT nation, {part}(ts) AS {part}, avg(y) AS mean, stddev_samp(y) AS std, count(y) AS n FROM nm GROUP BY 1, 2",
+        f"WITH {NATION_ALL} SELECT nation, {part}(ts) AS {part}, avg(y) AS mean, stddev_samp(y) AS std, count(y) AS n FROM nm GROUP BY 1, 2",
     )
     def _profile(spark, sf):
-        return profile.seasonal_profile(panels.nation_monthly(spark, sf), ["nation"], part=part)
+        return profile.seasonal_profile(panels.nation_monthly(spark, sf, closed=False), ["nation"], part=part)
 
 
 _season("month")
@@ -236,25 +236,25 @@ _season("quarter")
 @query(
     "seasonality_strength",
     "nation:i peak_month:i trough_month:i seasonality_strength:6",
-    f"""WITH {NATION_M}, m AS (SELECT nation, month(ts) AS month, avg(y) AS mean FROM nm GROUP BY 1, 2),
+    f"""WITH {NATION_ALL}, m AS (SELECT nation, month(ts) AS month, avg(y) AS mean FROM nm GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY mean DESC, month) AS hi,
   row_number() OVER (PARTITION BY nation ORDER BY mean, month) AS lo FROM m)
 SELECT nation, max(month) FILTER (hi = 1) AS peak_month, max(month) FILTER (lo = 1) AS trough_month,
   stddev_samp(mean) / avg(mean) AS seasonality_strength FROM r GROUP BY 1""",
 )
 def _strength(spark, sf):
-    return profile.seasonality_strength(panels.nation_monthly(spark, sf), ["nation"])
+    return profile.seasonality_strength(panels.nation_monthly(spark, sf, closed=False), ["nation"])
 
 
 @query(
     "yearly_growth",
     "flag:s status:s year:i year_mean:6 year_growth:6",
-    f"""WITH {FLAG_M}, a AS (SELECT flag, status, year(ts) AS year, avg(y) AS year_mean FROM fm GROUP BY 1, 2, 3)
+    f"""WITH {FLAG_ALL}, a AS (SELECT flag, status, year(ts) AS year, avg(y) AS year_mean FROM fm GROUP BY 1, 2, 3)
 SELECT *, (year_mean - lag(year_mean) OVER w) / nullif(lag(year_mean) OVER w, 0) AS year_growth FROM a
 WINDOW w AS (PARTITION BY flag, status ORDER BY year) QUALIFY count(*) OVER (PARTITION BY flag, status) >= 3""",
 )
 def _yearly(spark, sf):
-    return profile.yearly_growth(panels.flag_monthly(spark, sf), ["flag", "status"])
+    return profile.yearly_growth(panels.flag_monthly(spark, sf, closed=False), ["flag", "status"])
 
 
 @query(
@@ -326,11 +326,11 @@ def _densify(spark, sf):
 @query(
     "future_calendar",
     "nation:i step:i ds:d",
-    f"""WITH {NATION_M}, m AS (SELECT nation, max(ts) AS hi FROM nm GROUP BY 1)
+    f"""WITH {NATION_ALL}, m AS (SELECT nation, max(ts) AS hi FROM nm GROUP BY 1)
 SELECT nation, step, last_day(date_trunc('month', hi) + to_months(CAST(step AS INTEGER))) AS ds FROM m, range(1, 13) AS r(step)""",
 )
 def _future(spark, sf):
-    return resample.future_calendar(panels.nation_monthly(spark, sf), 12, ["nation"])
+    return resample.future_calendar(panels.nation_monthly(spark, sf, closed=False), 12, ["nation"])
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar_effects, crossval, ensemble, metrics
 from . import forecasting, panels
-from .panels import NATION_M, PART_M
+from .panels import NATION_ALL, NATION_M, PART_M
 from .registry import query, table
 
 BY = ["nation", "model"]
@@ -388,36 +388,38 @@ def _fourier_sql() -> str:
 @query(
     "fourier_features",
     "nation:i ts:d yearly_sin_1:6 yearly_cos_1:6 yearly_sin_2:6 yearly_cos_2:6 quarterly_sin_1:6 quarterly_cos_1:6",
-    f"WITH {NATION_M} SELECT nation, ts, {_fourier_sql()} FROM nm",
+    f"WITH {NATION_ALL} SELECT nation, ts, {_fourier_sql()} FROM nm",
 )
 def _fourier(spark, sf):
-    return calendar_effects.fourier_features(panels.nation_monthly(spark, sf), {"yearly": (365.25, 2), "quarterly": (91.25, 1)})
+    return calendar_effects.fourier_features(panels.nation_monthly(spark, sf, closed=False), {"yearly": (365.25, 2), "quarterly": (91.25, 1)})
 
 
 @query(
     "changepoint_features",
     "nation:i ts:d t:6 hinge_1:6 hinge_2:6 hinge_3:6 hinge_4:6",
-    f"""WITH {NATION_M}, s AS (SELECT nation, min(ts) AS lo, max(ts) AS hi FROM nm GROUP BY 1),
+    f"""WITH {NATION_ALL}, s AS (SELECT nation, min(ts) AS lo, max(ts) AS hi FROM nm GROUP BY 1),
 t AS (SELECT nation, ts, date_diff('day', lo, ts)::DOUBLE / date_diff('day', lo, hi) AS t FROM nm JOIN s USING (nation))
 SELECT nation, ts, t, greatest(t - 0.2, 0) AS hinge_1, greatest(t - 0.4, 0) AS hinge_2, greatest(t - 0.6000000000000001, 0) AS hinge_3, greatest(t - 0.8, 0) AS hinge_4 FROM t""",
 )
 def _changepoints(spark, sf):
-    return calendar_effects.changepoint_features(panels.nation_monthly(spark, sf), 4, ["nation"])
+    return calendar_effects.changepoint_features(panels.nation_monthly(spark, sf, closed=False), 4, ["nation"])
 
 
 @query(
     "holiday_join",
     "o_orderdate:d holiday:s is_holiday:i orders:i",
-    """WITH h AS (SELECT * FROM (VALUES (1, 1, 'new year'), (5, 1, 'labour day'), (12, 25, 'christmas'), (12, 26, 'christmas')) AS v(m, d, holiday)),
+    """WITH h AS (SELECT * FROM (VALUES (1, 1, 'new year'), (5, 1, 'labour day'), (12, 25, 'christmas'), (12, 26, 'christmas'), (12, 26, 'boxing day')) AS v(m, d, holiday)),
 o AS (SELECT CAST(o_orderdate AS DATE) AS o_orderdate, count(*) AS orders FROM orders GROUP BY 1),
-cal AS (SELECT make_date(CAST(y AS BIGINT), m, d) AS ds, holiday FROM h, (SELECT DISTINCT year(o_orderdate) AS y FROM orders))
+cal AS (SELECT make_date(CAST(y AS BIGINT), m, d) AS ds, string_agg(DISTINCT holiday, ', ' ORDER BY holiday) AS holiday
+  FROM h, (SELECT DISTINCT year(o_orderdate) AS y FROM orders) GROUP BY 1)
 SELECT o_orderdate, holiday, CASE WHEN holiday IS NULL THEN 0 ELSE 1 END AS is_holiday, orders FROM o LEFT JOIN cal ON ds = o_orderdate""",
 )
 def _holidays(spark, sf):
     orders = table(spark, sf, "orders")
     days = orders.groupBy(F.to_date("o_orderdate").alias("o_orderdate")).agg(F.count("*").alias("orders"))
     fixed = F.expr("array(named_struct('m', 1, 'd', 1, 'holiday', 'new year'), named_struct('m', 5, 'd', 1, 'holiday', 'labour day'), "
-                   "named_struct('m', 12, 'd', 25, 'holiday', 'christmas'), named_struct('m', 12, 'd', 26, 'holiday', 'christmas'))")
+                   "named_struct('m', 12, 'd', 25, 'holiday', 'christmas'), named_struct('m', 12, 'd', 26, 'holiday', 'christmas'), "
+                   "named_struct('m', 12, 'd', 26, 'holiday', 'boxing day'))")
     years = orders.select(F.year("o_orderdate").alias("y")).distinct().select("y", F.explode(fixed).alias("h"))
     holidays = years.select(F.make_date("y", F.col("h.m"), F.col("h.d")).alias("ds"), F.col("h.holiday").alias("holiday"))
     return calendar_effects.holiday_join(days, holidays, "o_orderdate")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import by_time, complete_rows
 from ..operators import features, profile
 from . import panels
-from .panels import NATION_M
+from .panels import NATION_ALL
 from .registry import query
 
 _W = "(PARTITION BY nation ORDER BY ts)"
@@ -139,11 +139,11 @@ _LAGGED = model_sql(1)
 
 
 def _simple(name: str, columns: Sequence[str], complete: bool, fn) -> None:
-    sql = f"WITH {NATION_M},\n{feature_cte('f', columns, complete)}\nSELECT * FROM f"
+    sql = f"WITH {NATION_ALL},\n{feature_cte('f', columns, complete)}\nSELECT * FROM f"
 
     @query(name, _spec(columns), sql)
     def _run(spark, sf):
-        return fn(panels.nation_monthly(spark, sf), ["nation"])
+        return fn(panels.nation_monthly(spark, sf, closed=False), ["nation"])
 
 
 _simple("lag_features", _LAGS, False, features.lag_features)
@@ -158,12 +158,12 @@ _simple("model_features_lagged", _LAGGED, True, lambda df, keys: features.model_
 @query(
     "lookback_sequences",
     "nation:i ts:d target:2 recent:s",
-    f"""WITH {NATION_M}, w AS (SELECT nation, ts, y AS target,
+    f"""WITH {NATION_ALL}, w AS (SELECT nation, ts, y AS target,
   list(CAST(CAST(y AS DECIMAL(18, 2)) AS VARCHAR)) OVER (PARTITION BY nation ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS items FROM nm)
 SELECT nation, ts, target, array_to_string(items, ' ') AS recent FROM w WHERE len(items) = 12""",
 )
 def _sequences(spark, sf):
-    rows = features.lookback_sequences(panels.nation_monthly(spark, sf), ["nation"])
+    rows = features.lookback_sequences(panels.nation_monthly(spark, sf, closed=False), ["nation"])
     texts = F.transform("window", lambda v: v.cast("decimal(18,2)").cast("string"))
     return rows.withColumn("recent", F.array_join(texts, " "))
 
@@ -172,11 +172,11 @@ def _scaled(method: str, expr: str) -> None:
     cols = ("y_lag_1", "linear_trend", "month")
     made = ", ".join(expr.replace("{c}", c) + f" AS {c}" for c in cols)
     base = [_LAGS[0], _TREND[0], "month(ts) AS month"]
-    sql = f"WITH {NATION_M},\n{feature_cte('f', base, True)}\nSELECT nation, ts, y, {made} FROM f"
+    sql = f"WITH {NATION_ALL},\n{feature_cte('f', base, True)}\nSELECT nation, ts, y, {made} FROM f"
 
     @query(f"scale_{method}", "nation:i ts:d y:2 y_lag_1:6 linear_trend:6 month:6", sql)
     def _run(spark, sf):
-        df = panels.nation_monthly(spark, sf)
+        df = panels.nation_monthly(spark, sf, closed=False)
         w = by_time(["nation"])
         made = complete_rows(
             df.withColumns({"y_lag_1": F.lag("y").over(w), "linear_trend": F.row_number().over(w) - 1, "month": F.month("ts")})
@@ -194,12 +194,12 @@ _scaled(
 @query(
     "interaction_features",
     'nation:i ts:d first_second:2 first_month:2 second_month:2 all_three:2',
-    f"""WITH {NATION_M}, f AS (SELECT nation, ts, y / 1000000 AS y, lag(y / 1000000) OVER {_W} AS before, month(ts) AS month FROM nm)
+    f"""WITH {NATION_ALL}, f AS (SELECT nation, ts, y / 1000000 AS y, lag(y / 1000000) OVER {_W} AS before, month(ts) AS month FROM nm)
 SELECT nation, ts, y * before AS first_second, y * month AS first_month, before * month AS second_month,
   y * before * month AS all_three FROM f WHERE before IS NOT NULL""",
 )
 def _interactions(spark, sf):
-    df = panels.nation_monthly(spark, sf).withColumn("y", F.col("y") / 1000000)
+    df = panels.nation_monthly(spark, sf, closed=False).withColumn("y", F.col("y") / 1000000)
     df = complete_rows(df.withColumns({"before": F.lag("y").over(by_time(["nation"])), "month": F.month("ts")}))
     out = features.interaction_features(df, ["y", "before", "month"], 3)
     renamed = {"y before": "first_second", "y month": "first_month", "before month": "second_month", "y before month": "all_three"}
@@ -221,8 +221,8 @@ def _importance_sql(columns: Sequence[str], source: str = "f") -> str:
 
 
 _RANKED = "row_number() OVER (PARTITION BY nation ORDER BY round(importance, 9) DESC NULLS LAST, feature) AS rank"
-_ALL_F = f"{NATION_M},\n{feature_cte('f_once', _ALL, True)},\nf AS MATERIALIZED (SELECT * FROM f_once)"
-_LAGGED_F = f"{NATION_M},\n{feature_cte('f_once', _LAGGED, True)},\nf AS MATERIALIZED (SELECT * FROM f_once)"
+_ALL_F = f"{NATION_ALL},\n{feature_cte('f_once', _ALL, True)},\nf AS MATERIALIZED (SELECT * FROM f_once)"
+_LAGGED_F = f"{NATION_ALL},\n{feature_cte('f_once', _LAGGED, True)},\nf AS MATERIALIZED (SELECT * FROM f_once)"
 
 
 @query(
@@ -231,7 +231,7 @@ _LAGGED_F = f"{NATION_M},\n{feature_cte('f_once', _LAGGED, True)},\nf AS MATERIA
     f"WITH {_ALL_F}\n{_importance_sql(_ALL)}",
 )
 def _importance(spark, sf):
-    return profile.feature_importance(features.all_features(panels.nation_monthly(spark, sf), ["nation"]), "y", ["nation"])
+    return profile.feature_importance(features.all_features(panels.nation_monthly(spark, sf, closed=False), ["nation"]), "y", ["nation"])
 
 
 @query(
@@ -240,7 +240,7 @@ def _importance(spark, sf):
     f"WITH {_ALL_F},\ni AS ({_importance_sql(_ALL)})\nSELECT * FROM (SELECT *, {_RANKED} FROM i) WHERE rank <= 20",
 )
 def _top_k(spark, sf):
-    return profile.top_k_features(features.all_features(panels.nation_monthly(spark, sf), ["nation"]), "y", 20, ["nation"])
+    return profile.top_k_features(features.all_features(panels.nation_monthly(spark, sf, closed=False), ["nation"]), "y", 20, ["nation"])
 
 
 def _families_sql() -> str:
@@ -261,7 +261,7 @@ SELECT *, {_families_sql()} AS families,
   CASE WHEN importance > 0.7 THEN 'strong' WHEN importance < 0.3 THEN 'weak' ELSE 'medium' END AS strength FROM r""",
 )
 def _correlations(spark, sf):
-    found = profile.correlation_report(features.all_features(panels.nation_monthly(spark, sf), ["nation"]), "y", 15, ["nation"])
+    found = profile.correlation_report(features.all_features(panels.nation_monthly(spark, sf, closed=False), ["nation"]), "y", 15, ["nation"])
     return found.withColumn("families", F.concat_ws(",", "families"))
 
 
@@ -279,7 +279,7 @@ _MATRIX = ("y", "y_lag_1", "y_lag_12", "y_rolling_mean_3", "y_rolling_std_12", "
     ),
 )
 def _matrix(spark, sf):
-    return profile.correlation_matrix(features.all_features(panels.nation_monthly(spark, sf), ["nation"]), _MATRIX, ["nation"])
+    return profile.correlation_matrix(features.all_features(panels.nation_monthly(spark, sf, closed=False), ["nation"]), _MATRIX, ["nation"])
 
 
 @query(
@@ -292,5 +292,5 @@ SELECT r.*, importance * importance * (n - 2) / (1 - importance * importance) AS
 FROM (SELECT *, {_RANKED} FROM i) r JOIN s USING (nation) WHERE rank <= 15""",
 )
 def _k_best(spark, sf):
-    made = features.model_features(panels.nation_monthly(spark, sf), ["nation"], lagged=True)
+    made = features.model_features(panels.nation_monthly(spark, sf, closed=False), ["nation"], lagged=True)
     return features.select_k_best(made, "y", 15, ["nation"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scenario, trend
 from . import panels
-from .panels import FLAG_M, NATION_M, ORDERS_M
+from .panels import FLAG_ALL, NATION_ALL, NATION_M, ORDERS_M
 from .registry import query
 
 _IDX = "idx AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY nation) AS n FROM nm)"
@@ -15,25 +15,25 @@ _IDX = "idx AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY ts) -
 @query(
     "linear_trend",
     "nation:i ts:d y:2 idx:i slope:4 intercept:2 trend_line:2 interpretation:s",
-    f"""WITH {NATION_M}, {_IDX}, s AS (SELECT nation, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept FROM idx GROUP BY 1)
+    f"""WITH {NATION_ALL}, {_IDX}, s AS (SELECT nation, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept FROM idx GROUP BY 1)
 SELECT idx.nation, ts, y, i AS idx, slope, intercept, intercept + slope * i AS trend_line,
   CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS interpretation FROM idx JOIN s USING (nation)""",
 )
 def _linear(spark, sf):
-    return trend.linear_trend(panels.nation_monthly(spark, sf), ["nation"])
+    return trend.linear_trend(panels.nation_monthly(spark, sf, closed=False), ["nation"])
 
 
 @query(
     "growth_rates",
     "nation:i n_growth:i mean_growth:6 std_growth:6 recent_3:6 recent_12:6",
-    f"""WITH {NATION_M},
+    f"""WITH {NATION_ALL},
 g AS (SELECT nation, ts, (y - lag(y) OVER w) / nullif(lag(y) OVER w, 0) AS g FROM nm WINDOW w AS (PARTITION BY nation ORDER BY ts)),
 r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY ts DESC) AS b FROM g WHERE g IS NOT NULL)
 SELECT nation, count(*) AS n_growth, avg(g) AS mean_growth, stddev_samp(g) AS std_growth, avg(g) FILTER (b <= 3) AS recent_3,
   CASE WHEN count(*) >= 12 THEN avg(g) FILTER (b <= 12) END AS recent_12 FROM r GROUP BY 1""",
 )
 def _growth(spark, sf):
-    return trend.growth_rates(panels.nation_monthly(spark, sf), ["nation"])
+    return trend.growth_rates(panels.nation_monthly(spark, sf, closed=False), ["nation"])
 
 
 def _decomposition_sql(model: str) -> str:
@@ -41,7 +41,7 @@ def _decomposition_sql(model: str) -> str:
         "additive": ("y - trend", "m - avg(m) OVER a", "y - trend - seasonal"),
         "multiplicative": ("y / nullif(trend, 0)", "m / avg(m) OVER a", "y / nullif(trend * seasonal, 0)"),
     }[model]
-    return f"""WITH {FLAG_M},
+    return f"""WITH {FLAG_ALL},
 t AS (SELECT flag, status, ts, y, (row_number() OVER w - 1) % 12 AS pos,
     CASE WHEN count(y) OVER (PARTITION BY flag, status ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
       AND count(*) OVER (PARTITION BY flag, status) >= 24
@@ -60,7 +60,7 @@ def _decomposition(model: str, places: int) -> None:
         _decomposition_sql(model),
     )
     def _run(spark, sf):
-        return trend.decompose(panels.flag_monthly(spark, sf), ["flag", "status"], model=model)
+        return trend.decompose(panels.flag_monthly(spark, sf, closed=False), ["flag", "status"], model=model)
 
 
 _decomposition("additive", 2)
@@ -76,7 +76,7 @@ v AS (SELECT flag, status, 'trend' AS component, var_samp(trend) AS variance FRO
 SELECT *, variance * 100.0 / sum(variance) OVER (PARTITION BY flag, status) AS importance FROM v""",
 )
 def _components(spark, sf):
-    parts = trend.decompose(panels.flag_monthly(spark, sf), ["flag", "status"])
+    parts = trend.decompose(panels.flag_monthly(spark, sf, closed=False), ["flag", "status"])
     return trend.component_shares(parts, ["trend", "seasonal"], ["flag", "status"])
 
 
