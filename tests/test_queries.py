@@ -10,10 +10,11 @@ import pytest
 
 import __spark_entry__ as contract
 from tests.compare import TABLES, difference
+from tidemill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 # queries whose building itself runs training or streaming jobs
 EAGER = {
     "stream_ingest", "stream_daily", "lookback_forecast", "lag_regression_pooled", "lag_regression_forecast", "outlier_isolation",
@@ -31,7 +32,8 @@ def con():
 
 
 def test_contract(spark):
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() == 1
 
 
