@@ -113,7 +113,7 @@ def clean_report(
     if ts is None or y is None:
         ts, y = require_roles([c for c in df.columns if c not in keys])
     order = [seq] if isinstance(seq, str) else list(seq or [])
-    reduced = _reduced(df.select(*keys, ts, y, *order), keys, ts, y, order, formats, block)
+    reduced = _reduced(df, keys, ts, y, order, formats, block)  # all columns, as in clean: without seq they break ties
     timed = F.col("ts").isNotNull()
     return reduced.groupBy(*keys).agg(
         F.sum("_rows").alias("rows_in"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def load(spark: SparkSession, path: str, file_type: str | None = None, schema: T.StructType | str | None = None, **options) -> DataFrame:
+def load(spark: SparkSession, path: str | list[str], file_type: str | None = None, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """Read one path or glob by its type (given, or from the extension); unknown types fail before any job."""
     kind = (file_type or extension_of(path)).lower()
     if kind == "csv":
@@ -45,14 +46,24 @@ def load(spark: SparkSession, path: str, file_type: str | None = None, schema: T
     if kind == "json":
         return read_json(spark, path, schema, **options)
     if kind == "parquet":
-        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(*([path] if isinstance(path, str) else path))
     raise ValueError(f"unsupported file type {kind!r}; one of {READABLE}")
 
 
 def load_many(spark: SparkSession, paths: Sequence[str], source_column: str | None = None, **options) -> DataFrame:
-    """One table from files of different types and columns; columns a file lacks are null."""
+    """One table from files of different types and columns; columns a file lacks are null.
+
+    With a schema, all paths of a type are one scan.
+    """
     if not paths:
         raise ValueError("no paths given")
+    if options.get("schema") is not None and not source_column:
+        kinds: dict[str, list[str]] = {}
+        for p in paths:
+            kinds.setdefault((options.get("file_type") or extension_of(p)).lower(), []).append(p)
+        schema, rest = options["schema"], {k: v for k, v in options.items() if k not in ("schema", "file_type")}
+        frames = [load(spark, own, kind, schema, **rest) for kind, own in kinds.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     frames = [load(spark, p, **options) for p in paths]
     if source_column:
         frames = [f.withColumn(source_column, F.lit(p)) for f, p in zip(frames, paths)]
@@ -102,6 +113,6 @@ def ingest(
     out = Ingest(raw, validation, counted["n"] > 0 and counted["bad"] == 0)
     if out.is_valid:
         out.cleaned = clean(raw, keys, seq=seq)
-        out.report = clean_report(raw, keys)
+        out.report = clean_report(raw, keys, seq=seq)
         out.summary = summary(out.cleaned, keys)
     return out
