@@ -71,7 +71,7 @@ def plain_scores(rows, depth: int) -> list[float]:
     return [sum(math.log10(chance(c, b, x, 0)) for c, b, x in steps(_low(text))) for _, text in rows]
 
 
-@pytest.mark.parametrize("share", [6_000_000, 7])
+@pytest.mark.parametrize("share", [5_000_000, 7])
 def test_scores_equal_plain_recursion(spark, share):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in ROWS], "doc_id long, text string, row int, base string")
     got = {r.doc_id: r for r in lm_scoring.score(docs, depth=2, share_grams=share).collect()}

@@ -26,7 +26,7 @@ from .tables import keep, width
 from .text import Texts, mix, signed, texts, word_hashes
 
 DEPTH = 5
-SHARE_GRAMS = 6_000_000
+SHARE_GRAMS = 5_000_000
 FLUSH = 3_000_000
 END_WORD = np.uint64(0x5EED)  # stands for the end of a text among word hashes
 _COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("word", pa.bool_())])
@@ -123,11 +123,14 @@ def _values(column: pa.Array, kind: str, wide: int) -> np.ndarray:
 
 
 class Table:
-    """Values by 64-bit key: open addressing, with 32 bits of the key kept beside each value."""
+    """Values by 64-bit key, for up to ``room`` keys: open addressing, with 32 bits of the key kept beside each value."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.size = 1 << max(4, int(np.ceil(np.log2(1.4 * max(1, len(keys))))))
-        self.marks, self.values = np.zeros(self.size, dtype=np.uint32), np.zeros(self.size, dtype=values.dtype)
+    def __init__(self, room: int, kind: str):
+        self.size = 1 << max(4, int(np.ceil(np.log2(1.4 * max(1, room)))))
+        self.marks, self.values = np.zeros(self.size, dtype=np.uint32), np.zeros(self.size, dtype=kind)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct keys that are not there yet."""
         slot, mark = self._place(keys)
         left = np.arange(len(keys))
         while len(left):
@@ -162,9 +165,13 @@ class Table:
 
 
 def _share(table: DataFrame, shares: int, k: int, value: str, kind: str) -> Table:
+    """The ``k``-th share of a table, put in batch by batch to keep the driver's memory low."""
     own = table if shares == 1 else table.where(F.pmod(F.xxhash64("key"), F.lit(shares)) == k)
-    rows = own.select("key", value).toArrow().combine_chunks()
-    return Table(rows["key"].to_numpy().view(np.uint64), rows[value].to_numpy().astype(kind))
+    rows = own.select("key", value).toArrow()
+    out = Table(rows.num_rows, kind)
+    for batch in rows.to_batches(max_chunksize=1 << 18):
+        out.add(batch.column("key").to_numpy().view(np.uint64), batch.column(value).to_numpy().astype(kind))
+    return out
 
 
 def _score(depth: int, sent):
