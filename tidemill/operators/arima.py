@@ -103,7 +103,7 @@ def css_fit(z: np.ndarray, masks: np.ndarray, layout: Layout, rounds: int = 25)
 
     resid = css_residuals(z, params, layout)
     sse = sse_of(resid)
-    for _ in range(rounds):
+    for _ in range(rounds if k else 0):  # without weights there is nothing to fit
         moved = (params[:, None, :] + step * eye[None]).reshape(-1, k)
         slopes = (css_residuals(z, moved, layout).reshape(n_cand, k, -1) - resid[:, None, :]) / step
         slopes = np.nan_to_num(slopes * masks[:, :, None], posinf=0.0, neginf=0.0)

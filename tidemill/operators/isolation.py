@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import attach, by_time, per_series, ratio, spread
 
-# Fixed value: rows each tree is grown on.
+# Rows each tree is grown on unless stated otherwise.
 SAMPLE = 256
 EULER = 0.5772156649015329
 TREE_BLOCK = 10
@@ -92,9 +92,9 @@ def forest_score(points: np.ndarray, forest: Forest, sample: int) -> np.ndarray:
     return np.power(2.0, -mean_path / max(float(expected_path(sample)), 1e-12))
 
 
-def draw_samples(points: np.ndarray, hashes: np.ndarray, trees: Sequence[int], seed: int) -> np.ndarray:
+def draw_samples(points: np.ndarray, hashes: np.ndarray, trees: Sequence[int], seed: int, sample_rows: int = SAMPLE) -> np.ndarray:
     """Per tree, the rows with the smallest re-hashed ids: uniform samples that ignore row order."""
-    size = min(SAMPLE, len(points))
+    size = min(sample_rows, len(points))
     ids = np.ascontiguousarray(hashes).view(np.uint64)
     out = np.empty((len(trees), size, points.shape[1]))
     for i, tree in enumerate(trees):
@@ -113,6 +113,8 @@ def isolation_scores(
     scale: str = "series",
     seed: int = 42,
     trees: int = 100,
+    sample_rows: int = SAMPLE,
+    pool_rows: int | None = None,
 ) -> DataFrame:
     """The frame with ``outlier_score_isolation`` (0..1, higher is odder).
 
@@ -120,10 +122,13 @@ def isolation_scores(
     ``row_id`` identifies a row within its key and seeds the samples. For
     ``scale="series"`` nulls are filled in time order first and each key has its
     own forest; for ``scale="rows"`` nulls count as the key's mean and there is
-    one forest over all rows.
+    one forest over all rows. Each tree is grown on ``sample_rows`` rows; of raw
+    rows all trees draw theirs from a uniform sample of ``pool_rows`` of the
+    whole table (``trees * sample_rows`` unless stated, so that the trees' samples
+    overlap little). Every row is scored.
     """
     if scale == "rows":
-        return _score_rows(df, keys, row_id, features, seed, trees)
+        return _score_rows(df, keys, row_id, features, seed, trees, sample_rows, pool_rows or trees * sample_rows)
     order, whole = by_time(keys, row_id[0]), per_series(keys)
     filled = {
         f"_f{i}": F.coalesce(
@@ -140,18 +145,18 @@ def isolation_scores(
 
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
         points, hashes = np.vstack(pdf["_x"].to_numpy()).astype(float), pdf["_h"].to_numpy()
-        forest = grow_forest(draw_samples(points, hashes, range(trees), seed), [seed])
-        return pdf.assign(outlier_score_isolation=forest_score(points, forest, min(SAMPLE, len(points))))
+        forest = grow_forest(draw_samples(points, hashes, range(trees), seed, sample_rows), [seed])
+        return pdf.assign(outlier_score_isolation=forest_score(points, forest, min(sample_rows, len(points))))
 
     return spread(work, *keys).groupBy(*keys).applyInPandas(one_series, schema).drop("_x", "_h")
 
 
 def _score_rows(
-    df: DataFrame, keys: Sequence[str], row_id: Sequence[str], features: Sequence[str], seed: int, trees: int
+    df: DataFrame, keys: Sequence[str], row_id: Sequence[str], features: Sequence[str], seed: int, trees: int, sample_rows: int, pool_rows: int
 ) -> DataFrame:
     """One forest for all rows: pool -> trees grown in blocks -> broadcast nodes -> vectorised scoring.
 
-    The pool is the ``trees * SAMPLE`` rows with the smallest hashes, a uniform
+    The pool is the ``pool_rows`` rows with the smallest hashes, a uniform
     sample of fixed size found by a top-k, not a sort. Sampling is part of the
     method; every row is scored.
     """
@@ -171,7 +176,7 @@ def _score_rows(
     pool = (
         work.select("_h", "_x")
         .orderBy("_h", "_x")
-        .limit(trees * SAMPLE)
+        .limit(pool_rows)
         .agg(F.collect_list("_h").alias("hashes"), F.collect_list("_x").alias("points"))
     )
 
@@ -182,10 +187,10 @@ def _score_rows(
                     continue
                 points = np.vstack(packed).astype(float)
                 mine = range(block * TREE_BLOCK, min((block + 1) * TREE_BLOCK, trees))
-                forest = grow_forest(draw_samples(points, np.asarray(hashes, dtype=np.int64), mine, seed), [seed, block])
+                forest = grow_forest(draw_samples(points, np.asarray(hashes, dtype=np.int64), mine, seed, sample_rows), [seed, block])
                 flat = [part.astype(float).ravel() for part in forest]
                 yield pd.DataFrame(
-                    {"block": [block], "n_trees": [len(mine)], "size": [min(SAMPLE, len(points))],
+                    {"block": [block], "n_trees": [len(mine)], "size": [min(sample_rows, len(points))],
                      "feature": [flat[0]], "cut": [flat[1]], "path": [flat[2]]}
                 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import additive, arima, crossval, lagreg, lookback
 from . import forecasting, panels
-from .panels import NATION_M
+from .panels import NATION_M, PRIORITY_M
 from .registry import query
 
 NATION = ["nation"]
@@ -18,6 +18,24 @@ def _arima(spark, sf):
     return arima.arima_forecast(panels.nation_monthly(spark, sf), NATION)
 
 
+@query(
+    "arima_seasonal_naive",
+    _FORECAST + " status:s",
+    f"""WITH {NATION_M},
+o AS (SELECT nation, ts, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY nation) AS n,
+  y - lag(y) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS z FROM nm WINDOW w AS (PARTITION BY nation ORDER BY ts)),
+s AS (SELECT nation, sqrt(avg(z * z)) AS sigma, max(n) AS n, max(ts) AS hi FROM o GROUP BY 1),
+e AS (SELECT s.*, o.y AS last_y, b.y AS year_before FROM s JOIN o ON o.nation = s.nation AND o.i = s.n JOIN o AS b ON b.nation = s.nation AND b.i = s.n - 12),
+p AS (SELECT e.nation, step, last_day(CAST(hi AS DATE) - INTERVAL 27 DAY + INTERVAL 1 MONTH * step) AS ds, o.y + last_y - year_before AS yhat,
+  1.959963984540054 * sigma * sqrt(step) AS half
+  FROM e, unnest(range(1, 13)) AS t(step) JOIN o ON o.nation = e.nation AND o.i = e.n - 12 + step)
+SELECT nation, step, ds, yhat, yhat - half AS lower, yhat + half AS upper, 'success' AS status FROM p""",
+)
+def _arima_naive(spark, sf):
+    """The model without weights, whose forecast and interval are plain arithmetic."""
+    return arima.arima_forecast(panels.nation_monthly(spark, sf), NATION, order=(0, 1, 0), seasonal=(0, 1, 0))
+
+
 @query("arima_exog_forecast", _FORECAST + " status:s")
 def _arima_exog(spark, sf):
     """Days per month and a year-end flag as regressors, known ahead from the calendar."""
@@ -89,6 +107,25 @@ def _lag_single(spark, sf):
     return fitted.withColumns({"slope": slope, "intercept": F.col("intercept") - slope * F.col("center")[0]})
 
 
+@query(
+    "lag_regression_forecast_single",
+    _FORECAST,
+    f"""WITH {NATION_M},
+f AS (SELECT nation, ts, y, lag(y) OVER w AS x, row_number() OVER w AS rn FROM nm WINDOW w AS (PARTITION BY nation ORDER BY ts)),
+c AS (SELECT nation, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f WHERE rn > 12 GROUP BY 1),
+r AS (SELECT nation, any_value(a) AS a, any_value(b) AS b, 1.96 * stddev_pop(y - a - b * x) AS half FROM f JOIN c USING (nation) WHERE rn > 12 GROUP BY 1),
+e AS (SELECT nation, max(ts) AS hi, arg_max(y, ts) AS last_y FROM nm GROUP BY 1),
+p AS (SELECT nation, step, last_day(CAST(hi AS DATE) - INTERVAL 27 DAY + INTERVAL 1 MONTH * step) AS ds, a * (1 - b ** step) / (1 - b) + b ** step * last_y AS yhat, half
+  FROM r JOIN e USING (nation), unnest(range(1, 13)) AS t(step))
+SELECT nation, step, ds, yhat, yhat - half AS lower, yhat + half AS upper FROM p""",
+)
+def _lag_forecast_single(spark, sf):
+    """The recursion with the last value as its one feature, where it is a geometric sum."""
+    panel = panels.nation_monthly(spark, sf)
+    fitted = lagreg.lag_regression_fit(panel, NATION, features=["y_lag_1"])
+    return lagreg.lag_regression_forecast(panel, NATION, models=fitted)
+
+
 @query("lag_regression_forecast", _FORECAST)
 def _lag_forecast(spark, sf):
     return lagreg.lag_regression_forecast(panels.nation_monthly(spark, sf), NATION, model=lagreg.LagRegression("ridge"))
@@ -122,6 +159,33 @@ def _scores(spark, sf):
     return forecasting.holdout_scores(panels.priority_monthly(spark, sf), members(), ["priority"])
 
 
+def _repeat_last(df, keys, horizon):
+    last = df.groupBy(*keys).agg(F.max_by("y", "ts").alias("yhat"), F.max("ts").alias("hi"))
+    steps = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    none = F.lit(None).cast("double")
+    return steps.select(*keys, "step", F.last_day(F.add_months("hi", F.col("step"))).alias("ds"), "yhat", none.alias("lower"), none.alias("upper"))
+
+
+def _too_short(df, keys, horizon):
+    return _repeat_last(df, keys, horizon).withColumn("status", F.lit("short"))
+
+
+@query(
+    "ensemble_status",
+    "priority:s model:s mae:2 rmse:2 mape:4 status:s weight:6",
+    f"""WITH {PRIORITY_M},
+h AS (SELECT priority, ts, y, row_number() OVER (PARTITION BY priority ORDER BY ts) - 1 AS i, CAST(floor(count(*) OVER (PARTITION BY priority) * 0.8) AS BIGINT) AS cut FROM pm),
+b AS (SELECT priority, y AS base FROM h WHERE i = cut - 1),
+m AS (SELECT priority, avg(abs(y - base)) AS mae, sqrt(avg((y - base) ** 2)) AS rmse, avg(abs(y - base) / abs(nullif(y, 0))) * 100 AS mape
+  FROM h JOIN b USING (priority) WHERE i >= cut GROUP BY 1)
+SELECT priority, 'last' AS model, mae, rmse, mape, 'success' AS status, 1.0 AS weight FROM m
+UNION ALL SELECT priority, 'short', NULL, NULL, NULL, 'failed', 0.0 FROM m""",
+)
+def _status(spark, sf):
+    """Members' hold-out scores over every test row, their own status and their weights."""
+    return forecasting.fit(panels.priority_monthly(spark, sf), {"last": _repeat_last, "short": _too_short}, ["priority"]).contributions()
+
+
 @query("cv_models", "priority:s model:s n_folds:i avg_mae:2 std_mae:2 avg_rmse:2 std_rmse:2 avg_mape:4 std_mape:4")
 def _cv_models(spark, sf):
     """ARIMA and the additive model refitted on every fold of every series."""
