@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep
+from .tables import keep, small
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -87,7 +87,8 @@ def _far(c: str) -> Column:
 
 
 def _attach(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    return rows.join(facts, "group", "left")
+    """Rows of a hot group stay where they are: what is known of the groups goes to them."""
+    return rows.join(small(facts, "groups"), "group", "left")
 
 
 def _cholesky(facts: DataFrame) -> DataFrame:
@@ -170,6 +171,7 @@ def _judged(docs: DataFrame, cutoff: float, least_rows: int) -> DataFrame:
     sizes = passed.groupBy("lang", "source").agg((F.count(F.lit(1)) >= least_rows).alias("own"))
     group = F.when(F.col("own"), F.to_json(F.array("lang", "source"))).otherwise("the rest")
     sizes = sizes.select(F.col("lang").alias("l"), F.col("source").alias("s"), group.alias("group"))
+    sizes = small(sizes, "groups")
     named = passed.join(sizes, passed.lang.eqNullSafe(sizes.l) & passed.source.eqNullSafe(sizes.s), "left").drop("l", "s")
     found = mcd_distances(named.select("*", *[v.alias(s) for v, s in zip(_vector(), STATS)]))
     shown = ["row_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
