@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import keep, width
+from .tables import keep, small, width
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT = "allow"
@@ -112,7 +112,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     ruled = known.select(F.col("path").alias("scope"), F.col("prefix").alias("top"), F.concat("host", "path").alias("rule"), "verdict")
     fitting = hosts.join(swept.where("top is not null"), ["scope", "key"]).join(ruled, ["scope", "top"])
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("top"), "rule"))
-    won = fitting.groupBy("host", "longest").agg(best.alias("won"))
+    # kept before the pages meet it, so that a hot host's pages can be split
+    won = small(fitting.groupBy("host", "longest").agg(best.alias("won")), "won")
     judged = named.join(won, ["host", "longest"], "left")
     return judged.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
 
