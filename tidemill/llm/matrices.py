@@ -21,7 +21,7 @@ from . import bins
 from .tokens import encoded, vocabulary
 
 CAPACITY, END, PAD = 4096, 1, 0
-BUFFER_IDS = 6 << 20
+BUFFER_IDS = 4 << 20
 _ROW = pa.schema(
     [("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())),
      ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("positions", pa.binary())]
@@ -65,7 +65,7 @@ def packed_rows(docs: DataFrame, path: str | None = None, capacity: int = CAPACI
                 place -= np.repeat(np.append(cuts[:-1], used), np.append(np.diff(cuts), capacity - used)).astype("<u4")
                 rows.append((base + made, used, [x[0] for x in own], [x[1] for x in own], cuts.tolist(), matrix.tobytes(), place.tobytes()))
                 made += 1
-                if len(rows) == 256:
+                if len(rows) == 128:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW.types)], schema=_ROW)
                     rows = []
             if rows:

@@ -20,8 +20,8 @@ import pyarrow as pa
 
 from .text import Texts, texts, word_hashes
 
-CACHED_WORDS = 800_000  # under 200 MB a worker
-SLICE_BYTES = 16 << 20
+CACHED_WORDS = 500_000  # under 120 MB a worker
+SLICE_BYTES = 6 << 20
 _PARTS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")  # letters, a digit, other signs but the apostrophe
 _LETTER, _SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
