@@ -116,11 +116,13 @@ def _covered(part: Texts, i: int, grams: np.ndarray, gone: np.ndarray, window: i
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, key): hashes of the windows of a document that also start in a document with a smaller doc_id."""
-    texts_ = docs.select("doc_id", "text")
-    anchors = repeats.shared_keys(texts_, _emit_anchors(window, anchor), first_too=True)
-    # a left join, as in remove_repeats: the texts are then shuffled once for both
-    seeded = texts_.join(repeats.by_document(anchors, "seeds"), "doc_id", "left")
+    """(doc_id, key): hashes of the windows of a document that also start in a document with a smaller doc_id.
+
+    ``docs`` has doc_id and text, and what else the caller joins with the result.
+    """
+    anchors = repeats.shared_keys(docs.select("doc_id", "text"), _emit_anchors(window, anchor), first_too=True)
+    # a left join of all columns, as the callers do: the texts are then shuffled once for both
+    seeded = docs.join(repeats.by_document(anchors, "seeds"), "doc_id", "left")
     return repeats.shared_keys(seeded, _emit_windows(window, anchor), first_too=False)
 
 
@@ -137,8 +139,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     other and lose the same windows. Words are compared by 64-bit hashes of
     whole windows.
     """
-    gone = repeats.by_document(repeated_windows(docs, window, anchor), "gone")
-    held = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    read = docs.select("doc_id", "text")
+    held = read.join(repeats.by_document(repeated_windows(read, window, anchor), "gone"), "doc_id", "left")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
          ("spans", pa.list_(pa.list_(pa.int32())))]
@@ -180,8 +182,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     loses all becomes empty. n_chars, if there, is counted anew. As to nulls and
     repeated rows see :func:`remove_repeats`.
     """
-    gone = repeats.by_document(repeated_windows(docs, window, anchor), "gone")
-    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")).join(gone, "doc_id", "left")
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    read = docs.select("doc_id", "text", rest)
+    held = read.join(repeats.by_document(repeated_windows(read, window, anchor), "gone"), "doc_id", "left")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +201,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                         left[part.first + i] = b" ".join(raw[part.starts[b] : part.ends[e - 1]] for b, e in runs.tolist()).decode()
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], names=["row", "left"])
 
-    row = docs.select(F.struct(*docs.columns).alias("row")).schema.simpleString()[len("struct<row:") : -1]
+    row = read.select("row").schema.simpleString()[len("struct<row:") : -1]
     cut = held.select("text", "gone", "row").mapInArrow(cut_out, f"row {row}, left string")
     new = {"text": F.col("left"), "n_chars": F.length("left").cast("bigint")}
-    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return cut.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(result: DataFrame) -> DataFrame:
