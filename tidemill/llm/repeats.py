@@ -82,7 +82,7 @@ def shared_keys(df: DataFrame, emit: Emitter, first_too: bool) -> DataFrame:
                     new = several.copy()
                     if not head[0]:
                         new[0] &= not told
-                    own = np.concatenate([[keys[0]] if not head[0] else [], keys[heads]]).astype(np.int64)
+                    own = keys[heads] if head[0] else np.concatenate([keys[:1], keys[heads]])
                     out.append((firsts[new], own[new]))
                 told = bool(several[-1]) or (told and len(firsts) == 1 and not head[0])
                 key, first = keys[-1], int(firsts[-1])
