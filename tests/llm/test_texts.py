@@ -256,6 +256,23 @@ def test_rejected_rows_go(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_each_statistic_rejects_alone(spark):
+    good = [(k, " ".join(f"w{((k + 1) * j) % 97}" for j in range(40 + k))) for k in range(50)]
+    odd = {
+        "symbols": " ".join(f"w{j}" + "#" * (j % 3 == 0) for j in range(60)),
+        "length": " ".join(f"averylongword{j}" for j in range(60)),
+        "lines": "\n".join(random.Random(3).choices([f"x{j}" for j in range(12)], k=80)),
+        "repeats": " ".join(f"w{j}" for j in [*range(6), *range(54)]),
+        "size": " ".join(f"w{j * 7}" for j in range(40_000)),
+    }
+    long = "\n".join([" ".join(f"w{x}" for x in random.Random(k).choices(range(97), k=5)) for k in range(400)] + ["x y", "z a"] * 2)
+    rows = [*good, *((100 + k, t) for k, t in enumerate(odd.values())), (200, long)]
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, rows, more=False), least_rows=10).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {name: got[100 + k].kept for k, name in enumerate(odd)} == dict.fromkeys(odd, False)
+    assert all(got[k].kept for k in range(50)) and got[200].kept
+
+
 # ---- toxicity ------------------------------------------------------------------
 
 

@@ -24,7 +24,8 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 STATS = ("size", "length", "symbols", "lines", "repeats")
 # Least standard deviation of each statistic: a group of copies, or one that lacks something, does not make small differences odd.
-FLOORS = (1.0, 0.8, 0.1, 0.3, 0.25)
+# Each is so small that its statistic alone can pass the cutoff among rows that pass the base rules.
+FLOORS = (0.8, 0.2, 0.05, 0.15, 0.08)
 CUTOFF = 30.0  # of squared distance; beyond it lie under 2 in 10**5 rows of a normal law of five dimensions
 MEDIAN_5 = 4.3515  # the median of that law's squared distance
 SHARE, STEPS, LEAST_ROWS = 0.75, 3, 200
@@ -36,7 +37,7 @@ def _plain(column: Column, signs: str, to: str = "") -> Column:
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` without text and with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """``docs`` without text and with n_words, word_chars, n_symbols, n_dup_lines, n_lines and n_repeat_words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.filter(F.split(_plain(text, BLANKS, " " * len(BLANKS)), " ", -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda s: F.length(_plain(s, BLANKS)) > 0)
@@ -50,6 +51,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
         F.length(_plain(text, BLANKS)).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(_plain(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size("lines").cast("bigint").alias("n_lines"),
         F.coalesce(windows, F.array().cast("array<bigint>")).alias("windows"),
     )
     some = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -72,7 +74,7 @@ def _vector() -> list[Column]:
         F.log(words.cast("double")),
         F.log1p(chars / words) * 2,
         F.sqrt(F.col("n_symbols") / chars),
-        F.sqrt(F.col("n_dup_lines") / (F.col("n_dup_lines") + 3)),
+        F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
         F.sqrt(F.col("n_repeat_words") / words),
     ]
 
