@@ -136,6 +136,19 @@ def test_ids_equal_the_tokenizer():
     assert got == [tokens.encoder(path).whole.encode(t or "", add_special_tokens=False).ids for t in ODD]
 
 
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    held = ["<|endoftext|> x", "a<|endoftext|>b, c", "", None, "x <|startoftext|><|endoftext|> É", "<|endofte", "xt|> y", "<|ENDOFTEXT|>", "<|endoftext|>", "end"]
+    texts = [*held, *ODD, *[t for _, t in corpus(10)], *held]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokens.vocabulary(name)
+        own = Tokenizer.from_file(path)  # nothing else set
+        want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+        got = [ids[a:b].tolist() for ids, at in tokens.encoded(pa.array(texts), path) for a, b in zip(at[:-1], at[1:])]
+        assert got == want and any(max(ids, default=0) in (49407, 50256) for ids in want)
+
+
 def full_ids(rows):
     whole = tokens.encoder(tokens.vocabulary()).whole
     return [(d, [*whole.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows]

@@ -4,7 +4,8 @@ The vocabulary is read where the task runs, from a path that is a parameter.
 Texts are cut at white space, which this kind of tokenizer drops and never
 joins over. Of a slice of texts only the distinct pieces are encoded, through
 a bounded cache, and the ids of all its texts are then gathered by arrays. A
-vocabulary of another kind is given whole texts.
+text that holds an added token of the vocabulary, such as <|endoftext|>, is
+given whole to the tokenizer, as are all texts with a vocabulary of another kind.
 """
 
 from __future__ import annotations
@@ -41,12 +42,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         parts = [x["type"] for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"]
+        added = spec.get("added_tokens") or []
+        self.added = [x["content"].encode() for x in added if x["content"]]
+        # tokens that are matched after normalization cannot be looked for in the raw bytes
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and not any(x.get("normalized") for x in added)
         # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on
         own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = iter(range(256, 512))
@@ -77,6 +80,20 @@ class Encoder:
         return found
 
 
+def _holding(raw: bytes, offsets: np.ndarray, added: list[bytes]) -> list[int]:
+    """The texts of a slice that hold one of the ``added`` tokens within themselves."""
+    found = set()
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            i = int(np.searchsorted(offsets, at, "right")) - 1
+            inside = at + len(token) <= offsets[i + 1]
+            if inside:
+                found.add(i)
+            at = raw.find(token, int(offsets[i + 1]) if inside else at + 1)
+    return sorted(found)
+
+
 def _finer(part: Texts) -> None:
     """Cut words where a letter meets an ASCII sign other than the apostrophe: pieces that this kind of vocabulary never joins."""
     data, before = part.data, np.concatenate([[np.uint8(0)], part.data[:-1]])
@@ -118,4 +135,13 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarra
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(begins[which] - (ends - count), count) + np.arange(total)
-        yield np.frombuffer(b"".join(found), dtype="<u4")[at], np.concatenate([[0], ends])[part.bounds]
+        ids, places = np.frombuffer(b"".join(found), dtype="<u4")[at], np.concatenate([[0], ends])[part.bounds]
+        held = _holding(raw, part.offsets, code.added)
+        if held:
+            sizes, chunks, done = np.diff(places), [], 0
+            for i in held:
+                own = np.frombuffer(code.plain(raw[part.offsets[i] : part.offsets[i + 1]].decode()), dtype="<u4")
+                chunks += [ids[done : places[i]], own]
+                sizes[i], done = len(own), places[i + 1]
+            ids, places = np.concatenate([*chunks, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])
+        yield ids, places
