@@ -113,6 +113,30 @@ def test_notices_equal_search(spark):
     assert license_scan.scan(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_whole_license_texts_are_found(spark):
+    rng = random.Random(5)
+    whole = {name: max(xs, key=len) for name, xs in license_scan.NOTICES.items() if max(map(len, xs)) > 400}
+    assert {"MIT", "ISC", "Unlicense", "CC0-1.0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause"} <= set(whole)
+    docs, names = [], []
+    for name, text in sorted(whole.items()):
+        edited = ["changed" if rng.random() < 0.02 else w for w in text.split()]
+        for body in (text.split(), edited):
+            docs.append((len(docs), " ".join([*(f"a{k}" for k in range(rng.randint(0, 300))), *body, *(f"b{k}" for k in range(rng.randint(0, 300)))])))
+            names.append(name)
+    header = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for name, *x in (("GPL-2.0", "program", "", "2"), ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")):
+        docs.append((len(docs), header.format(*x)))
+        names.append(name)
+    docs.append((len(docs), whole["MIT"].split("\n\n")[0]))
+    names.append("MIT")
+    best = {}
+    for r in license_scan.scan(frame(spark, docs)).collect():
+        best.setdefault(r.doc_id, {})[r.license] = r.containment
+    assert [n for k, n in enumerate(names) if n not in best.get(k, {})] == []
+    assert all(best[k][n] == max(best[k].values()) for k, n in enumerate(names) if best[k][n] == 1)
+    assert all(best[k][n] == 1 for k, n in enumerate(names) if k >= 2 * len(whole))
+
+
 def test_bands_promise():
     assert license_scan.guarantee(0.4) > 0.99999
     with pytest.raises(ValueError, match="too seldom"):

@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping text windows, then exact containment.
 
-A template is a license notice. Templates of about one length are a class, and
+A template is a license notice, header or whole text. Templates of about one length are a class, and
 its windows are half as long again and overlap by the longest template, so each
 notice in a text lies whole in a window of which it makes up nearly half. With
 that similarity s, the window and the template share a band of ROWS MinHash values in BANDS
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ CLASS_RATIO = 1.25
 MAX_CHARS = 4 << 20  # of all templates
 _HIT = "doc_id bigint, license string, containment double, first_word bigint, last_word bigint"
 
-# Short notices as they are commonly written.
-NOTICES = {
+# Short notices and headers as they are commonly written; whole texts are in the folder licenses.
+NOTICES: dict[str, list[str]] = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
@@ -43,6 +44,13 @@ NOTICES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "proprietary": ["All rights reserved."],
 }
+_HEADER = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+for _license, _what, _name, _version in (("GPL-2.0", "program", "", "2"), ("LGPL-2.1", "library", "Lesser", "2.1"), ("LGPL-3.0", "library", "Lesser", "3"), ("LGPL-3.0", "program", "Lesser", "3"), ("AGPL-3.0", "program", "Affero", "3")):
+    NOTICES.setdefault(_license, []).append(" ".join(_HEADER.format(what=_what, name=_name, version=_version).split()))
+for _file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+    if _file.name.endswith(".txt"):
+        NOTICES.setdefault(_file.name[:-4], []).append(_file.read_text(encoding="utf-8"))
+NOTICES["MIT"].append(NOTICES["MIT"][-1].split("\n\n")[0])  # the grant alone
 
 
 def guarantee(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
@@ -105,20 +113,22 @@ def _classes(templates: dict[str, list[str]], rows: int, bands: int, shingle: in
     return out
 
 
-def _windows(part: Texts, cls: _Class, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The text, first shingle and end of shingles of each window that has a whole shingle."""
+def _windows(part: Texts, cls: _Class, shingle: int, contained: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text, first shingle and end of shingles of each window that has a whole shingle, and enough of them to hold a template."""
     n = np.where(part.counts >= shingle, -(-part.counts // cls.step), 0)
     own = np.repeat(np.arange(len(part)), n)
     starts = part.bounds[:-1][own] + cls.step * (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
     last = part.bounds[1:][own] - shingle
     whole = starts <= last
     own, starts, last = own[whole], starts[whole], last[whole]
-    return own, starts, np.minimum(starts + cls.window - shingle + 1, last + 1)
+    ends = np.minimum(starts + cls.window - shingle + 1, last + 1)
+    enough = ends - starts >= contained * min(map(len, cls.grams)) - 1e-6
+    return own[enough], starts[enough], ends[enough]
 
 
-def _retrieve(part: Texts, grams: np.ndarray, known: list[_Class], seeds: np.ndarray, rows: int, shingle: int) -> Iterator[tuple[_Class, int, int, int, int]]:
+def _retrieve(part: Texts, grams: np.ndarray, known: list[_Class], seeds: np.ndarray, rows: int, shingle: int, contained: float) -> Iterator[tuple[_Class, int, int, int, int]]:
     """(class, text, template, first shingle, end) of windows that share a band with a template."""
-    windows = [_windows(part, cls, shingle) for cls in known]
+    windows = [_windows(part, cls, shingle, contained) for cls in known]
     least: list[list[np.ndarray]] = [[] for _ in known]
     for s in seeds:
         h = np.append(mix(grams ^ s), np.uint64(0))  # a place after the last, for windows that end there
@@ -140,7 +150,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
     ``docs`` has doc_id and text; other columns are left out. Words count
     without ASCII signs at their ends and with A-Z as a-z. ``templates`` are notices
     by license; one of fewer than ``shingle`` words is left out. A row is the best window of a document for a
-    license, from a ``contained`` share of a notice's shingles on. Null or empty texts hold none; a null doc_id stays null; repeated rows give repeated results.
+    license, from a ``contained`` share of a notice's shingles on; close relatives (GPL versions, BSD clauses) each give a row, the right one with the larger share. Null or empty texts hold none; a null doc_id stays null; repeated rows give repeated results.
     """
     known = _classes(NOTICES if templates is None else templates, rows, bands, shingle)
     seeds = _seeds(rows, bands)
@@ -153,7 +163,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
                 part = _trimmed(whole)
                 grams = gram_hashes(word_hashes(part), shingle)
                 best: dict[tuple[int, str], tuple[float, int, int]] = {}
-                for cls, i, k, b, e in _retrieve(part, grams, known, seeds, rows, shingle) if len(grams) else ():
+                for cls, i, k, b, e in _retrieve(part, grams, known, seeds, rows, shingle, contained) if len(grams) else ():
                     share = float(np.isin(cls.grams[k], grams[b:e]).mean())
                     if share >= contained and share > best.get((i, cls.names[k]), (0.0,))[0]:
                         at = int(part.bounds[i])
