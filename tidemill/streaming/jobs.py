@@ -94,7 +94,7 @@ def landed(spark: SparkSession, out: str, schema: T.StructType | None = None) ->
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch_id=*")
     found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
     if schema is not None and not found:
-        return spark.createDataFrame([], schema.add("batch_id", "int"))
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())]))
     return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
 
 
