@@ -144,3 +144,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies meet in every document, and how common their pairs are."""
+    from .alignment import scores
+
+    return scores(table(spark, sf_dir, "documents"))
