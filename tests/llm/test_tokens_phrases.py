@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.plain import corpus, frame
-from tidemill.llm import alignment, byte_tokens, tokens
+from tidemill.llm import alignment, byte_tokens, tokens, vector_packing
+from tidemill.llm.vector_packing import Limits
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 BYTE, PIECE = tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model")
@@ -132,3 +134,94 @@ def test_postings_return_their_entries(entries):
     row, back = alignment.unposted(rows, planes, count)
     assert np.repeat(pair, count).tolist() == keys[:, 0].tolist() and row.tolist() == keys[:, 1].tolist() and back.tolist() == links.tolist()
     assert alignment.link_count(planes, count).tolist() == [sum(m for (p, _), m in entries.items() if p == q) for q in pair.tolist()]
+
+
+# ---- vector packing -----------------------------------------------------------
+
+
+def wasted(lengths, tokens):
+    """Padding of a sequence of so many ids."""
+    return 0 if lengths & (lengths - 1) == 0 else tokens - lengths
+
+
+def held_ids(rows, whole):
+    return [(d, [*whole.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows]
+
+
+def checked_packing(got, want, limits):
+    """Every id in exactly one piece, places gapless, limits kept; returns the padding."""
+    found = defaultdict(list)
+    for r in got:
+        found[r.doc_id, r.doc_tokens].append((r.start, r.length, r.ids_crc32))
+    expected = defaultdict(list)
+    for doc, ids in want:
+        expected[doc, len(ids)].append(ids)
+    assert found.keys() == expected.keys()
+    for key, texts in expected.items():
+        if len(texts) > 1:  # repeated doc_ids: by their pieces' sums only
+            assert sum(n for _, n, _ in found[key]) == sum(map(len, texts))
+            continue
+        at = 0
+        for start, n, crc in sorted(found[key]):
+            assert start == at and crc == zlib.crc32(np.array(texts[0][at : at + n], "<u4"))
+            at += n
+        assert at == len(texts[0])
+    padding, sequences = 0, defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.concatenate([[0], np.cumsum([r.length for r in own])[:-1]]).tolist()
+        size = sum(r.length for r in own)
+        assert size <= limits.tokens and len(own) <= limits.segments and sum(r.loss_tokens for r in own) <= limits.most_loss
+        padding += wasted(size, limits.tokens)
+    return padding, len(sequences)
+
+
+@pytest.mark.parametrize("limits", [Limits(128, 8), Limits(256, 2), Limits(2048, 1), Limits(64, 64, 40), Limits(128, 100, 7)])
+@pytest.mark.parametrize("options", [{}, {"buffer_ids": 3000, "task_rows": 9}])
+def test_cut_packing_wastes_nothing(spark, plain_tokenizers, limits, options):
+    _, whole, _ = plain_tokenizers
+    rows = [*corpus(40), *((4000 + k, None) for k in range(90)), (7, "again"), (7, None), (5000, "x <|endoftext|> y")]
+    got = vector_packing.pack(frame(spark, rows).repartition(3), limits=limits, **options)
+    padding, n = checked_packing(got.collect(), held_ids(rows, whole), limits)
+    assert padding == 0
+    if limits.segments >= 8 and limits.loss is None and not options:
+        total = sum(len(x) for _, x in held_ids(rows, whole))
+        assert n <= total // limits.tokens + 1 + limits.tokens.bit_length() + 100 // limits.segments
+
+
+def test_packing_without_cuts_keeps_examples_whole(spark, plain_tokenizers):
+    _, whole, _ = plain_tokenizers
+    rows = [(k, " ".join(["word"] * (k % 50)), " ".join(["ask"] * (3 * k % 40))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, question string").repartition(3)
+    limits = Limits(96, 5, 60)
+    got = vector_packing.pack(df, prompt="question", limits=limits, cut=False, keep_ids=True).collect()
+    want = [(k, whole.encode(q, add_special_tokens=False).ids + whole.encode(t, add_special_tokens=False).ids + [1]) for k, t, q in rows]
+    assert all(r.length == r.doc_tokens for r in got) and len(got) == 200
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == dict(want)
+    assert {r.doc_id: r.loss_tokens for r in got} == {k: len(whole.encode(t, add_special_tokens=False).ids) + 1 for k, t, _ in rows}
+    _, n = checked_packing(got, want, limits)
+    least = max(sum(r.length for r in got) / 96, 200 / 5, sum(r.loss_tokens for r in got) / 60)
+    assert n <= 1.15 * least + 4
+    empty = spark.createDataFrame([], EMPTY)
+    assert vector_packing.pack(empty).count() == 0
+    with pytest.raises(ValueError, match="room"):
+        Limits(0)
+
+
+def test_dot_product_choice_equals_search():
+    rng = random.Random(8)
+    limits = Limits(100, 10, 50)
+    for _ in range(30):
+        pool = vector_packing.Pool(limits)
+        pieces = [vector_packing.Piece(k, 0, np.zeros(n, np.uint32), n - min(n, rng.randint(0, 50)), n) for k in range(80) for n in [rng.randint(1, 99)]]
+        for p in pieces:
+            pool.add(p)
+        room = (rng.randint(1, 100), rng.randint(1, 10), rng.randint(0, 50))
+        total = np.array([sum(map(len, pieces)), len(pieces), sum(p.loss for p in pieces)]) / [100, 10, 50]
+        value = lambda p: float((np.array([len(p), 1, p.loss]) / [100, 10, 50] * (np.array(room) / [100, 10, 50]) * total / total.sum()).sum())  # noqa: E731, B023
+        fit = [p for p in pieces if len(p) <= room[0] and p.loss <= room[2]]
+        got = pool.best(*room)
+        assert (got is None) == (not fit) and (got is None or value(got) == pytest.approx(max(map(value, fit))))
+        assert got is None or pool.pieces == 79

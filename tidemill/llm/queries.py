@@ -152,3 +152,47 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import scores
 
     return scores(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_packing")
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids under limits on ids, segments and loss-bearing ids."""
+    from .vector_packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).drop("loss_tokens")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(ws, s, s + k - 1), ' ') AS phrase, count(*) AS f
+  FROM w, unnest(range(1, 6)) AS t(k), unnest(range(1, len(ws) - k + 2)) AS u(s)
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1),
+cuts AS (
+  SELECT c.*, j, array_to_string(list_slice(ws, 1, j), ' ') AS p1, array_to_string(list_slice(ws, j + 1, k), ' ') AS p2
+  FROM c, unnest(range(1, k)) AS t(j)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, l.f AS l, r.f AS r, n, j, (CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cuts JOIN g AS l ON l.lang = cuts.lang AND l.phrase = p1 JOIN g AS r ON r.lang = cuts.lang AND r.phrase = p2 JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (
+  SELECT lang, array_to_string(list_slice(ws, s, s + m - 1), ' ') AS phrase, max(a) AS f
+  FROM c, unnest(range(2, k)) AS t(m), unnest(range(1, k - m + 2)) AS u(s) GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+WHERE longer.f IS NULL OR 100 * longer.f < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_mining", OP12_SQL)
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to five words that occur 100 times or more, by how far above chance they are."""
+    from .phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
