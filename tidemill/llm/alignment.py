@@ -36,8 +36,9 @@ from .tables import keep, width
 from .tokens import vocabulary
 
 CHUNK_ROWS = 1 << 16
-CHUNK_LINKS = 3_000_000  # (row, pair) entries that a task holds before it writes a chunk
-PASS_LINKS = 4_000_000  # links of one slice that are spelled out at a time
+CHUNK_LINKS = 1_500_000  # (row, pair) entries that a task holds before it writes a chunk
+PASS_LINKS = 1_500_000  # links of one slice that are spelled out at a time
+SLICE_BYTES = 3 << 20
 _POSTED = pa.schema(
     [("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
      ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n_rows", pa.int64()), ("rows", pa.binary()), ("planes", pa.binary())]
@@ -253,7 +254,7 @@ def posted(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
             chunk, used, size, held = chunk + 1, 0, 0, []
 
         for batch in batches:
-            for part in segments(batch.column("text"), before=b" "):
+            for part in segments(batch.column("text"), b" ", SLICE_BYTES):
                 n = len(part)
                 if used + n > chunk_rows:
                     yield from flush()
