@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,8 +14,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.plain import corpus, frame
-from tidemill.llm import alignment, byte_tokens, tokens, vector_packing
+from tests.llm.plain import corpus, frame, low
+from tidemill.llm import alignment, byte_tokens, phrases, tokens, vector_packing
 from tidemill.llm.vector_packing import Limits
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -225,3 +226,85 @@ def test_dot_product_choice_equals_search():
         got = pool.best(*room)
         assert (got is None) == (not fit) and (got is None or value(got) == pytest.approx(max(map(value, fit))))
         assert got is None or pool.pieces == 79
+
+
+# ---- phrases ------------------------------------------------------------------
+
+
+def plain_phrases(rows, least, longest=5, top=2000, contained=100):
+    """Brute force over (text, lang)."""
+    totals, grams = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0a-\x0d]", low(text)):
+            w = re.findall(rb"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            grams.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    grams = {x: f for x, f in grams.items() if f >= least}
+    out = []
+    for (lang, w), a in grams.items():
+        if len(w) == 1:
+            continue
+        inner = [f for (other, v), f in grams.items() if other == lang and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v)))]
+        if any(100 * f >= contained * a for f in inner):
+            continue
+        n = totals[lang]
+        score, _, left, right = min((1000 * a * n // (grams[lang, w[:k]] * grams[lang, w[k:]]), k, grams[lang, w[:k]], grams[lang, w[k:]]) for k in range(1, len(w)))
+        out.append((lang, -score, -a, b" ".join(w), a, left, right, n, score))
+    out.sort()
+    ranks = Counter()
+    for lang, _, _, phrase, *numbers in out:
+        ranks[lang] += 1
+        if ranks[lang] <= top:
+            yield lang, ranks[lang], phrase.decode(), *numbers
+
+
+def phrase_rows():
+    rng = random.Random(4)
+    pool = ["the", "of", "New", "york", "é", "x\x01", "漢字", *(f"w{k}" for k in range(20))]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(60)]
+    texts += ["New York City hall. the end"] * 9 + ["new  york\tcity HALL"] * 4 + ["a b, a b; a b: a b! a b? a b\na b\x0ba b\x0ca b\ra b"] * 3 + ["a a a a a a a a", "", " ", "...", None]
+    return [(t, rng.choice(["en", "de", "und", None, ""])) for t in texts]
+
+
+@pytest.mark.parametrize("options", [{}, {"partition_mass": 50, "flush": 60}, {"filter_bits": 4}, {"filter_bits": 9, "flush": 1}])
+def test_phrases_equal_brute_force(spark, options):
+    rows = phrase_rows()
+    df = spark.createDataFrame([(k, t, lang, 1.0, "s") for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, score double, phrase string").repartition(3)
+    for least, contained in ((5, 100), (3, 60)):
+        got = phrases.phrases(df, least, contained=contained, top=25, **options)
+        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+        assert order(tuple(r) for r in got.collect()) == order(plain_phrases(rows, least, contained=contained, top=25))
+
+
+def test_phrases_of_nothing(spark):
+    assert phrases.phrases(spark.createDataFrame([], EMPTY)).count() == 0
+    assert phrases.phrases(spark.createDataFrame([(None, None), ("", "en")], "text string, lang string"), 1).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 40)), max_size=30), max_size=20), st.integers(1, 60), st.integers(1, 3))
+def test_summary_keeps_every_frequent_key(runs, least, slack):
+    total, mass = Counter(), 0
+    for run in runs:
+        for key, n in run:
+            total[key] += n
+            mass += n
+    summary = phrases.Summary(slack * mass // least + 1)
+    for run in runs:
+        keys, counts = phrases.combined(np.array([k for k, _ in run], dtype=np.uint64), np.array([n for _, n in run], dtype=np.int64))
+        back = phrases.unpacked(*phrases.packed(keys, counts))
+        assert back[0].tolist() == keys.tolist() and back[1].tolist() == counts.tolist()
+        summary.merge(keys, counts)
+        summary.settle()
+    assert summary.lost * (summary.capacity + 1) <= mass and summary.lost < least
+    kept = dict(zip(summary.keys.tolist(), summary.counts.tolist()))
+    assert all(n - summary.lost <= kept.get(k, 0) <= n for k, n in total.items())
+    assert {k for k, n in total.items() if n >= least} <= set(summary.frequent(least).tolist())
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    rows = [(10**13 + 7, 10**15 + 3, 10**13 + 9, 10**14 + 1), (10**17 - 1, 10**14, 10**17 - 1, 10**17 - 1), (3, 10, 7, 3), (100, 2**53 + 1, 101, 103)]
+    df = spark.createDataFrame(rows, "a long, n long, l long, r long")
+    got = df.select("a", "n", "l", "r", phrases.exact_score(df.a, df.n, df.l, df.r).alias("s")).collect()
+    assert [r.s for r in got] == [1000 * a * n // (left * right) for a, n, left, right in rows]
