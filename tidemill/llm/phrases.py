@@ -39,7 +39,8 @@ from .text import _LOWER, _buffers, gram_hashes, mix, span_hashes
 LEAST, LONGEST, TOP, CONTAINED = 100, 5, 2000, 100
 SLACK = 2
 SLICE_BYTES = 4 << 20
-FLUSH_GRAMS = 6_000_000  # n-gram hashes that a task combines at a time
+FLUSH_GRAMS = 4_000_000  # n-gram hashes that a task combines at a time
+ROW_KEYS = 2_000  # hashes in a row that is sent, so that a batch of rows stays small
 FLUSH_PHRASES = 200_000  # counted phrases that a task holds
 PARTITION_MASS = 250_000_000  # n-gram occurrences in a hash partition, on average
 FILTER_BITS = 28  # the bitmap of survivors has 2^28 bits, 32 MB
@@ -221,7 +222,9 @@ def survivors(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LON
             held, size = [], 0
             where = part_of(keys)
             np.add.at(sums, where, counts)
-            cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])).tolist()
+            heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            rank = np.arange(len(keys)) - np.repeat(heads, np.diff(np.append(heads, len(keys))))
+            cuts = [*np.flatnonzero(rank % ROW_KEYS == 0).tolist(), len(keys)]
             rows = [(int(where[x]), False, 0, *packed(keys[x:y], counts[x:y])) for x, y in zip(cuts[:-1], cuts[1:])]
             return table(rows)
 
@@ -267,7 +270,7 @@ def survivors(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LON
             yield out()
 
     sent = _texts(docs).mapInArrow(send, "part bigint, ahead boolean, mass bigint, keys binary, places binary, more binary")
-    dealt = sent.repartition(max(width(spark), parts // 3), "part").sortWithinPartitions("part", F.desc("ahead"))
+    dealt = sent.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.desc("ahead"))
     return dealt.mapInArrow(merge, "keys binary"), bits
 
 
