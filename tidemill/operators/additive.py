@@ -17,11 +17,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import per_series, period_end, spread
+from ..functions.columns import attach, per_series, period_end, spread
 from .calendar_effects import SEASONALITIES, epoch_days, fourier_columns, hinge_positions, holiday_regressors
 from .packing import key_fields
 from .resample import future_calendar
@@ -64,6 +64,20 @@ class AdditiveConfig:
         return out | dict(self.extra)
 
 
+def _terms(config: AdditiveConfig, holiday_names: Sequence[str] = ()) -> tuple[list[Column], list[str], list[str]]:
+    """Regressors out of ``_t`` (0 to 1 over the history), ``_end`` and the holiday columns; their names and components."""
+    hinges = [F.greatest(F.col("_t") - c, F.lit(0.0)) for c in hinge_positions(config.changepoints)]
+    terms = ["intercept", "slope", *[f"hinge_{i + 1}" for i in range(config.changepoints)]]
+    parts = ["trend"] * len(terms)
+    columns = [F.lit(1.0), F.col("_t"), *hinges]
+    for name, (period, order) in config.seasonalities().items():
+        waves = fourier_columns("_end", {name: (period, config.usable_order(period, order))})
+        terms += list(waves)
+        parts += [name] * len(waves)
+        columns += list(waves.values())
+    return columns + [F.col(f"holiday_{n}") for n in holiday_names], terms + [f"holiday_{n}" for n in holiday_names], parts + ["holidays"] * len(holiday_names)
+
+
 def _design(
     df: DataFrame, keys: Sequence[str], horizon: int, config: AdditiveConfig, holidays: DataFrame | None, names: Sequence[str]
 ) -> tuple[DataFrame, list[str], list[str]]:
@@ -80,20 +94,10 @@ def _design(
     known = F.when(F.col("step") == 0, day)
     first, last = F.min(known).over(whole), F.max(known).over(whole)
     timed = past.withColumn("_t", (day - first) / F.greatest(last - first, F.lit(1)))
-    hinges = [F.greatest(F.col("_t") - c, F.lit(0.0)) for c in hinge_positions(config.changepoints)]
-    terms = ["intercept", "slope", *[f"hinge_{i + 1}" for i in range(config.changepoints)]]
-    parts = ["trend"] * len(terms)
-    columns = [F.lit(1.0), F.col("_t"), *hinges]
-    for name, (period, order) in config.seasonalities().items():
-        waves = fourier_columns("_end", {name: (period, config.usable_order(period, order))})
-        terms += list(waves)
-        parts += [name] * len(waves)
-        columns += list(waves.values())
-    if holidays is not None and names:
-        timed = holiday_regressors(timed, holidays, names, "_end", freq=config.freq)
-        terms += [f"holiday_{n}" for n in names]
-        parts += ["holidays"] * len(names)
-        columns += [F.col(f"holiday_{n}") for n in names]
+    used = list(names) if holidays is not None else []
+    if used:
+        timed = holiday_regressors(timed, holidays, used, "_end", freq=config.freq)
+    columns, terms, parts = _terms(config, used)
     return timed.select(*keys, "ts", "y", "step", F.array(*columns).alias("x")), terms, parts
 
 
@@ -177,6 +181,59 @@ def additive_forecast(df: DataFrame, keys: Sequence[str] = (), horizon: int = 12
     return fitted.where(F.col("step") > 0).select(*keys, "step", F.col("ts").alias("ds"), "yhat", "lower", "upper")
 
 
+def additive_train(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    config: AdditiveConfig = AdditiveConfig(),
+    holidays: DataFrame | None = None,
+    holiday_names: Sequence[str] = (),
+) -> DataFrame:
+    """The model table: (keys, n, first_day, last_day, last_ts, terms, coef, scale, noise, status), one row per series."""
+    rows, terms, parts = _design(df, keys, 0, config, holidays, holiday_names)
+    fit = _group_fit(terms, parts, config)
+    names = list(keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, beta, sigma, scale = fit(pdf)
+        n = int(pdf["y"].notna().sum())
+        made = {"n": n, "terms": list(terms), "coef": beta, "scale": scale, "noise": sigma, "status": "success" if n >= 2 else "short"}
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in names}, **made}])
+
+    fields = key_fields(rows, keys) + [T.StructField("n", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("coef", T.ArrayType(T.DoubleType()))]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("scale", "noise")] + [T.StructField("status", T.StringType())]
+    models = spread(rows, *keys).groupBy(*keys).applyInPandas(run, T.StructType(fields))
+    day = epoch_days(period_end("ts", config.freq))
+    span = df.groupBy(*keys).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.max(F.to_date("ts")).alias("last_ts"))
+    held = attach(models, span, keys, "_s")
+    return held.select(*keys, "n", "_s.first_day", "_s.last_day", "_s.last_ts", "terms", "coef", "scale", "noise", "status")
+
+
+def additive_predict(
+    models: DataFrame,
+    keys: Sequence[str] = (),
+    horizon: int = 12,
+    config: AdditiveConfig = AdditiveConfig(),
+    holidays: DataFrame | None = None,
+    holiday_names: Sequence[str] = (),
+) -> DataFrame:
+    """(keys, step, ds, yhat, lower, upper) from a model table alone, made with the same ``config``: no row of the panel and no Python."""
+    ahead = future_calendar(models.withColumnRenamed("last_ts", "ts").select(*keys, "ts"), horizon, keys, freq=config.freq)
+    beside = attach(ahead, models.select(*keys, "first_day", "last_day", "coef", "scale", "noise"), keys, "_m").withColumn("_end", period_end("ds", config.freq))
+    beside = beside.withColumn("_t", (epoch_days("_end") - F.col("_m.first_day")) / F.greatest(F.col("_m.last_day") - F.col("_m.first_day"), F.lit(1)))
+    used = list(holiday_names) if holidays is not None else []
+    if used:
+        beside = holiday_regressors(beside, holidays, used, "_end", freq=config.freq)
+    columns, _, _ = _terms(config, used)
+    products = F.zip_with(F.array(*[c.cast("double") for c in columns]), "_m.coef", lambda x, b: x * b)
+    value = F.aggregate(products, F.lit(0.0), lambda a, b: a + b) * F.col("_m.scale")
+    half = NormalDist().inv_cdf(0.5 + config.level / 2) * F.col("_m.noise") * F.col("_m.scale")
+    shown = F.exp if config.mode == "multiplicative" else (lambda c: c)
+    out = beside.withColumns({"_value": value, "_half": half})
+    return out.select(
+        *keys, F.col("step").cast("int").alias("step"), "ds", shown(F.col("_value")).alias("yhat"), shown(F.col("_value") - F.col("_half")).alias("lower"), shown(F.col("_value") + F.col("_half")).alias("upper")
+    )
+
+
 def changepoints(df: DataFrame, keys: Sequence[str] = (), config: AdditiveConfig = AdditiveConfig(), factor: float = 1.5) -> DataFrame:
     """(keys, changepoint, position, delta, significant): slope changes, significant beyond factor * population std.
 

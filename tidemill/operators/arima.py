@@ -10,6 +10,7 @@ across differencings they are not comparable.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import product
 from statistics import NormalDist
 
@@ -134,19 +135,13 @@ def criteria(sse: np.ndarray, n: int, k: np.ndarray) -> dict[str, np.ndarray]:
     return {"aic": fit + 2 * free, "bic": fit + np.log(n) * free, "hqic": fit + 2 * np.log(np.log(n)) * free}
 
 
-def project(y: np.ndarray, ar: np.ndarray, ma: np.ndarray, errors: np.ndarray, d: int, seasonal_d: int, period: int, horizon: int):
-    """(point forecasts, psi weights): the differencing is folded into the autoregression."""
-    full = np.concatenate([[1.0], -ar])
-    for _ in range(d):
-        full = np.convolve(full, [1.0, -1.0])
-    for _ in range(seasonal_d):
-        full = np.convolve(full, np.concatenate([[1.0], np.zeros(period - 1), [-1.0]]))
-    c = -full[1:]
-    past, noise = list(y), list(errors)
+def project(recent: np.ndarray, c: np.ndarray, ma: np.ndarray, shocks: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point forecasts, psi weights) from the last values, the lag coefficients ``c`` of the raw series and the last errors."""
+    past, noise = list(recent), list(shocks)
     for h in range(horizon):
-        recent = sum(c[i] * past[-1 - i] for i in range(min(len(c), len(past))))
-        shocks = sum(ma[j] * noise[-1 - j] for j in range(min(len(ma), len(noise))))
-        past.append(recent + shocks)
+        level = sum(c[i] * past[-1 - i] for i in range(min(len(c), len(past))))
+        shock = sum(ma[j] * noise[-1 - j] for j in range(min(len(ma), len(noise))))
+        past.append(level + shock)
         noise.append(0.0)
     psi = np.zeros(horizon)
     for h in range(horizon):
@@ -226,10 +221,83 @@ def best_orders(search: DataFrame, keys: Sequence[str] = (), rule: str = "differ
     return good.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def arima_forecast(
+MODEL_FIELDS = [
+    *[T.StructField(c, T.IntegerType()) for c in ("p", "d", "q", "sp", "sd", "sq", "n", "n_eff")],
+    *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("params", "beta", "ar", "ma", "recent", "shocks")],
+    *[T.StructField(c, T.DoubleType()) for c in ("last_value", "sigma", "aic", "bic")],
+    T.StructField("status", T.StringType()),
+]
+_ORDER = ("p", "d", "q", "sp", "sd", "sq")
+
+
+def _folded(ar: np.ndarray, d: int, seasonal_d: int, period: int) -> np.ndarray:
+    """Lag coefficients of the raw series: the differencing is folded into the autoregression."""
+    full = np.concatenate([[1.0], -ar])
+    for _ in range(d):
+        full = np.convolve(full, [1.0, -1.0])
+    for _ in range(seasonal_d):
+        full = np.convolve(full, np.concatenate([[1.0], np.zeros(period - 1), [-1.0]]))
+    return -full[1:]
+
+
+@dataclass
+class SeriesFit:
+    """One series' fit: its model row, and its one-step errors (as many as differenced values)."""
+
+    row: dict
+    errors: np.ndarray
+
+
+def fit_series(values: np.ndarray, x: np.ndarray | None, order: Sequence[int], period: int) -> SeriesFit:
+    """Fit one series; ``x`` are regressors whose effect is taken off first."""
+    p, d, q, sp, sd, sq = (int(v) for v in order)
+    layout = Layout(p, q, sp, sq, period)
+    last, beta = float(values[-1]), np.zeros(0)
+    if x is not None:
+        dx = np.column_stack([difference(x[:, i], d, sd, period) for i in range(x.shape[1])])
+        dy = difference(values, d, sd, period)
+        if len(dy) > x.shape[1]:
+            beta = np.linalg.lstsq(dx, dy, rcond=None)[0]
+            values = values - x @ beta
+            last = float(values[-1])
+    z = difference(values, d, sd, period)
+    row = {**dict(zip(_ORDER, (p, d, q, sp, sd, sq))), "n": len(values), "n_eff": len(z), "beta": beta, "last_value": last}
+    if len(z) <= layout.size + 2 or not np.all(np.isfinite(values)):
+        none = np.zeros(0)
+        return SeriesFit({**row, "params": none, "ar": none, "ma": none, "recent": none, "shocks": none, "sigma": None, "aic": None, "bic": None, "status": "short"}, none)
+    scale = float(np.std(z)) or 1.0
+    params, sse = css_fit(z / scale, layout.mask(p, q, sp, sq)[None, :], layout)
+    errors = css_residuals(z / scale, params, layout)[0] * scale
+    ar, ma = layout.weights(params)
+    folded = _folded(ar[0], d, sd, period)
+    found = criteria(sse * scale**2, len(z), np.array([layout.size]))
+    number = lambda v: float(v) if np.isfinite(v) else None
+    row |= {
+        "params": params[0], "ar": folded, "ma": ma[0], "recent": values[max(0, len(values) - len(folded)) :], "shocks": errors[max(0, len(errors) - ma.shape[1]) :] if ma.shape[1] else np.zeros(0),
+        "sigma": float(scale * np.sqrt(sse[0] / max(len(z) - layout.size, 1))), "aic": number(found["aic"][0]), "bic": number(found["bic"][0]), "status": "success",
+    }
+    return SeriesFit(row, errors)
+
+
+def _jobs(
+    df: DataFrame, keys: Sequence[str], ts: str, y: str, order: Order, seasonal: Order, orders: DataFrame | None, exog: Sequence[str], times: bool = False
+) -> DataFrame:
+    packed = pack_series(df.withColumn("_at", F.unix_date(F.to_date(ts))) if times else df, keys, ts, (y, *exog, *(["_at"] if times else [])))
+    if orders is None:
+        return packed.select("*", *[F.lit(v).alias(c) for c, v in zip(_ORDER, (*order, *seasonal))])
+    picked = orders.select(*keys, *_ORDER)
+    jobs = match(packed, picked, keys, "left") if keys else packed.select("*", *[picked.select(c).scalar().alias(c) for c in _ORDER])
+    return jobs.na.fill(dict(zip(_ORDER, (*order, *seasonal))))
+
+
+def _series(at: dict, y: str, exog: Sequence[str], period: int) -> SeriesFit:
+    x = np.column_stack([np.asarray(at[c], dtype=float) for c in exog]) if exog else None
+    return fit_series(np.asarray(at[y], dtype=float), x, [at[c] for c in _ORDER], period)
+
+
+def arima_train(
     df: DataFrame,
     keys: Sequence[str] = (),
-    horizon: int = 12,
     ts: str = "ts",
     y: str = "y",
     order: Order = ORDER,
@@ -237,29 +305,69 @@ def arima_forecast(
     period: int = PERIOD,
     orders: DataFrame | None = None,
     exog: Sequence[str] = (),
-    future_exog: DataFrame | None = None,
-    level: float = 0.95,
 ) -> DataFrame:
-    """(keys, step, ds, yhat, lower, upper, status) by series.
+    """The model table: one row per series with its order, coefficients, criteria and last state.
 
-    ``orders`` (from :func:`best_orders`) gives each series its own order.
-    ``exog`` columns act through a regression on the differenced series, the
-    ARIMA modelling its errors; their future values come in ``future_exog``
-    (keys, step, columns). Too short a series repeats its last value with
-    status ``short``.
+    The state is what a forecast needs and no more: as many last values
+    (``recent``) and errors (``shocks``) as there are lag coefficients.
     """
-    columns = (y, *exog)
-    packed = pack_series(df, keys, ts, columns)
-    if orders is not None:
-        picked = orders.select(*keys, "p", "d", "q", "sp", "sd", "sq")
-        jobs = match(packed, picked, keys, "left") if keys else packed.select(
-            "*", *[picked.select(c).scalar().alias(c) for c in ("p", "d", "q", "sp", "sd", "sq")]
-        )
-        fixed = dict(zip(("p", "d", "q", "sp", "sd", "sq"), (*order, *seasonal)))
-        jobs = jobs.na.fill(fixed)
-    else:
-        values = zip(("p", "d", "q", "sp", "sd", "sq"), (*order, *seasonal))
-        jobs = packed.select("*", *[F.lit(v).alias(c) for c, v in values])
+    names, exog = list(keys), list(exog)
+    jobs = _jobs(df, keys, ts, y, order, seasonal, orders, exog)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                at = dict(zip(pdf.columns, row))
+                out.append({**{k: at[k] for k in names}, "last_ts": at["last_ts"], **_series(at, y, exog, period).row})
+            if out:
+                yield pd.DataFrame(out)
+
+    schema = T.StructType(key_fields(df, keys) + [jobs.schema["last_ts"], *MODEL_FIELDS])
+    return spread(jobs, *keys).mapInPandas(run, schema)
+
+
+def arima_residuals(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    ts: str = "ts",
+    y: str = "y",
+    order: Order = ORDER,
+    seasonal: Order = SEASONAL_ORDER,
+    period: int = PERIOD,
+    orders: DataFrame | None = None,
+    exog: Sequence[str] = (),
+) -> DataFrame:
+    """(keys, ts, y, yhat, resid): one-step forecasts of the training rows, from the first row that has a differenced value on.
+
+    ``yhat`` is y less the error of the filter; feed it to the metrics, and
+    ``resid`` to the residual analysis and the Ljung-Box test. A series too
+    short to fit gives no row.
+    """
+    names, exog = list(keys), list(exog)
+    jobs = _jobs(df, keys, ts, y, order, seasonal, orders, exog, times=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                at = dict(zip(pdf.columns, row))
+                errors = _series(at, y, exog, period).errors
+                if not len(errors):
+                    continue
+                days, values = np.asarray(at["_at"])[-len(errors) :], np.asarray(at[y], dtype=float)[-len(errors) :]
+                dates = np.array(days, dtype="datetime64[D]").astype(object)
+                yield pd.DataFrame({**{k: [at[k]] * len(errors) for k in names}, "ts": dates, "y": values, "yhat": values - errors, "resid": errors})
+
+    fields = key_fields(df, keys) + [T.StructField("ts", T.DateType())] + [T.StructField(c, T.DoubleType()) for c in ("y", "yhat", "resid")]
+    return spread(jobs, *keys).mapInPandas(run, T.StructType(fields))
+
+
+def arima_predict(
+    models: DataFrame, keys: Sequence[str] = (), horizon: int = 12, future_exog: DataFrame | None = None, exog: Sequence[str] = (), level: float = 0.95
+) -> DataFrame:
+    """(keys, step, ds, yhat, lower, upper, status) from a model table alone; a model with regressors needs their future values."""
+    names, z_level, exog = list(keys), NormalDist().inv_cdf(0.5 + level / 2), list(exog)
+    jobs = models
     if exog:
         if future_exog is None:
             raise ValueError("future_exog is needed with exog")
@@ -268,32 +376,18 @@ def arima_forecast(
         jobs = match(jobs, ahead, keys, "left") if keys else jobs.select(
             "*", *[ahead.select(f"_next_{c}").scalar().alias(f"_next_{c}") for c in exog]
         )
-    names, z_level = list(keys), NormalDist().inv_cdf(0.5 + level / 2)
-    exog = list(exog)
 
     def predict(at: dict) -> tuple[np.ndarray, np.ndarray, str]:
-        values = np.asarray(at[y], dtype=float)
-        d, sd = int(at["d"]), int(at["sd"])
-        layout = Layout(int(at["p"]), int(at["q"]), int(at["sp"]), int(at["sq"]), period)
-        drift = np.zeros(horizon)
-        if exog:
-            x = np.column_stack([np.asarray(at[c], dtype=float) for c in exog])
-            ahead = np.column_stack([np.asarray(at[f"_next_{c}"], dtype=float) for c in exog])
-            dx = np.column_stack([difference(x[:, i], d, sd, period) for i in range(x.shape[1])])
-            dy = difference(values, d, sd, period)
-            if len(dy) > x.shape[1] and len(ahead) >= horizon:
-                beta = np.linalg.lstsq(dx, dy, rcond=None)[0]
-                values, drift = values - x @ beta, ahead[:horizon] @ beta
-        z = difference(values, d, sd, period)
-        if len(z) <= layout.size + 2 or not np.all(np.isfinite(values)):
-            return np.full(horizon, values[-1]) + drift, np.full(horizon, np.nan), "short"
-        scale = float(np.std(z)) or 1.0
-        params, sse = css_fit(z / scale, layout.mask(*(int(at[c]) for c in ("p", "q", "sp", "sq")))[None, :], layout)
-        errors = css_residuals(z / scale, params, layout)[0] * scale
-        ar, ma = layout.weights(params)
-        point, psi = project(values, ar[0], ma[0], errors, d, sd, period, horizon)
-        sigma = scale * np.sqrt(sse[0] / max(len(z) - layout.size, 1))
-        return point + drift, z_level * sigma * np.sqrt(np.cumsum(psi**2)), "success"
+        drift, beta = np.zeros(horizon), np.asarray(at["beta"], dtype=float)
+        if exog and len(beta):
+            ahead = [at[f"_next_{c}"] for c in exog]
+            if any(a is None or len(a) < horizon for a in ahead):
+                return np.full(horizon, np.nan), np.full(horizon, np.nan), "no future regressors"
+            drift = np.column_stack([np.asarray(a, dtype=float) for a in ahead])[:horizon] @ beta
+        if at["status"] != "success":
+            return np.full(horizon, at["last_value"]) + drift, np.full(horizon, np.nan), at["status"]
+        point, psi = project(*(np.asarray(at[c], dtype=float) for c in ("recent", "ar", "ma", "shocks")), horizon)
+        return point + drift, z_level * at["sigma"] * np.sqrt(np.cumsum(psi**2)), "success"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -305,8 +399,36 @@ def arima_forecast(
                      "yhat": point, "lower": point - half, "upper": point + half, "status": status}
                 )
 
-    fields = key_fields(df, keys) + [packed.schema["last_ts"], T.StructField("step", T.IntegerType())]
+    fields = key_fields(models, keys) + [models.schema["last_ts"], T.StructField("step", T.IntegerType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("yhat", "lower", "upper")] + [T.StructField("status", T.StringType())]
-    made = spread(jobs, *keys).mapInPandas(run, T.StructType(fields))
+    made = jobs.mapInPandas(run, T.StructType(fields))
     bounds = {c: F.when(~F.isnan(c), F.col(c)) for c in ("yhat", "lower", "upper")}
     return month_ends(made).withColumns(bounds).select(*keys, "step", "ds", "yhat", "lower", "upper", "status")
+
+
+def arima_forecast(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    horizon: int = 12,
+    ts: str = "ts",
+    y: str = "y",
+    order: Order = ORDER,
+    seasonal: Order = SEASONAL_ORDER,
+    period: int = PERIOD,
+    orders: DataFrame | None = None,
+    exog: Sequence[str] = (),
+    future_exog: DataFrame | None = None,
+    level: float = 0.95,
+) -> DataFrame:
+    """(keys, step, ds, yhat, lower, upper, status) by series: :func:`arima_train`, then :func:`arima_predict`.
+
+    ``orders`` (from :func:`best_orders`) gives each series its own order.
+    ``exog`` columns act through a regression on the differenced series, the
+    ARIMA modelling its errors; their future values come in ``future_exog``
+    (keys, step, columns), and a series without them gets no forecast. Too short
+    a series repeats its last value with status ``short``.
+    """
+    if exog and future_exog is None:
+        raise ValueError("future_exog is needed with exog")
+    models = arima_train(df, keys, ts, y, order, seasonal, period, orders, exog)
+    return arima_predict(models, keys, horizon, future_exog, exog, level)

@@ -127,16 +127,20 @@ def model_feature_columns(
     n_lags: int = 12,
     windows: Sequence[int] = WINDOWS,
     lagged: bool = False,
+    before: Column | None = None,
 ) -> dict[str, Column]:
-    """The 43 regression features; ``lagged`` ends every frame one row earlier, so none sees its own target."""
+    """The 43 regression features; ``lagged`` ends every frame one row earlier, so none sees its own target.
+
+    ``before`` counts the rows of the series that come before those given.
+    """
     w = by_time(keys, ts)
     back = 1 if lagged else 0
     value = F.col(y)
     now = F.lag(y, back).over(w) if back else value
-    before = F.lag(y, back + 1).over(w)
+    earlier = F.lag(y, back + 1).over(w)
     season = season_columns(ts)
-    index = F.row_number().over(w) - 1
-    growth = change_rate(now, before)
+    index = F.row_number().over(w) - 1 if before is None else F.row_number().over(w) - 1 + before
+    growth = change_rate(now, earlier)
     short, long = trailing(F.avg, value, w, 3, back), trailing(F.avg, value, w, 12, back)
     calendar = ("year", "month", "quarter", "day_of_year", "month_sin", "month_cos", "quarter_sin", "quarter_cos")
     out = lag_columns(keys, ts, y, range(1, n_lags + 1))
@@ -146,7 +150,7 @@ def model_feature_columns(
         "linear_trend": index,
         "quadratic_trend": index * index,
         "growth_rate": growth,
-        "momentum": now - before,
+        "momentum": now - earlier,
         "ma_ratio": ratio(short, long),
         "ma_diff": short - long,
         "volatility": ratio(trailing(F.stddev_samp, value, w, 12, back), long),

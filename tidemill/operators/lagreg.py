@@ -10,64 +10,49 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_time, match, per_series, ratio, spread
+from ..functions.columns import attach, by_time, match, per_series, ratio, spread
 from ..session import settle
+from . import gram
 from .features import WINDOWS, apply_scaler, fit_scaler, model_feature_columns
-from .packing import key_fields, month_ends, pack_series
+from .packing import key_fields, month_ends
 
 N_LAGS = 12
 Z95 = 1.96
 
 
-def lagged_frame(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y") -> tuple[DataFrame, list[str]]:
+def lagged_frame(
+    df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y", before: DataFrame | None = None
+) -> tuple[DataFrame, list[str]]:
     """The panel with its lagged features as one array ``x``, and the feature names in order.
 
     Every frame ends one row before the target. A feature that is undefined
     (a growth from zero) counts as 0; rows without a full window are dropped.
+    ``before`` (keys, n, recent, as in a model table) says what came before the
+    rows: they continue its series, and those not after its last time are left out.
     """
+    rows, first = df.select(*keys, ts, y), None
+    if before is not None:
+        old = before.select(*keys, "n", F.explode("recent").alias("_r"))
+        old = old.select(*keys, F.col("_r.ts").alias(ts), F.col("_r.y").alias(y), (F.col("n") - N_LAGS).alias("_base"))
+        rows = old.unionByName(rows.withColumn("_base", F.lit(None).cast("bigint")))
+        last = F.max(F.when(F.col("_base").isNotNull(), F.col(ts))).over(per_series(keys))
+        rows = rows.withColumn("_last", last).where(F.col("_base").isNotNull() | F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
+        # a series shorter than the window is held whole, so its rows begin at 0
+        first = F.greatest(F.coalesce(F.max("_base").over(per_series(keys)), F.lit(0)), F.lit(0))
     # calendar features are read at month ends, as the forecasts are labelled
-    made = model_feature_columns(keys, "_end", y, N_LAGS, WINDOWS, lagged=True)
+    made = model_feature_columns(keys, "_end", y, N_LAGS, WINDOWS, lagged=True, before=first)
     names = list(made)
-    rows = df.select(*keys, ts, y, F.last_day(ts).alias("_end")).withColumns(made).where(F.col(f"rolling_mean_{max(WINDOWS)}").isNotNull())
+    rows = rows.withColumn("_end", F.last_day(ts)).withColumns(made).where(F.col(f"rolling_mean_{max(WINDOWS)}").isNotNull())
+    if before is not None:
+        rows = rows.where(F.col("_base").isNull())
     values = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
     return rows.select(*keys, ts, F.col(y).cast("double").alias("y"), F.array(*values).alias("x")), names
 
 
-def coordinate_lasso(x: np.ndarray, y: np.ndarray, alpha: float, rounds: int = 2000) -> np.ndarray:
-    """Minimise |y - xb|^2 / (2n) + alpha |b|_1 for centred y and standardised x.
-
-    Coordinate steps find which coefficients are non-zero; their values are
-    then solved for exactly and accepted once the optimality conditions hold.
-    """
-    n, k = x.shape
-    gram, target = x.T @ x / n, x.T @ y / n
-    beta = np.zeros(k)
-    for turn in range(rounds):
-        for j in np.flatnonzero(np.diag(gram) > 0):
-            pull = target[j] - gram[j] @ beta + gram[j, j] * beta[j]
-            beta[j] = np.sign(pull) * max(abs(pull) - alpha, 0.0) / gram[j, j]
-        if turn % 10 == 9:
-            active, signs = beta != 0, np.sign(beta)
-            exact = np.zeros(k)
-            exact[active] = np.linalg.lstsq(gram[np.ix_(active, active)], target[active] - alpha * signs[active], rcond=None)[0]
-            slack = np.abs(target - gram @ exact)
-            if np.all(np.sign(exact) == signs) and np.all(slack <= alpha * (1 + 1e-7) + 1e-9):
-                return exact
-            # otherwise go towards it as far as the signs hold; the first to reach zero leaves
-            turned = np.flatnonzero(active & (np.sign(exact) != signs))
-            if len(turned):
-                reach = beta[turned] / (beta[turned] - exact[turned])
-                beta = beta + reach.min() * (exact - beta)
-                beta[turned[reach.argmin()]] = 0.0
-            else:
-                beta = exact
-    return beta
-
-
 @dataclass(frozen=True)
 class LagRegression:
     """kind: linear, ridge or lasso; the n_features features of largest |r| are kept (None keeps all);
@@ -90,7 +75,7 @@ class LagRegression:
         with np.errstate(all="ignore"):
             dx, dy = x - x.mean(axis=0), y - y.mean()
             r = np.abs(dx.T @ dy) / np.sqrt((dx**2).sum(axis=0) * (dy**2).sum())
-        r = np.where(np.isfinite(r), r, -1.0)
+        r = np.round(np.where(np.isfinite(r), r, -1.0), 10)  # features that carry the same go in their order
         keep = len(r) if self.n_features is None else min(self.n_features, len(r))
         return np.sort(np.argsort(-r, kind="stable")[:keep])
 
@@ -101,9 +86,30 @@ class LagRegression:
         if self.kind == "ridge":
             return np.linalg.solve(x.T @ x + self.alpha * np.eye(x.shape[1]), x.T @ y)
         if self.kind == "lasso":
-            return coordinate_lasso(x, y, self.alpha)
+            return gram.lasso(x.T @ x / len(x), x.T @ y / len(x), self.alpha)
         raise ValueError(f"unknown kind {self.kind!r}; linear, ridge or lasso")
 
+    def from_sums(self, sums: gram.Moments, names: Sequence[str]) -> dict:
+        """The model of one series from its Gram matrix (degree 1)."""
+        r = np.round(sums.correlations(), 10)
+        keep = len(r) if self.n_features is None else min(self.n_features, len(r))
+        kept = np.sort(np.argsort(-r, kind="stable")[:keep])
+        products, target = sums.pick(kept)
+        if self.kind == "linear":
+            coef = gram.least_squares(products, target)
+        elif self.kind == "ridge":
+            coef = gram.ridge(products, target, self.alpha, sums.n)
+        elif self.kind == "lasso":
+            coef = gram.lasso(products, target, self.alpha)
+        else:
+            raise ValueError(f"unknown kind {self.kind!r}; linear, ridge or lasso")
+        left = max(sums.total - 2 * coef @ target + coef @ products @ coef, 0.0)
+        return {
+            "features": [names[i] for i in kept], "center": sums.center[kept], "width": sums.width[kept], "coef": coef, "intercept": sums.mean,
+            "resid_std": float(np.sqrt(left)), "r2": float(1 - left / sums.total) if sums.total > 0 else None, "mae": None, "rmse": float(np.sqrt(left)),
+            "n_rows": int(sums.n), "n_nonzero": int((np.abs(coef) > 1e-6).sum()),
+        }
+
 
 MODEL_FIELDS = [
     T.StructField("features", T.ArrayType(T.StringType())),
@@ -116,21 +122,72 @@ MODEL_FIELDS = [
 ]
 
 
+def solve_sums(sums: DataFrame, keys: Sequence[str], names: Sequence[str], model: LagRegression) -> DataFrame:
+    """(keys, the fields of a model) from (keys, gram): one small solve for each series, no row of which is looked at. ``mae`` stays null."""
+    key_names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = pd.DataFrame([model.from_sums(gram.Moments(g), names) for g in pdf["gram"]], columns=[f.name for f in MODEL_FIELDS])
+            yield pd.concat([pdf[key_names].reset_index(drop=True), made], axis=1)
+
+    return spread(sums, *keys).mapInPandas(run, T.StructType(key_fields(sums, keys) + MODEL_FIELDS))
+
+
+def predicted(x: str, names: Sequence[str]) -> Column:
+    """The value a model (features, center, width, coef, intercept) gives for the features ``x``, an array in the order of ``names``."""
+    order = F.array(*[F.lit(n) for n in names])
+    parts = F.arrays_zip("features", "center", "width", "coef")
+    term = lambda s: s["coef"] * (F.element_at(F.col(x), F.array_position(order, s["features"]).cast("int")) - s["center"]) / s["width"]
+    return F.aggregate(parts, F.col("intercept"), lambda total, s: total + term(s))
+
+
+def _rows_of(df: DataFrame, keys: Sequence[str], ts: str, y: str, features: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    rows, names = lagged_frame(df, keys, ts, y)
+    if not features:
+        return rows, names
+    wanted = [names.index(f) for f in features]
+    return rows.withColumn("x", F.array(*[F.col("x")[i] for i in wanted])), list(features)
+
+
 def lag_regression_fit(
-    df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y", model: LagRegression = LagRegression(), features: Sequence[str] | None = None
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    ts: str = "ts",
+    y: str = "y",
+    model: LagRegression = LagRegression(),
+    features: Sequence[str] | None = None,
+    errors: bool = True,
 ) -> DataFrame:
     """One row per series: chosen features, their scaling and coefficients, R2, MAE, RMSE, non-zero count.
 
-    The table is the model: write it to reuse it. ``features`` restricts the candidates.
+    ``features`` restricts the candidates. Starts a job that makes the features once. Of degree 1 the model is solved from
+    sums of products made in the JVM (:mod:`.gram`); ``mae`` then takes a second
+    look at the rows, which ``errors=False`` leaves out. Products of features
+    (degree above 1) are made series by series.
     """
-    rows, all_names = lagged_frame(df, keys, ts, y)
-    wanted = [all_names.index(f) for f in features] if features else list(range(len(all_names)))
-    names = [all_names[i] for i in wanted]
+    rows, names = _rows_of(df, keys, ts, y, features)
+    if model.degree > 1:
+        return _fit_products(rows, keys, ts, names, model)
+    rows = settle(rows)  # made once, for the sums and for the errors
+    models = solve_sums(gram.gram_sums(rows, keys, "x", "y", len(names)), keys, names, model)
+    if not errors:
+        return models
+    if keys:
+        beside = match(rows, models.select(*keys, "features", "center", "width", "coef", "intercept"), keys)
+    else:
+        facts = models.select(F.struct("features", "center", "width", "coef", "intercept")).scalar().alias("_m")
+        beside = rows.select("*", facts).select("y", "x", "_m.*")
+    off = beside.groupBy(*keys).agg(F.avg(F.abs(F.col("y") - predicted("x", names))).alias("mae"))
+    return attach(models.drop("mae"), off, keys, "_e").select(*keys, *[F.col("_e.mae").alias("mae") if f.name == "mae" else f.name for f in MODEL_FIELDS])
+
+
+def _fit_products(rows: DataFrame, keys: Sequence[str], ts: str, names: Sequence[str], model: LagRegression) -> DataFrame:
     key_names = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts)
-        x, target = np.vstack(pdf["x"].to_numpy()).astype(float)[:, wanted], pdf["y"].to_numpy(dtype=float)
+        x, target = np.vstack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float)
         kept = model.select(x, target)
         x, labels = model.expand(x[:, kept], [names[i] for i in kept])
         center, width = x.mean(axis=0), x.std(axis=0)
@@ -151,6 +208,62 @@ def lag_regression_fit(
     return spread(rows, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
+# ---- model tables: fitted once, used and fitted on later ------------------------------------
+
+
+def series_state(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y", size: int = N_LAGS) -> DataFrame:
+    """(keys, n, last_ts, recent): rows so far and the last ``size`` of them (ts, y), oldest first."""
+    late = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts))) <= size
+    item = F.struct(F.col(ts).alias("ts"), F.col(y).cast("double").alias("y"))
+    held = F.sort_array(F.collect_list(F.when(F.col("_late"), item)))  # nulls are not collected
+    return df.withColumn("_late", late).groupBy(*keys).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"), held.alias("recent"))
+
+
+def lag_regression_train(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y", model: LagRegression = LagRegression()) -> DataFrame:
+    """The model table of every series: its regression, its sums of products (gram), and its state (n, last_ts, recent)."""
+    if model.degree > 1:
+        raise ValueError("sums of products are kept for models of degree 1")
+    rows, names = lagged_frame(df, keys, ts, y)
+    return _with_models(series_state(df, keys, ts, y), gram.gram_sums(settle(rows), keys, "x", "y", len(names)), keys, names, model)
+
+
+def _with_models(state: DataFrame, sums: DataFrame, keys: Sequence[str], names: Sequence[str], model: LagRegression) -> DataFrame:
+    sums = settle(sums)
+    held = attach(state, sums, keys, "_g")
+    made = attach(held, solve_sums(sums, keys, names, model), keys, "_m")
+    return made.select(*keys, "n", "last_ts", "recent", F.col("_g.gram").alias("gram"), *[F.col(f"_m.{f.name}").alias(f.name) for f in MODEL_FIELDS])
+
+
+def lag_regression_retrain(models: DataFrame, new: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y", model: LagRegression = LagRegression()) -> DataFrame:
+    """The model table of old and new rows together, from the old table and the ``new`` rows alone.
+
+    New rows not after a series' last time are left out; series may be new, and
+    those without new rows stay as they are.
+    """
+    rows, names = lagged_frame(new, keys, ts, y, before=models)
+    more = gram.gram_sums(settle(rows), keys, "x", "y", len(names))
+    state = merged_state(models, new, keys, ts, y)
+    old = attach(state.select(*keys), models.select(*keys, "gram"), keys, "_o")
+    both = attach(old, more, keys, "_n").select(*keys, gram.added(F.col("_o.gram"), F.col("_n.gram")).alias("gram"))
+    return _with_models(state, both.where(F.col("gram").isNotNull()), keys, names, model)
+
+
+def merged_state(models: DataFrame, new: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y", size: int = N_LAGS) -> DataFrame:
+    """The state of old and new rows together, from the old state and the new rows."""
+    item = F.struct(F.col(ts).alias("ts"), F.col(y).cast("double").alias("y"))
+    held = models.select(*keys, "n", "recent", "last_ts").withColumn("_more", F.lit(0).cast("bigint"))
+    beside = attach(new, held.select(*keys, "last_ts"), keys, "_old")
+    fresh = beside.where(F.col("_old.last_ts").isNull() | (F.col(ts) > F.col("_old.last_ts"))).drop("_old")
+    late = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts))) <= size
+    added = fresh.withColumn("_late", late).groupBy(*keys).agg(
+        F.lit(0).cast("bigint").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_late"), item))).alias("recent"), F.max(ts).alias("last_ts"), F.count("*").alias("_more")
+    )
+    both = held.unionByName(added).groupBy(*keys).agg(
+        (F.sum("n") + F.sum("_more")).alias("n"), F.max("last_ts").alias("last_ts"), F.sort_array(F.flatten(F.collect_list("recent"))).alias("_r")
+    )
+    return both.select(*keys, "n", "last_ts", F.slice("_r", F.greatest(F.size("_r") - size, F.lit(0)) + 1, size).alias("recent"))
+
+
 def coefficient_importance(models: DataFrame, keys: Sequence[str] = (), k: int | None = None) -> DataFrame:
     """(keys, feature, coef, importance, rank): coefficients by size, ties by name; the k largest if given."""
     pairs = models.select(*keys, F.explode(F.arrays_zip("features", "coef")).alias("_p"))
@@ -211,25 +324,29 @@ def lag_regression_forecast(
     model: LagRegression = LagRegression(),
     models: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, step, ds, yhat, lower, upper): each prediction feeds the next step's features.
-
-    The state of a series is its last 12 values. Series of a batch step forward
-    together. Bounds are 1.96 population stds of the training residuals.
-    """
+    """(keys, step, ds, yhat, lower, upper): each prediction feeds the next step's features."""
     df = settle(df.select(*keys, ts, y))
-    fitted = models if models is not None else lag_regression_fit(df, keys, ts, y, model)
-    state = pack_series(df.select(*keys, ts, F.col(y).alias("y")), keys, ts).select(
-        *keys,
-        "last_ts",
-        F.slice("y", F.greatest(F.size("y") - N_LAGS, F.lit(0)) + 1, N_LAGS).alias("recent"),
-        F.size("y").alias("n"),
-        (F.year("last_ts") * 12 + F.month("last_ts") - 1).alias("month_no"),
-    ).where(F.size("recent") == N_LAGS)
+    fitted = models if models is not None else lag_regression_fit(df, keys, ts, y, model, errors=False)
+    state = series_state(df, keys, ts, y)
     needed = [f.name for f in MODEL_FIELDS[:6]]
     picked = fitted.select(*keys, *needed)
     jobs = match(state, picked, keys) if keys else state.select(
         "*", picked.select(F.struct(*needed)).scalar().alias("_m")
     ).select(*state.columns, "_m.*")
+    return lag_regression_predict(jobs, keys, horizon)
+
+
+def lag_regression_predict(models: DataFrame, keys: Sequence[str] = (), horizon: int = 12) -> DataFrame:
+    """(keys, step, ds, yhat, lower, upper) from a model table alone.
+
+    The state of a series is its last 12 values; one that has fewer, or no
+    model, gives no row. Series of a batch step forward together. Bounds are
+    1.96 population stds of the training residuals.
+    """
+    state = models.where((F.size("recent") == N_LAGS) & F.col("intercept").isNotNull()).select(
+        *keys, "last_ts", "n", F.col("recent.y").alias("recent"), (F.year("last_ts") * 12 + F.month("last_ts") - 1).alias("month_no"),
+        *[f.name for f in MODEL_FIELDS[:6]],
+    )
     names = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,18 +356,29 @@ def lag_regression_forecast(
             recent = np.vstack(pdf["recent"].to_numpy()).astype(float)
             n, month_no = pdf["n"].to_numpy(dtype=int), pdf["month_no"].to_numpy(dtype=int)
             margin = Z95 * pdf["resid_std"].to_numpy(dtype=float)
+            intercept = pdf["intercept"].to_numpy(dtype=float)
+            # each label is read once; the factors of every series' terms are places in one table of values
+            known = list(next_features(recent[:1], n[:1], month_no[:1]))
+            place = {name: i for i, name in enumerate(known)}
+            labels = {label: [place[part] for part in label.split(" ")] for row in pdf["features"] for label in row}
+            most, deep = max(map(len, pdf["features"])), max((len(x) for x in labels.values()), default=1)
+            at = np.full((len(pdf), most, deep), len(known))  # the last value is 1
+            center, width, coef = np.zeros((len(pdf), most)), np.ones((len(pdf), most)), np.zeros((len(pdf), most))
+            for i, (own, *numbers) in enumerate(zip(pdf["features"], pdf["center"], pdf["width"], pdf["coef"])):
+                for j, label in enumerate(own):
+                    at[i, j, : len(labels[label])] = labels[label]
+                for table, row in zip((center, width, coef), numbers):
+                    table[i, : len(row)] = row
+            series = np.arange(len(pdf))[:, None, None]
             for h in range(1, horizon + 1):
-                values = next_features(recent, n + h - 1, month_no + h)
-                pred = pdf["intercept"].to_numpy(dtype=float).copy()
-                for i, (labels, center, width, coef) in enumerate(zip(pdf["features"], pdf["center"], pdf["width"], pdf["coef"])):
-                    x = np.array([np.prod([values[part][i] for part in label.split(" ")]) for label in labels])
-                    pred[i] += ((x - np.asarray(center)) / np.asarray(width)) @ np.asarray(coef)
+                values = np.column_stack([*next_features(recent, n + h - 1, month_no + h).values(), np.ones(len(pdf))])
+                pred = intercept + ((values[series, at].prod(axis=2) - center) / width * coef).sum(axis=1)
                 recent = np.column_stack([recent[:, 1:], pred])
                 yield pdf[[*names, "last_ts"]].assign(step=h, yhat=pred, lower=pred - margin, upper=pred + margin)
 
-    fields = key_fields(df, keys) + [state.schema["last_ts"], T.StructField("step", T.IntegerType())]
+    fields = key_fields(models, keys) + [state.schema["last_ts"], T.StructField("step", T.IntegerType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("yhat", "lower", "upper")]
-    made = spread(jobs, *keys).mapInPandas(run, T.StructType(fields))
+    made = spread(state, *keys).mapInPandas(run, T.StructType(fields))
     return month_ends(made).select(*keys, "step", "ds", "yhat", "lower", "upper")
 
 
