@@ -38,12 +38,12 @@ from .text import _LOWER, _buffers, gram_hashes, mix, span_hashes
 
 LEAST, LONGEST, TOP, CONTAINED = 100, 5, 2000, 100
 SLACK = 2
-SLICE_BYTES = 4 << 20
-FLUSH_GRAMS = 4_000_000  # n-gram hashes that a task combines at a time
-ROW_KEYS = 2_000  # hashes in a row that is sent, so that a batch of rows stays small
-FLUSH_PHRASES = 200_000  # counted phrases that a task holds
+SLICE_BYTES = 2 << 20
+FLUSH_GRAMS = 2_000_000  # n-gram hashes that a task combines at a time
+ROW_KEYS = 1_000  # hashes in a row that is sent, so that a batch of rows stays small
+FLUSH_PHRASES = 100_000  # counted phrases that a task holds
 PARTITION_MASS = 250_000_000  # n-gram occurrences in a hash partition, on average
-FILTER_BITS = 28  # the bitmap of survivors has 2^28 bits, 32 MB
+FILTER_BITS = 27  # the bitmap of survivors has 2^27 bits, 16 MB
 SPARE_BITS = 10  # bits of a hash beyond those that tell the occurrences apart
 UNKNOWN = "und"
 # What separates pieces of a text, and words of a piece.
