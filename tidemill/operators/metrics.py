@@ -56,6 +56,18 @@ def forecast_metrics(pairs: DataFrame, by: Sequence[str], y: str = "y", yhat: st
     return valid_pairs(pairs, y, yhat).groupBy(*by).agg(*_named(basic_aggregates(y, yhat)))
 
 
+def fit_statistics(rows: DataFrame, by: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """(by, n, mean_residual, std_residual, mae, rmse, mape, r2) of in-sample rows: actual values beside fitted ones.
+
+    std_residual is the population standard deviation; residuals are actual
+    less fitted. Rows without a number on either side take no part.
+    """
+    e = F.col(y) - F.col(yhat)
+    basic = basic_aggregates(y, yhat)
+    found = {"n": basic["n"], "mean_residual": F.avg(e), "std_residual": F.stddev_pop(e), **{m: basic[m] for m in ("mae", "rmse", "mape", "r2")}}
+    return valid_pairs(rows, y, yhat).groupBy(*by).agg(*_named(found))
+
+
 def _changes(pairs: DataFrame, by: Sequence[str], ts: str, y: str, yhat: str) -> DataFrame:
     w = by_time(by, ts)
     return pairs.withColumns(
