@@ -104,7 +104,10 @@ def css_fit(z: np.ndarray, masks: np.ndarray, layout: Layout, rounds: int = 25)
 
     resid = css_residuals(z, params, layout)
     sse = sse_of(resid)
-    for _ in range(rounds if k else 0):  # without weights there is nothing to fit
+    last = False
+    for turn in range(rounds + 1 if k else 0):  # without weights there is nothing to fit
+        if last or turn == rounds:  # a whole step at the end: where the errors are linear in the weights it lands on the solution
+            last, damping = True, np.full(n_cand, 1e-12)
         moved = (params[:, None, :] + step * eye[None]).reshape(-1, k)
         slopes = (css_residuals(z, moved, layout).reshape(n_cand, k, -1) - resid[:, None, :]) / step
         slopes = np.nan_to_num(slopes * masks[:, :, None], posinf=0.0, neginf=0.0)
@@ -112,19 +115,22 @@ def css_fit(z: np.ndarray, masks: np.ndarray, layout: Layout, rounds: int = 25)
         pull = np.einsum("bkt,bt->bk", slopes, np.nan_to_num(resid, posinf=0.0, neginf=0.0))
         diag = np.einsum("bkk->bk", gram)
         ridge = damping[:, None] * (diag + 1e-8 * (diag.max(axis=1, keepdims=True) + 1e-12)) + ~masks
-        delta = np.linalg.solve(gram + ridge[:, :, None] * eye[None], pull[:, :, None])[:, :, 0]
+        # alike columns leave nothing to solve but for a little on the diagonal
+        floor = 1e-13 * (diag.max(axis=1, keepdims=True) + 1e-12)
+        delta = np.linalg.solve(gram + (ridge + floor)[:, :, None] * eye[None], pull[:, :, None])[:, :, 0]
         trial = np.clip(params - delta * masks, -bound, bound)
         trial_resid = css_residuals(z, trial, layout)
         trial_sse = sse_of(trial_resid)
-        better = trial_sse < sse
+        better = trial_sse < (sse * (1 + 1e-12) if last else sse)
         gain = np.where(better, sse - trial_sse, 0.0)
         params = np.where(better[:, None], trial, params)
         resid = np.where(better[:, None], trial_resid, resid)
         damping = np.clip(np.where(better, damping * 0.3, damping * 10.0), 1e-8, 1e8)
         done = np.all((gain <= 1e-9 * sse) & (better | (damping > 1e6)))
         sse = np.where(better, trial_sse, sse)
-        if done:
+        if last:
             break
+        last = bool(done)
     return params, sse
 
 
