@@ -1,7 +1,7 @@
 """Phrases whose words keep company more often than chance, over all texts of a language.
 
-A phrase of two to five words must occur ``least`` times. Its n-grams are found
-in three reads of the texts:
+A phrase of two to five words must occur ``least`` times. They are found in four
+reads of the texts:
 
 1. Words and n-gram occurrences are counted. Their number sets how many hash
    partitions and how many bits of a hash are needed, so both grow with the
@@ -13,6 +13,8 @@ in three reads of the texts:
    n-gram can have lost ``least / SLACK`` of its count, so every frequent one
    survives, whatever else the partition holds. Its mass is known before its
    first run comes, because each task sends it ahead.
+   Single words come first; n-grams follow in a read of their own, in which those
+   with a word that did not survive are left out, as they cannot be frequent.
 3. The survivors make a bitmap of fixed size. Every task counts, exactly and
    with their words, the n-grams that are in it and whose own parts are in it,
    and the counts are added by language and phrase. What the bitmap lets
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,18 @@ _BREAK, _GAP = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)]), np.isi
 # ---- words of texts -----------------------------------------------------------
 
 
+@dataclass
+class Bitmap:
+    """A bit for each range of 64-bit hashes, ``size`` bits of which tell the range."""
+
+    bits: np.ndarray
+    size: int
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.size)
+        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 @dataclass
 class Words:
     """The words of some texts: their bytes, languages, and how many words are left in the piece from each on."""
@@ -64,15 +79,21 @@ class Words:
     lang: np.ndarray  # number of the language of each word
     names: list[str]
 
-    def hashes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, places, hashes) of the n-grams of each size."""
+    def hashes(self, longest: int, shortest: int = 1, known: Bitmap | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places, hashes) of the n-grams of each size; of those only whose words are all in ``known``, if it is given."""
         if not len(self.starts):
             return
         words = span_hashes(self.data, self.starts, self.ends)
         own = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.names], dtype=np.uint64)
-        for size in range(1, longest + 1):
+        upto = None
+        if known is not None:
+            upto = np.concatenate([[0], np.cumsum(known.holds(mix(gram_hashes(words, 1) ^ (own[self.lang] + np.uint64(1)))))])
+        for size in range(shortest, longest + 1):
             grams = gram_hashes(words, size)
-            at = np.flatnonzero(self.left[: len(grams)] >= size)
+            whole = self.left[: len(grams)] >= size
+            if upto is not None:
+                whole &= upto[size:] - upto[:-size] == size
+            at = np.flatnonzero(whole)
             yield size, at, mix(grams[at] ^ (own[self.lang[at]] + np.uint64(size)))
 
 
@@ -200,11 +221,20 @@ class Summary:
         return self.keys[self.counts + self.lost >= least]
 
 
-def survivors(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LONGEST, partition_mass: int = PARTITION_MASS, flush: int = FLUSH_GRAMS) -> tuple[DataFrame, int]:
-    """Hashes of every n-gram that may occur ``least`` times, as sorted 64-bit numbers in binary rows, and how many of their bits count."""
+def hash_bits(mass: int) -> int:
+    """Bits of a hash that tell so many occurrences apart, and some more."""
+    return min(64, max(32, max(1, mass).bit_length() + SPARE_BITS))
+
+
+def survivors(
+    docs: DataFrame, mass: int, bits: int, least: int = LEAST, sizes: tuple[int, int] = (1, LONGEST), known: Broadcast | None = None, partition_mass: int = PARTITION_MASS, flush: int = FLUSH_GRAMS
+) -> DataFrame:
+    """Every n-gram of the ``sizes`` (from, to) that may occur ``least`` times: the first ``bits`` bits of their hashes, as numbers in binary rows.
+
+    N-grams with a word outside ``known`` are left out; ``mass`` bounds the occurrences of the others.
+    """
     spark = docs.sparkSession
     parts = max(3 * width(spark), -(-mass // partition_mass))
-    bits = min(64, max(32, max(1, mass).bit_length() + SPARE_BITS))
     shift = np.uint64(64 - bits)
 
     def part_of(keys: np.ndarray) -> np.ndarray:
@@ -234,7 +264,7 @@ def survivors(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LON
 
         for batch in batches:
             for piece in words(batch):
-                for _, _, hashes in piece.hashes(longest):
+                for _, _, hashes in piece.hashes(sizes[1], sizes[0], None if known is None else known.value):
                     held.append(hashes >> shift)
                     size += len(hashes)
                 if size >= flush:
@@ -271,10 +301,10 @@ def survivors(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LON
 
     sent = _texts(docs).mapInArrow(send, "part bigint, ahead boolean, mass bigint, keys binary, places binary, more binary")
     dealt = sent.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.desc("ahead"))
-    return dealt.mapInArrow(merge, "keys binary"), bits
+    return dealt.mapInArrow(merge, "keys binary")
 
 
-def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> tuple[np.ndarray, int]:
+def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> Bitmap:
     """A bit for each range of hashes that holds a survivor: at most 2^``filter_bits`` bits, however many there are."""
     size = min(bits, filter_bits)
 
@@ -300,7 +330,7 @@ def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> tuple
         else:
             at = np.cumsum(_wide(bytes(own)), dtype=np.uint64)
             np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-    return out, size
+    return Bitmap(out, size)
 
 
 # ---- exact counts -------------------------------------------------------------
@@ -308,26 +338,28 @@ def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> tuple
 
 def frequent(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS, **options: int) -> DataFrame:
     """lang, phrase (words joined by a space), size and f of every n-gram with f (occurrences) of ``least`` or more; kept."""
-    found, bits = survivors(docs, mass, least, longest, **options)
-    bits_of, size = bitmap(found, bits, filter_bits)
-    sent = docs.sparkSession.sparkContext.broadcast(bits_of)
+    context, bits = docs.sparkSession.sparkContext, hash_bits(mass)
+    known = bitmap(survivors(docs, mass, bits, least, (1, 1), **options), bits, filter_bits)
+    sent = context.broadcast(known)
+    found = bitmap(survivors(docs, mass, bits, least, (2, longest), sent, **options), bits, filter_bits)
+    sent.unpersist()
+    sent = context.broadcast(Bitmap(known.bits | found.bits, found.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        bits_of = sent.value
+        found = sent.value
 
         def out() -> pa.RecordBatch:
             nonlocal held
-            lang, phrase, size, f = zip(*held.values())
+            lang, phrase, sizes, f = zip(*held.values())
             held = {}
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "size", "f"])
+            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "size", "f"])
 
         for batch in batches:
             for part in words(batch):
                 raw, shorter = part.data.tobytes(), None
                 for k, at, hashes in part.hashes(longest):
-                    bit = hashes >> np.uint64(64 - size)
-                    there = (bits_of[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    there = found.holds(hashes)
                     if shorter is not None:
                         there &= shorter[at] & shorter[at + 1]
                     shorter = np.zeros(len(part.starts) + 1, dtype=bool)
