@@ -90,6 +90,17 @@ def test_leaks_of_nothing_and_short_questions(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
 
 
+def test_rows_with_a_leak_go_by_themselves(spark):
+    rng = random.Random(3)
+    item = " ".join(f"q{k}" for k in range(20))
+    clean = [" ".join(rng.choices([f"w{k}" for k in range(50)], k=30)) for _ in range(3)]
+    docs = frame(spark, [(1, clean[0]), (1, f"{clean[1]} {item}"), (None, f"{item} {clean[2]}"), (None, clean[2]), (2, None)])
+    items = decontamination.halves(spark.createDataFrame([(5, item)], "item_id long, text string"))
+    kept = decontamination.decontaminate(docs, items)
+    assert kept.schema == docs.schema and order((r.doc_id, r.text) for r in kept.collect()) == order([(1, clean[0]), (None, clean[2]), (2, None)])
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- licenses ----------------------------------------------------------------
 
 

@@ -21,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import Texts, gram_hashes, mix, shingle_sets, texts, word_hashes
@@ -168,45 +169,54 @@ def leaks(
     number the passage's words from 0. Null or empty texts match nothing. Repeated rows
     give repeated pairs; a null doc_id or item_id stays null.
     """
-    spark = docs.sparkSession
+    found = None
+    for sent in _indexes(docs.sparkSession, items, shingle):
+        part = _query(docs, sent, threshold, question_overlap, answer_overlap, shingle)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _indexes(spark: SparkSession, items: DataFrame, shingle: int) -> Iterator[Broadcast]:
+    """Indexes of all items, each of a bounded number of them."""
     held = items.select(F.col("item_id").cast("bigint"), F.col("question").cast("string"), F.col("answer").cast("string"))
     size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("question")), F.lit(0)).alias("q"), F.coalesce(F.sum(F.length("answer")), F.lit(0)).alias("a")).first()
     groups = max(1, -(-size.n // GROUP_ITEMS), -(-(size.q + size.a) // GROUP_CHARS))
-    found = None
     for g in range(groups):
         own = held if groups == 1 else held.where(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(groups)) == g)
-        shards, step = index([tuple(r) for r in own.collect()], shingle)
-        part = _query(docs, spark.sparkContext.broadcast((shards, step)), threshold, question_overlap, answer_overlap, shingle)
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield spark.sparkContext.broadcast(index([tuple(r) for r in own.collect()], shingle))
 
 
-def _query(docs: DataFrame, sent, threshold: float, least_question: float, least_answer: float, shingle: int) -> DataFrame:
+def _hits(batch: pa.RecordBatch, sent: Broadcast, threshold: float, least_question: float, least_answer: float, shingle: int) -> list[tuple]:
+    """(row of the batch, item, score, overlaps, place) of every item that a row holds."""
+    shards, step = sent.value
+    rows = []
+    for whole in texts(batch.column("text"), lower=True) if shards else ():
+        part = _trimmed(whole)
+        words = word_hashes(part)
+        grams = None
+        for shard in shards:
+            best: dict[tuple[int, int], tuple] = {}
+            for i, k, score, b, e in _search(part, shard, words, step, threshold):
+                grams = gram_hashes(words, shingle) if grams is None else grams
+                if len(shard.question[k]) == 1:
+                    asked = float(_holds(shard.question[k], words[b:e], shingle))
+                else:
+                    asked = _overlap(shard.question[k], grams[b : max(b, e - shingle + 1)])
+                told = _overlap(shard.answer[k], words[b:e])
+                if asked >= least_question and told >= least_answer and score > best.get((i, k), (0.0,))[0]:
+                    best[i, k] = (score, asked, told, b - int(part.bounds[i]), e - 1 - int(part.bounds[i]))
+            rows += [(whole.first + i, shard.items[k], *x) for (i, k), x in best.items()]
+    return rows
+
+
+def _query(docs: DataFrame, sent: Broadcast, threshold: float, least_question: float, least_answer: float, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, step = sent.value
         for batch in batches:
-            rows = []
-            names = batch.column("doc_id").cast(pa.int64())
-            for whole in texts(batch.column("text"), lower=True) if shards else ():
-                part = _trimmed(whole)
-                words = word_hashes(part)
-                grams = None
-                for shard in shards:
-                    best: dict[tuple[int, int], tuple] = {}
-                    for i, k, score, b, e in _search(part, shard, words, step, threshold):
-                        grams = gram_hashes(words, shingle) if grams is None else grams
-                        if len(shard.question[k]) == 1:
-                            asked = float(_holds(shard.question[k], words[b:e], shingle))
-                        else:
-                            asked = _overlap(shard.question[k], grams[b : max(b, e - shingle + 1)])
-                        told = _overlap(shard.answer[k], words[b:e])
-                        if asked >= least_question and told >= least_answer and score > best.get((i, k), (0.0,))[0]:
-                            best[i, k] = (score, asked, told, b - int(part.bounds[i]), e - 1 - int(part.bounds[i]))
-                    rows += [(whole.first + i, shard.items[k], *x) for (i, k), x in best.items()]
+            rows = _hits(batch, sent, threshold, least_question, least_answer, shingle)
             if rows:
                 which, *rest = map(list, zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(which)), pa.array([None if x is None else int(x) for x in rest[0]], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:4]), *(pa.array(x, pa.int64()) for x in rest[4:])],
+                    [batch.column("doc_id").cast(pa.int64()).take(pa.array(which)), pa.array([None if x is None else int(x) for x in rest[0]], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:4]), *(pa.array(x, pa.int64()) for x in rest[4:])],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "last_word"],
                 )
 
@@ -228,6 +238,19 @@ def halves(items: DataFrame, share: float = 0.75) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, without the documents that hold a test item. Rows without doc_id stay."""
-    return docs.join(leaks(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, question_overlap: float = 0.75, answer_overlap: float = 0.75, shingle: int = 5) -> DataFrame:
+    """``docs``, all columns, without the rows that hold a test item.
+
+    Each row is judged by its own text where it is read, so nothing is shuffled,
+    and rows that repeat a doc_id or have none are judged like any other.
+    """
+    for sent in _indexes(docs.sparkSession, items, shingle):
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[x[0] for x in _hits(batch, sent, threshold, question_overlap, answer_overlap, shingle)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

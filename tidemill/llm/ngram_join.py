@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats, signature_tree
 from .components import merge
-from .tables import keep, width
+from .tables import keep, small, width
 from .text import mix, shingle_sets, signed, texts
 
 # At similarity 0.75 the chance that no two neighbours of the 56 smallest are shared is below 0.576 ** 56 < 4e-14.
@@ -67,6 +68,17 @@ def shingled(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>")
 
 
+def noded(df: DataFrame, words: int) -> DataFrame:
+    """``df``, all columns, with the node of each row's text (null without shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (s for part in texts(batch.column("text"), lower=True) for s in shingle_sets(part, words))
+            yield batch.append_column("node", pa.array([_node(s) if len(s) else None for s in sets], pa.int64()))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("node", T.LongType())]))
+
+
 def _emit_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     keys = batch.column("keys")
     nodes = np.repeat(batch.column("node").to_numpy(), keys.value_lengths().to_numpy())
@@ -78,7 +90,10 @@ def _candidates(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     shared = repeats.by_document(repeats.shared_keys(nodes.select("node", "keys"), _emit_keys, first_too=True), "shared")
     held = nodes.join(shared.withColumnRenamed("doc_id", "node"), "node")
     held = held.select("node", "low", F.array_intersect("keys", "shared").alias("keys"))
-    found = docs.select(F.col("doc_id").alias("low"), "text").join(held, "low")
+    found = docs.select(F.col("doc_id").alias("low"), "text").join(held, "low").select("node", "text", "keys")
+    # sets that only rows without doc_id hold
+    lost = noded(docs.where("doc_id IS NULL").select("text"), words).join(held.where("low IS NULL").select("node", "keys"), "node")
+    found = found.unionByName(lost.groupBy("node").agg(F.first("text").alias("text"), F.first("keys").alias("keys")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows that repeat a doc_id may hold another text
@@ -88,7 +103,7 @@ def _candidates(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             out = batch.append_column("n", pa.array([len(s) for s in sets], pa.int64())).filter(pa.array(own, pa.bool_()))
             yield out.select(["node", "n", "text", "keys"])
 
-    checked = found.select("node", "text", "keys").mapInArrow(check, "node bigint, n bigint, text string, keys array<bigint>")
+    checked = found.mapInArrow(check, "node bigint, n bigint, text string, keys array<bigint>")
     return keep(checked.withColumn("bytes", F.octet_length("text") + 200), "candidates")
 
 
@@ -147,17 +162,8 @@ def _join_blocks(blocks: DataFrame, held: DataFrame, words: int, percent: int) -
     return dealt.sortWithinPartitions("key", "part", "node").select("key", "part", "node", "comp", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """Each row's class of near duplicates: doc_id, n_shingles, component_id.
-
-    ``docs`` has doc_id and text; other columns are left out. A-Z counts as
-    a-z. Two documents link when their shingle sets have a Jaccard similarity
-    of ``percent`` / 100 or more; component_id is the smallest doc_id reachable
-    by links. A text with fewer words than ``words`` is one shingle; a null or
-    empty text, or one of white space, has none and is linked with nothing.
-    Rows that repeat a doc_id are judged by their own texts. A row without
-    doc_id has no component_id, but links through it count.
-    """
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, n_shingles and node; and (node, comp, component): each node's component, by its smallest node and doc_id."""
     rows = keep(shingled(docs, words), "shingled")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
     nodes = keep(nodes, "nodes")
@@ -173,17 +179,51 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         found = keep(_join_blocks(_blocks(members), held, words, percent), "links")
         labels = merge(labels, found)
     low = nodes.select("node", "low").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = low.join(low.groupBy("comp").agg(F.min("low").alias("component")), "comp").select("node", "component")
-    return rows.join(classes, "node", "left").select(
+    return rows, low.join(low.groupBy("comp").agg(F.min("low").alias("component")), "comp").select("node", "comp", "component")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """Each row's class of near duplicates: doc_id, n_shingles, component_id.
+
+    ``docs`` has doc_id and text; other columns are left out. A-Z counts as
+    a-z. Two documents link when their shingle sets have a Jaccard similarity
+    of ``percent`` / 100 or more; component_id is the smallest doc_id reachable
+    by links. A text with fewer words than ``words`` is one shingle; a null or
+    empty text, or one of white space, has none and is linked with nothing.
+    Rows that repeat a doc_id are judged by their own texts. A row without
+    doc_id has no component_id, but links through it count.
+    """
+    rows, classes = _classes(docs, words, percent)
+    return rows.join(classes.select("node", "component"), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id.
+    """``docs``, all columns, with one row of each group of near duplicates: of the smallest doc_id, a row without one coming last.
 
-    All columns stay. Rows without doc_id stay; of rows that repeat a doc_id one stays.
+    Rows are judged by their own texts, so unlike texts that share a doc_id both
+    stay; of rows alike in doc_id and text one stays. Rows without words are in
+    no group: those without doc_id stay, of those that share one, one stays.
     """
-    first = near_duplicates(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows, classes = _classes(docs, words, percent)
+    found = keep(rows.select("doc_id", "node").join(classes.select("node", "comp"), "node", "left"), "rows")
+    # of each group the first row; a row without words is a group of its own
+    firsts = found.where("node IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("f")).select("f.doc_id", "f.node")
+    firsts = keep(firsts, "firsts")
+    counts = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("node").alias("m"))
+    winners = firsts.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("wins", F.lit(True))
+    alone = counts.where("n = 1").join(winners, "doc_id", "left").where("wins OR m = 0").select("doc_id")
+    plain = docs.join(alone, "doc_id", "left_semi").select(*docs.columns)
+    # rows that a doc_id does not tell apart go by their text as well
+    several = docs.join(small(counts.where("n > 1").select("doc_id"), "repeated"), "doc_id", "left_semi").select(*docs.columns)
+    odd = noded(several.unionByName(docs.where("doc_id IS NULL")).withColumnsRenamed({c: f"c_{i}" for i, c in enumerate(docs.columns) if c != "text"}), words)
+    doc = f"c_{docs.columns.index('doc_id')}"
+    named = odd.where(F.col("node").isNotNull()).join(
+        firsts.select(F.col("doc_id").alias("first_doc"), F.col("node").alias("first_node")), F.col(doc).eqNullSafe(F.col("first_doc")) & (F.col("node") == F.col("first_node"))
+    )
+    named = named.dropDuplicates([doc, "node"])
+    bare = odd.where(F.col("node").isNull())
+    bare = bare.where(F.col(doc).isNotNull()).dropDuplicates([doc]).unionByName(bare.where(F.col(doc).isNull()))
+    columns = [F.col("text" if c == "text" else f"c_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return plain.unionByName(named.select(*columns)).unionByName(bare.select(*columns))
