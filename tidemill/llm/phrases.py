@@ -1,7 +1,7 @@
 """Phrases whose words keep company more often than chance, over all texts of a language.
 
-A phrase of two to five words must occur ``least`` times. They are found in four
-reads of the texts:
+A phrase of two to five words must occur ``least`` times. Its n-grams are found
+in three reads of the texts:
 
 1. Words and n-gram occurrences are counted. Their number sets how many hash
    partitions and how many bits of a hash are needed, so both grow with the
@@ -13,12 +13,11 @@ reads of the texts:
    n-gram can have lost ``least / SLACK`` of its count, so every frequent one
    survives, whatever else the partition holds. Its mass is known before its
    first run comes, because each task sends it ahead.
-   Single words come first; n-grams follow in a read of their own, in which those
-   with a word that did not survive are left out, as they cannot be frequent.
 3. The survivors make a bitmap of fixed size. Every task counts, exactly and
    with their words, the n-grams that are in it and whose own parts are in it,
-   and the counts are added by language and phrase. What the bitmap lets
-   through by chance goes with the exact count.
+   and sends them by hash partition, many to a row; the partition adds the counts
+   by language and phrase. What the bitmap lets through by chance goes with the
+   exact count.
 
 Each row meets only sums by key; of a hot n-gram a task sends one row.
 """
@@ -32,7 +31,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +38,13 @@ from .tables import keep, small, width
 from .text import _LOWER, _buffers, gram_hashes, mix, span_hashes
 
 LEAST, LONGEST, TOP, CONTAINED = 100, 5, 2000, 100
-SLACK = 2
+SLACK = 4
 SLICE_BYTES = 2 << 20
 FLUSH_GRAMS = 2_000_000  # n-gram hashes that a task combines at a time
-ROW_KEYS = 1_000  # hashes in a row that is sent, so that a batch of rows stays small
+ROW_PHRASES = 100
+ROW_KEYS = 500  # hashes in a row that is sent, so that a batch of rows stays small
 FLUSH_PHRASES = 100_000  # counted phrases that a task holds
-PARTITION_MASS = 250_000_000  # n-gram occurrences in a hash partition, on average
+PARTITION_MASS = 100_000_000  # n-gram occurrences in a hash partition, on average
 FILTER_BITS = 27  # the bitmap of survivors has 2^27 bits, 16 MB
 SPARE_BITS = 10  # bits of a hash beyond those that tell the occurrences apart
 UNKNOWN = "und"
@@ -79,21 +78,15 @@ class Words:
     lang: np.ndarray  # number of the language of each word
     names: list[str]
 
-    def hashes(self, longest: int, shortest: int = 1, known: Bitmap | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, places, hashes) of the n-grams of each size; of those only whose words are all in ``known``, if it is given."""
+    def hashes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places, hashes) of the n-grams of each size."""
         if not len(self.starts):
             return
         words = span_hashes(self.data, self.starts, self.ends)
         own = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.names], dtype=np.uint64)
-        upto = None
-        if known is not None:
-            upto = np.concatenate([[0], np.cumsum(known.holds(mix(gram_hashes(words, 1) ^ (own[self.lang] + np.uint64(1)))))])
-        for size in range(shortest, longest + 1):
+        for size in range(1, longest + 1):
             grams = gram_hashes(words, size)
-            whole = self.left[: len(grams)] >= size
-            if upto is not None:
-                whole &= upto[size:] - upto[:-size] == size
-            at = np.flatnonzero(whole)
+            at = np.flatnonzero(self.left[: len(grams)] >= size)
             yield size, at, mix(grams[at] ^ (own[self.lang[at]] + np.uint64(size)))
 
 
@@ -226,21 +219,15 @@ def hash_bits(mass: int) -> int:
     return min(64, max(32, max(1, mass).bit_length() + SPARE_BITS))
 
 
-def survivors(
-    docs: DataFrame, mass: int, bits: int, least: int = LEAST, sizes: tuple[int, int] = (1, LONGEST), known: Broadcast | None = None, partition_mass: int = PARTITION_MASS, flush: int = FLUSH_GRAMS
-) -> DataFrame:
-    """Every n-gram of the ``sizes`` (from, to) that may occur ``least`` times: the first ``bits`` bits of their hashes, as numbers in binary rows.
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Hash partitions are ranges of 64-bit hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
-    N-grams with a word outside ``known`` are left out; ``mass`` bounds the occurrences of the others.
-    """
-    spark = docs.sparkSession
-    parts = max(3 * width(spark), -(-mass // partition_mass))
-    shift = np.uint64(64 - bits)
 
-    def part_of(keys: np.ndarray) -> np.ndarray:
-        """Partitions are ranges of hashes."""
-        top = (keys >> np.uint64(bits - 32)).astype(np.uint64)
-        return ((top * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+def survivors(docs: DataFrame, mass: int, parts: int, least: int = LEAST, longest: int = LONGEST, flush: int = FLUSH_GRAMS) -> tuple[DataFrame, int]:
+    """Every n-gram that may occur ``least`` times, of ``mass`` occurrences in all: the first bits of their hashes, as numbers in binary rows, and how many bits."""
+    bits = hash_bits(mass)
+    shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(parts, dtype=np.int64)
@@ -250,7 +237,7 @@ def survivors(
             nonlocal held, size
             keys, counts = combined(np.concatenate(held))
             held, size = [], 0
-            where = part_of(keys)
+            where = part_of(keys << shift, parts)
             np.add.at(sums, where, counts)
             heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
             rank = np.arange(len(keys)) - np.repeat(heads, np.diff(np.append(heads, len(keys))))
@@ -264,7 +251,7 @@ def survivors(
 
         for batch in batches:
             for piece in words(batch):
-                for _, _, hashes in piece.hashes(sizes[1], sizes[0], None if known is None else known.value):
+                for _, _, hashes in piece.hashes(longest):
                     held.append(hashes >> shift)
                     size += len(hashes)
                 if size >= flush:
@@ -301,7 +288,7 @@ def survivors(
 
     sent = _texts(docs).mapInArrow(send, "part bigint, ahead boolean, mass bigint, keys binary, places binary, more binary")
     dealt = sent.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.desc("ahead"))
-    return dealt.mapInArrow(merge, "keys binary")
+    return dealt.mapInArrow(merge, "keys binary"), bits
 
 
 def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> Bitmap:
@@ -336,24 +323,36 @@ def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> Bitma
 # ---- exact counts -------------------------------------------------------------
 
 
-def frequent(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS, **options: int) -> DataFrame:
+_PACKED = pa.schema([("part", pa.int32()), ("langs", pa.list_(pa.string())), ("phrases", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """A column; texts may come as bytes."""
+    return pa.array(values, pa.binary()).cast(kind) if isinstance(values[0], bytes) else pa.array(values, kind)
+
+
+def frequent(
+    docs: DataFrame, mass: int, least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS, partition_mass: int = PARTITION_MASS, flush: int = FLUSH_GRAMS
+) -> DataFrame:
     """lang, phrase (words joined by a space), size and f of every n-gram with f (occurrences) of ``least`` or more; kept."""
-    context, bits = docs.sparkSession.sparkContext, hash_bits(mass)
-    known = bitmap(survivors(docs, mass, bits, least, (1, 1), **options), bits, filter_bits)
-    sent = context.broadcast(known)
-    found = bitmap(survivors(docs, mass, bits, least, (2, longest), sent, **options), bits, filter_bits)
-    sent.unpersist()
-    sent = context.broadcast(Bitmap(known.bits | found.bits, found.size))
+    parts = max(3 * width(docs.sparkSession), -(-mass // partition_mass))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(*survivors(docs, mass, parts, least, longest, flush), filter_bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         found = sent.value
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            lang, phrase, sizes, f = zip(*held.values())
+            where = part_of(np.fromiter(held, dtype=np.uint64, count=len(held)), parts)
+            order = np.argsort(where, kind="stable")
+            where = where[order]
+            columns = [_column(c, f.type.value_type).take(pa.array(order)) for c, f in zip(zip(*held.values()), list(_PACKED)[1:])]
             held = {}
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "size", "f"])
+            heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            rank = np.arange(len(where)) - np.repeat(heads, np.diff(np.append(heads, len(where))))
+            cuts = np.append(np.flatnonzero(rank % ROW_PHRASES == 0), len(where)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]], pa.int32()), *(pa.ListArray.from_arrays(pa.array(cuts), c) for c in columns)], schema=_PACKED)
 
         for batch in batches:
             for part in words(batch):
@@ -376,12 +375,22 @@ def frequent(docs: DataFrame, mass: int, least: int = LEAST, longest: int = LONG
                         else:
                             known[3] += n
                     if len(held) >= FLUSH_PHRASES:
-                        yield out()
+                        yield from out()
         if held:
-            yield out()
+            yield from out()
 
-    counted = _texts(docs).mapInArrow(run, "lang string, phrase string, size int, f bigint")
-    counts = keep(counted.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], list[int]] = {}
+        for batch in batches:
+            for entry in zip(*(batch.column(c).flatten().to_pylist() for c in ("langs", "phrases", "sizes", "counts"))):
+                known = sums.setdefault(entry[:2], [entry[2], 0])
+                known[1] += entry[3]
+        rows = [(lang, phrase, size, f) for (lang, phrase), (size, f) in sums.items() if f >= least]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["lang", "phrase", "size", "f"])
+
+    rows = _texts(docs).mapInArrow(send, "part int, langs array<string>, phrases array<string>, sizes array<int>, counts array<bigint>")
+    counts = keep(rows.repartitionById(parts, F.col("part")).mapInArrow(add, "lang string, phrase string, size long, f bigint"), "frequent")
     sent.unpersist()
     return counts
 
@@ -420,14 +429,14 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: in
     grams = frequent(docs, mass, least, longest, **options)
     found = grams.where("size > 1")
     parts = F.split("phrase", " ")
-    cuts = found.select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.withColumns({"first": F.array_join(F.slice(parts, F.lit(1), F.col("k")), " "), "rest": F.array_join(F.slice(parts, F.col("k") + 1, F.col("size")), " ")})
+    cuts = found.select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), (F.col("size") - 1).cast("int"))).alias("k"))
+    cuts = cuts.withColumns({"first": F.array_join(F.slice(parts, F.lit(1), F.col("k")), " "), "rest": F.array_join(F.slice(parts, F.col("k") + 1, F.col("size").cast("int")), " ")})
     cuts = _with_counts(cuts, grams, "first", F.col("k") == 1, "l")
     cuts = _with_counts(cuts, grams, "rest", F.col("k") == F.col("size") - 1, "r")
     cuts = cuts.join(small(totals.select("lang", "n"), "langs"), "lang").withColumn("score", exact_score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("best")).select("lang", "phrase", "best.*")
     # all runs of words within longer candidates
-    inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda s: F.array_join(F.slice(parts, s, n), " ")))))
+    inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), (F.col("size") - 1).cast("int")), lambda n: F.transform(F.sequence(F.lit(1), (F.col("size") - n + 1).cast("int")), lambda s: F.array_join(F.slice(parts, s, n), " ")))))
     longer = found.where("size > 2").select("lang", "f", inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     left = best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * contained))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
