@@ -171,6 +171,11 @@ def kpis(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", y: str = "y")
         F.regr_slope(recent, -F.col("_back").cast("double")).alias("recent_slope"),
         ratio(F.stddev_samp("_y") * 100.0, F.avg("_y")).alias("volatility"),
     )
+    return grade_kpis(facts)
+
+
+def grade_kpis(facts: DataFrame) -> DataFrame:
+    """Growth rates, directions and levels from a key's facts, ``_year_ago`` among them, which goes."""
     now, accuracy = F.col("current_value"), F.greatest(F.lit(70.0), 100 - F.abs("volatility") / 2)
 
     def arrow(c: str) -> Column:

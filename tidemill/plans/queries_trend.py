@@ -80,7 +80,7 @@ def _components(spark, sf):
     return trend.component_shares(parts, ["trend", "seasonal"], ["flag", "status"])
 
 
-def _kpi_sql(source: str, key: str | None) -> str:
+def kpi_sql(source: str, key: str | None) -> str:
     k = f"{key}, " if key else ""
     part = f"PARTITION BY {key} " if key else ""
     group = f" GROUP BY {key}" if key else ""
@@ -97,18 +97,18 @@ SELECT *, CASE WHEN recent_slope > 0 THEN 'increasing' WHEN recent_slope < 0 THE
   CASE WHEN forecast_accuracy > 90 THEN 'excellent' WHEN forecast_accuracy > 80 THEN 'good' ELSE 'fair' END AS accuracy_level FROM g"""
 
 
-_KPI_SPEC = (
+KPI_SPEC = (
     "total_periods:i start_ts:d end_ts:d current_value:2 previous_value:2 avg_value:6 recent_slope:4 volatility:6 mom_growth:6 "
     "yoy_growth:6 forecast_accuracy:6 trend_direction:s mom_trend:s yoy_trend:s volatility_level:s accuracy_level:s"
 )
 
 
-@query("kpis", _KPI_SPEC, f"WITH {ORDERS_M}, {_kpi_sql('om', None)}")
+@query("kpis", KPI_SPEC, f"WITH {ORDERS_M}, {kpi_sql('om', None)}")
 def _kpis(spark, sf):
     return trend.kpis(panels.orders_monthly(spark, sf))
 
 
-@query("kpis_by_part", "part:i " + _KPI_SPEC.replace("current_value:2 previous_value:2 avg_value:6", "current_value:4 previous_value:4 avg_value:0"), f"WITH {panels.PART_M}, {_kpi_sql('ptm', 'part')}")
+@query("kpis_by_part", "part:i " + KPI_SPEC.replace("current_value:2 previous_value:2 avg_value:6", "current_value:4 previous_value:4 avg_value:0"), f"WITH {panels.PART_M}, {kpi_sql('ptm', 'part')}")
 def _kpis_part(spark, sf):
     return trend.kpis(panels.part_monthly(spark, sf), ["part"])
 
