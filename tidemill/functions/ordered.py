@@ -60,27 +60,34 @@ def carry_fill(
     return joined.withColumn(out or y, filled).drop("_block", "_back", "_ahead", "_c")
 
 
-def gap_days(df: DataFrame, keys: Sequence[str], ts: str, block: str = "month") -> DataFrame:
-    """(keys, days, n): how often each whole-day gap occurs between successive distinct times."""
+def gap_counts(df: DataFrame, keys: Sequence[str], ts: str, block: str = "month") -> DataFrame:
+    """(keys, seconds, n, n_obs): how often each gap occurs between successive distinct times, and rows with a time.
+
+    One pass over the rows: they are reduced to distinct times, those to gaps
+    within a block and the ends of the block, and those to counts, before the
+    few that are left of a key meet. The row with null ``seconds`` stands for
+    no gap: it carries the rest of ``n_obs``.
+    """
     keys = list(keys)
-    times = (
-        df.where(F.col(ts).isNotNull())
-        .select(*keys, F.col(ts).alias("_t"))
-        .distinct()
-        .withColumn("_block", F.date_trunc(block, "_t"))
-    )
+    times = df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.count(ts).alias("_m")).withColumn("_block", F.date_trunc(block, "_t"))
     inner = Window.partitionBy(*keys, "_block").orderBy("_t")
-    within = times.select(*keys, "_t", F.lag("_t").over(inner).alias("_p")).where(F.col("_p").isNotNull())
-    edges = times.groupBy(*keys, "_block").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    between = edges.select(*keys, F.col("_lo").alias("_t"), F.lag("_hi").over(across).alias("_p")).where(
-        F.col("_p").isNotNull()
-    )
-    seconds = clock_seconds("_t") - clock_seconds("_p")
-    return (
-        within.unionByName(between)
-        .select(*keys, seconds.alias("seconds"))
-        .groupBy(*keys, "seconds")
-        .agg(F.count("*").alias("n"))
-        .withColumn("days", F.floor(F.col("seconds") / 86400))
+    marked = times.withColumns({"_p": F.lag("_t").over(inner), "_last": F.lead("_t").over(inner).isNull()})
+    first, none = F.col("_p").isNull(), F.lit(None)
+    gap = F.struct((clock_seconds("_t") - clock_seconds("_p")).alias("seconds"), none.cast("timestamp").alias("block"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), F.col("_m").alias("m"))
+    at = clock_seconds("_t")
+    end = F.struct(
+        none.cast("bigint").alias("seconds"), F.col("_block").cast("timestamp").alias("block"), F.when(first, at).alias("lo"), F.when(F.col("_last"), at).alias("hi"), F.when(first, F.col("_m")).otherwise(0).alias("m")
     )
+    events = marked.select(*keys, F.explode(F.array_compact(F.array(F.when(~first, gap), F.when(first | F.col("_last"), end)))).alias("_e"))
+    sums = events.groupBy(*keys, "_e.seconds", "_e.block").agg(F.count("*").alias("n"), F.min("_e.lo").alias("lo"), F.max("_e.hi").alias("hi"), F.sum("_e.m").alias("m"))
+    # gaps come before the blocks, which stand in order: the end of the block before gives the gap between them
+    across = Window.partitionBy(*keys).orderBy(F.col("block").asc_nulls_first())
+    between = F.when(F.col("block").isNotNull(), F.col("lo") - F.lag("hi").over(across))
+    counted = sums.select(*keys, F.coalesce("seconds", between).alias("seconds"), F.when(F.col("seconds").isNull(), 1).otherwise(F.col("n")).alias("n"), "m")
+    return counted.groupBy(*keys, "seconds").agg(F.sum("n").alias("n"), F.sum("m").alias("n_obs"))
+
+
+def gap_days(df: DataFrame, keys: Sequence[str], ts: str, block: str = "month") -> DataFrame:
+    """(keys, seconds, n, days): how often each whole-day gap occurs between successive distinct times."""
+    gaps = gap_counts(df, keys, ts, block).where("seconds IS NOT NULL").drop("n_obs")
+    return gaps.withColumn("days", F.floor(F.col("seconds") / 86400))

@@ -24,6 +24,18 @@ from .columns import attach, per_series
 SLOTS = 256
 
 
+def bracket_edges(probs: Sequence[float], accuracy: int) -> list[float]:
+    """The probabilities whose approximate quantiles bracket each of ``probs``."""
+    slack = 4.0 / accuracy
+    return [min(max(p + s, 0.0), 1.0) for p in sorted(set(probs)) for s in (-slack, slack)]
+
+
+def bracket_sketch(value: str, probs: Sequence[float], accuracy: int) -> list[Column]:
+    """Aggregates ``edges`` and ``size`` of :func:`exact_quantiles`, to be taken in a pass that is made anyway."""
+    v = F.col(value).cast("double")
+    return [F.percentile_approx(v, bracket_edges(probs, accuracy), accuracy).alias("edges"), F.count(v).alias("size")]
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,9 +44,12 @@ def exact_quantiles(
     rule: str = "linear",
     accuracy: int = 10_000,
     names: Sequence[str] | None = None,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key with the quantiles of ``value`` (nulls ignored).
 
+    ``sketch`` (keys, edges, size: :func:`bracket_sketch`, kept) saves a pass if there is one already.
+
     ``rule``: ``linear`` interpolates between ranks, ``floor`` takes the sorted
     value at index ``floor(n * p)``. Raise ``accuracy`` with the size of a key:
     an ordering task holds about ``8 n / accuracy / SLOTS`` distinct values, or
@@ -46,14 +61,12 @@ def exact_quantiles(
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
-    slack = 4.0 / accuracy
     brackets = sorted(set(probs))
-    edges = [min(max(p + s, 0.0), 1.0) for p in brackets for s in (-slack, slack)]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", edges, accuracy).alias("edges"), F.count("*").alias("size")
-    )
     # one row per key, kept: merging a sketch again could move its edges, and a retried task must see the same ones
-    near = attach(rows, sketch if keys else settle(sketch), keys, "_s", raw=True)
+    if sketch is None:
+        sketch = rows.groupBy(*keys).agg(*bracket_sketch("_v", probs, accuracy))
+        sketch = sketch if keys else settle(sketch)
+    near = attach(rows, sketch, keys, "_s", raw=True)
 
     # every value gets a slot, and slots are disjoint intervals: one per gap between brackets, many inside a bracket
     v, whole = F.col("_v"), F.col("_s.size") <= accuracy

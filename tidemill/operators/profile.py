@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import attach, by_time, change_rate, correlation, ratio, sample_kurtosis, sample_skewness
-from ..functions.ordered import gap_days
-from ..functions.quantiles import exact_quantiles
+from ..functions.ordered import gap_counts
+from ..functions.quantiles import bracket_sketch, exact_quantiles
 from ..schema import TIME_WORDS, VALUE_WORDS, find_roles
+from ..session import settle
 from .clean import to_number
 
 # Largest whole-day gap of each frequency code, in order; beyond the last it is yearly.
@@ -100,22 +101,16 @@ def validate(
 def detect_frequency(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", block: str = "month") -> DataFrame:
     """D/W/M/Q/Y from the commonest gap between successive distinct times; ties go to the smallest gap.
 
-    A key with fewer than two times has no gap and counts as monthly.
+    A key with fewer than two times has no gap and counts as monthly. One pass over the rows.
     """
-    gaps = gap_days(df, keys, ts, block)
-    modal = gaps.groupBy(*keys).agg(
-        F.max_by("days", F.struct(F.col("n"), -F.col("seconds"))).alias("modal_days")
+    gap = F.when(F.col("seconds").isNotNull(), F.struct(F.col("n"), -F.col("seconds")))
+    modal = gap_counts(df, keys, ts, block).groupBy(*keys).agg(
+        F.coalesce(F.sum("n_obs"), F.lit(0)).alias("n_obs"), F.floor(F.max_by("seconds", gap) / 86400).alias("modal_days")
     )
     code = F.lit("Y")
     for name, limit in reversed(FREQUENCY_LIMITS.items()):
-        code = F.when(F.col("_g.modal_days") <= limit, F.lit(name)).otherwise(code)
-    sized = df.groupBy(*keys).agg(F.count(ts).alias("n_obs"))
-    return attach(sized, modal, keys, "_g").select(
-        *keys,
-        "n_obs",
-        F.col("_g.modal_days").alias("modal_days"),
-        F.when(F.col("_g.modal_days").isNull(), F.lit("M")).otherwise(code).alias("frequency"),
-    )
+        code = F.when(F.col("modal_days") <= limit, F.lit(name)).otherwise(code)
+    return modal.select(*keys, "n_obs", "modal_days", F.when(F.col("modal_days").isNull(), F.lit("M")).otherwise(code).alias("frequency"))
 
 
 def _moments(df: DataFrame, keys: Sequence[str], ts: str, y: str, extra: Sequence[Column] = ()) -> DataFrame:
@@ -133,10 +128,13 @@ def _moments(df: DataFrame, keys: Sequence[str], ts: str, y: str, extra: Sequenc
     )
 
 
-def _quartiles(df: DataFrame, keys: Sequence[str], y: str, scale: str, accuracy: int) -> DataFrame:
-    names, probs = ["q25", "median", "q75"], [0.25, 0.5, 0.75]
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+
+
+def _quartiles(df: DataFrame, keys: Sequence[str], y: str, scale: str, accuracy: int, sketch: DataFrame | None) -> DataFrame:
+    names, probs = list(QUARTILES), list(QUARTILES.values())
     if scale == "rows":
-        return exact_quantiles(df, keys, y, probs, names=names, accuracy=accuracy)
+        return exact_quantiles(df, keys, y, probs, names=names, accuracy=accuracy, sketch=sketch)
     if scale == "series":
         return df.groupBy(*keys).agg(*[F.percentile(y, F.lit(p)).alias(n) for n, p in zip(names, probs)])
     if scale == "approx":
@@ -157,13 +155,20 @@ def summary(
     """Shape, range, mean/std/min/max, quartiles, frequency, missing and zero counts per key.
 
     ``scale`` picks the quantiles: ``rows`` exact for any size, ``series`` exact
-    for frames already reduced to periods, ``approx`` a sketch.
+    for frames already reduced to periods, ``approx`` a sketch. Exact quantiles
+    of rows read the table three times: for moments and the sketch together,
+    for the values near the wanted ranks, and for the distinct times.
     """
-    base = _moments(df, keys, ts, y, extra)
-    with_q = attach(base, _quartiles(df, keys, y, scale, accuracy), keys, "_q")
+    sketch = bracket_sketch(y, list(QUARTILES.values()), accuracy) if scale == "rows" else []
+    facts = _moments(df, keys, ts, y, [*extra, *sketch])
+    columns = [c for c in facts.columns if c not in ("edges", "size")]
+    if sketch:
+        facts = settle(facts)
+    near = facts.select(*keys, "edges", "size") if sketch else None
+    with_q = attach(facts.select(*columns), _quartiles(df, keys, y, scale, accuracy, near), keys, "_q")
     full = attach(with_q, detect_frequency(df, keys, ts, block), keys, "_f")
     return full.select(
-        *base.columns,
+        *columns,
         *[F.col(f"_q.{n}").alias(n) for n in ("q25", "median", "q75")],
         F.col("_f.frequency").alias("frequency"),
     )
