@@ -43,7 +43,7 @@ SLICE_BYTES = 2 << 20
 FLUSH_GRAMS = 2_000_000  # n-gram hashes that a task combines at a time
 ROW_PHRASES = 100
 ROW_KEYS = 500  # hashes in a row that is sent, so that a batch of rows stays small
-FLUSH_PHRASES = 100_000  # counted phrases that a task holds
+FLUSH_PHRASES = 400_000  # counted phrases that a task holds, about 80 MB
 PARTITION_MASS = 100_000_000  # n-gram occurrences in a hash partition, on average
 FILTER_BITS = 27  # the bitmap of survivors has 2^27 bits, 16 MB
 SPARE_BITS = 10  # bits of a hash beyond those that tell the occurrences apart
@@ -326,7 +326,7 @@ def bitmap(found: DataFrame, bits: int, filter_bits: int = FILTER_BITS) -> Bitma
 _PACKED = pa.schema([("part", pa.int32()), ("langs", pa.list_(pa.string())), ("phrases", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
-def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+def _column(values: list, kind: pa.DataType) -> pa.Array:
     """A column; texts may come as bytes."""
     return pa.array(values, pa.binary()).cast(kind) if isinstance(values[0], bytes) else pa.array(values, kind)
 
@@ -339,16 +339,17 @@ def frequent(
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(*survivors(docs, mass, parts, least, longest, flush), filter_bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, int] = {}  # hash -> place in the lists
+        langs, texts, sizes, sums = [], [], [], []
         found = sent.value
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal held
             where = part_of(np.fromiter(held, dtype=np.uint64, count=len(held)), parts)
             order = np.argsort(where, kind="stable")
             where = where[order]
-            columns = [_column(c, f.type.value_type).take(pa.array(order)) for c, f in zip(zip(*held.values()), list(_PACKED)[1:])]
-            held = {}
+            columns = [_column(c, f.type.value_type).take(pa.array(order)) for c, f in zip((langs, texts, sizes, sums), list(_PACKED)[1:])]
+            for x in (held, langs, texts, sizes, sums):
+                x.clear()
             heads = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
             rank = np.arange(len(where)) - np.repeat(heads, np.diff(np.append(heads, len(where))))
             cuts = np.append(np.flatnonzero(rank % ROW_PHRASES == 0), len(where)).astype(np.int32)
@@ -371,9 +372,13 @@ def frequent(
                             text = raw[b:e]
                             if k > 1 and (b"  " in text or b"\t" in text):
                                 text = b" ".join(text.split())
-                            held[h] = [part.names[lang], text, k, n]
+                            held[h] = len(sums)
+                            langs.append(part.names[lang])
+                            texts.append(text)
+                            sizes.append(k)
+                            sums.append(n)
                         else:
-                            known[3] += n
+                            sums[known] += n
                     if len(held) >= FLUSH_PHRASES:
                         yield from out()
         if held:
