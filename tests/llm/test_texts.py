@@ -239,6 +239,29 @@ def test_tightest_bin_is_found():
             room.add(*held[-1])
 
 
+def test_matrix_rows_leave_a_buffer_that_nothing_fills(monkeypatch):
+    """Pieces of more than half a row never fit together; the buffer must not grow with the split."""
+    import pyspark
+
+    held = []
+    pack = bins.best_fit_decreasing
+    monkeypatch.setattr(matrices.bins, "best_fit_decreasing", lambda lengths, capacity: held.append(int(lengths.sum())) or pack(lengths, capacity))
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(matrices, "encoded", lambda column, path: iter([(np.arange(600_000, dtype="<u4") % 97, np.arange(0, 600_001, 60))]))
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, kinds):
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10_000)), "text": [""] * 10_000})
+            return [r for b in run(iter([batch])) for r in b.to_pylist()]
+
+    rows = matrices.packed_rows(Docs(), "x", capacity=100, buffer_ids=5_000)
+    assert max(held) <= 5_000 + 61 and len(held) < 10_000 // 20
+    assert sorted(d for r in rows for d in r["doc_ids"]) == list(range(10_000))
+
+
 def test_matrices_give_the_documents_back(spark):
     rows = corpus(60)
     back = Counter()

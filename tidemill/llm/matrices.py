@@ -4,8 +4,10 @@ Each task packs the documents of its own split, so nothing is shuffled and the
 ids are made once. Pieces gather in a buffer; when it is full they are packed
 best fit decreasing, with the tightest bin found in a segment tree over
 capacities (``bins.Room``), full rows go out and the pieces of underfull rows
-stay for the next round. A task so holds a buffer, however large its split, and
-leaves underfull rows only at its end.
+stay for the next round, as long as they fill no more than half the buffer:
+beyond that the fullest rows go out as they are. A task so holds a buffer and
+its longest document, however large its split, and leaves underfull rows only
+at its end or where pieces do not fit together.
 """
 
 from __future__ import annotations
@@ -52,13 +54,16 @@ def packed_rows(docs: DataFrame, path: str | None = None, capacity: int = CAPACI
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, made
             rows, rest = [], []
-            packed = bins.best_fit_decreasing(np.array([len(x[2]) for x in held], dtype=np.int64), capacity)
-            for b in packed:
+            lengths = np.array([len(x[2]) for x in held], dtype=np.int64)
+            packed = sorted(((int(lengths[b].sum()), b) for b in bins.best_fit_decreasing(lengths, capacity)), key=lambda x: -x[0])
+            left = size
+            for used, b in packed:
                 own = [held[i] for i in b]
-                used = sum(len(x[2]) for x in own)
-                if not final and used < capacity - capacity // 256:
+                # the fullest rows go out, full or not, until half the buffer is free
+                if not final and used < capacity - capacity // 256 and left <= buffer_ids // 2:
                     rest += own
                     continue
+                left -= used
                 matrix, place = np.full(capacity, pad, dtype="<u4"), np.arange(capacity, dtype="<u4")
                 cuts = np.cumsum([0, *(len(x[2]) for x in own)])
                 matrix[:used] = np.concatenate([x[2] for x in own])
