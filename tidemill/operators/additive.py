@@ -11,7 +11,7 @@ since they would fit noise and extrapolate wildly.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import attach, per_series, period_end, spread
+from . import gram
 from .calendar_effects import SEASONALITIES, epoch_days, fourier_columns, hinge_positions, holiday_regressors
 from .packing import key_fields
 from .resample import future_calendar
@@ -260,6 +261,36 @@ def changepoints(df: DataFrame, keys: Sequence[str] = (), config: AdditiveConfig
     return found.withColumn("significant", F.abs("delta") > limit)
 
 
+def sparse_changepoints(df: DataFrame, keys: Sequence[str] = (), config: AdditiveConfig = AdditiveConfig()) -> DataFrame:
+    """(keys, changepoint, position, delta, selected): where the slope of each series changes, and by how much per span of the history.
+
+    The slope changes are chosen by an L1 path (:class:`.gram.Sparse`), so they
+    are exactly 0 where the series does not bend. The regressors' sums of
+    products are made in the JVM; no row of a series is looked at by Python. All
+    places are put out, ``selected`` where there is a change. Seasons are those
+    of ``config``. Rows without a value take no part; in multiplicative mode
+    the model is of log y, and rows that are not positive take no part.
+    """
+    rows, terms, _ = _design(df, keys, 0, config, None, ())
+    value = F.when(F.col("y") > 0, F.log("y")) if config.mode == "multiplicative" else F.col("y").cast("double")
+    sums = gram.gram_sums(rows.withColumn("y", value), keys, "x", "y", len(terms))
+    hinges = [i for i, t in enumerate(terms) if t.startswith("hinge")]
+    others = [i for i, t in enumerate(terms) if i not in hinges and t != "intercept"]
+    names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[names].assign(deltas=[gram.Sparse(g, hinges, others).best() for g in pdf["gram"]])
+
+    found = spread(sums, *keys).mapInPandas(run, T.StructType(key_fields(sums, keys) + [T.StructField("deltas", T.ArrayType(T.DoubleType()))]))
+    day = epoch_days(period_end("ts", config.freq))
+    span = df.groupBy(*keys).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    places = F.array(*[F.lit(float(p)) for p in hinge_positions(config.changepoints)])
+    placed = attach(found, span, keys, "_s").select(*keys, "_s", F.posexplode(F.arrays_zip(places.alias("position"), F.col("deltas").alias("delta"))).alias("_i", "_d"))
+    at = F.date_from_unix_date((F.col("_s.first") + F.round(F.col("_d.position") * (F.col("_s.last") - F.col("_s.first")))).cast("int"))
+    return placed.select(*keys, at.alias("changepoint"), F.col("_d.position").alias("position"), F.col("_d.delta").alias("delta"), (F.col("_d.delta") != 0).alias("selected"))
+
+
 def additive_importance(df: DataFrame, keys: Sequence[str] = (), config: AdditiveConfig = AdditiveConfig()) -> DataFrame:
     """Share of each component in the total variance of the in-sample components."""
     fitted = additive_fit(df, keys, 0, config)

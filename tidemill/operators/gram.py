@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLAT = 1e-11  # a variance below this share of the mean square is rounding noise
+NOISE = 1e-6  # a mean square below this share of that of y is not explained any further
 RANK = 1e-12  # eigenvalues below this share of the largest carry no information
 
 
@@ -104,3 +105,83 @@ def lasso(products: np.ndarray, target: np.ndarray, alpha: float, rounds: int =
             else:
                 beta = exact
     return beta
+
+
+# ---- sparse choice ---------------------------------------------------------------------------
+
+
+class Sparse:
+    """Which of some columns a series needs beside others that are always there, by an L1 path over its sums of products.
+
+    The others (and the level) are projected out. Coordinate steps with
+    covariance updates go down a path of penalties, each from the solution
+    before; every set of columns on the path is fitted without penalty, and the
+    set with the lowest Bayesian criterion stays, less the columns it can
+    spare. A column costs two parameters, its size and its place. What is under a
+    thousandth of the level of y (its root mean square) counts as noise.
+    """
+
+    def __init__(self, gram: Sequence[float], chosen: Sequence[int], always: Sequence[int]):
+        k = int(round(len(gram) ** 0.5))
+        g = np.asarray(gram, dtype=float).reshape(k, k)
+        self.n, y = float(g[0, 0]), k - 1
+        g = g / self.n
+        base = np.array([0, *(i + 1 for i in always)])
+        own = np.array([i + 1 for i in chosen])
+        scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+        g = g / np.outer(scale, scale)
+        values, vectors = np.linalg.eigh(g[np.ix_(base, base)])
+        keep = values > RANK * values.max()
+        half = vectors[:, keep] / np.sqrt(values[keep])
+        left = g - g[:, base] @ half @ half.T @ g[base]
+        self.base, self.total = int(keep.sum()), max(float(left[y, y]), 0.0)
+        self.rest = left[np.ix_(own, own)]
+        self.pull = left[own, y]
+        self.flat = np.diag(self.rest) <= FLAT
+        self.size = np.where(self.flat, 1.0, np.sqrt(np.maximum(np.diag(self.rest), FLAT)))
+        self.unit = scale[y] / scale[own]
+        self.noise = NOISE
+
+    def fitted(self, columns: Sequence[int]) -> tuple[np.ndarray, float]:
+        """Coefficients of some columns without penalty, and the mean square that is left."""
+        at = np.asarray(columns, dtype=int)
+        b = least_squares(self.rest[np.ix_(at, at)], self.pull[at]) if len(at) else np.zeros(0)
+        return b, max(self.total - float(b @ self.pull[at]), 0.0)
+
+    def criterion(self, columns: Sequence[int]) -> float:
+        return self.n * np.log(self.fitted(columns)[1] + self.noise) + (self.base + 2 * len(columns)) * np.log(self.n)
+
+    def path(self, steps: int = 40, least: float = 0.005) -> list[tuple[float, np.ndarray]]:
+        """(penalty, standardised coefficients) from the largest penalty that leaves something down."""
+        live = np.flatnonzero(~self.flat)
+        z, c = self.rest / np.outer(self.size, self.size), self.pull / self.size
+        top = float(np.abs(c[live]).max(initial=0.0))
+        b, out = np.zeros(len(c)), []
+        for alpha in top * np.geomspace(1.0, least, steps) if top > 0 else ():
+            for _ in range(500):
+                before = b.copy()
+                for j in live:
+                    at = c[j] - z[j] @ b + z[j, j] * b[j]
+                    b[j] = np.sign(at) * max(abs(at) - alpha, 0.0) / z[j, j]
+                if np.abs(b - before).max() <= 1e-10 * top:
+                    break
+            out.append((float(alpha), b.copy()))
+        return out
+
+    def best(self) -> np.ndarray:
+        """Coefficients in the columns' own units; 0 for those that are not needed."""
+        sets = {(): self.criterion(())}
+        if self.total > self.noise:
+            for _, b in self.path():
+                own = tuple(np.flatnonzero(b).tolist())
+                if own not in sets and len(own) + self.base < self.n - 1:
+                    sets[own] = self.criterion(own)
+        chosen = min(sets, key=lambda x: (sets[x], len(x)))
+        while chosen:  # drop what can be spared
+            fewer = min((tuple(c for c in chosen if c != d) for d in chosen), key=self.criterion)
+            if self.criterion(fewer) > self.criterion(chosen):
+                break
+            chosen = fewer
+        out = np.zeros(len(self.pull))
+        out[list(chosen)] = self.fitted(chosen)[0] * self.unit[list(chosen)] if chosen else 0.0
+        return out

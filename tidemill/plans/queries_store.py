@@ -129,3 +129,9 @@ def _white_noise(spark, sf):
     """Whether the default model leaves autocorrelation in its errors."""
     rows = arima.arima_residuals(panels.nation_monthly(spark, sf), NATION)
     return metrics.ljung_box(rows, NATION)
+
+
+@query("changepoints_sparse", "nation:i changepoint:d position:6 delta:0 selected:b")
+def _sparse(spark, sf):
+    """Slope changes by an L1 path: exactly 0 where a series does not bend."""
+    return additive.sparse_changepoints(panels.nation_monthly(spark, sf), NATION)
