@@ -171,3 +171,11 @@ def test_residual_frames_and_statistics(spark, series, wide):
     assert {r.k for r in arima.arima_residuals(wide, ["k"]).select("k").distinct().collect()} == {"a", None}
     tested = metrics.ljung_box(arima.arima_residuals(wide, ["k"]), ["k"]).collect()
     assert len(tested) == 2 and all(r.n == 92 and 0 <= r.lb_pvalue <= 1 for r in tested)
+
+
+def test_one_series_without_keys(spark, series):
+    chosen = {n: f for n, f in model_store.families().items() if n in ("trend", "lag_regression")}
+    first = model_store.train(series.where("ts < '1970-01-01'"), chosen)
+    again = first.retrain(series.where("ts >= '1970-01-01'"))
+    same(again.forecast(6), model_store.train(series, chosen).forecast(6), ["model", "step"], ["yhat"], 1e-7)
+    assert {(r.model, r.n_rows) for r in again.info().collect()} == {("trend", 105), ("lag_regression", 93)}
