@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from tests.conftest import CHAMPAGNE, month, one
 from tidemill.functions.ordered import carry_fill
 from tidemill.functions.quantiles import exact_quantiles
 from tidemill.functions.student import t_quantile
-from tidemill.operators import anomaly, clean, crossval, ensemble, features, metrics, profile, resample, scenario, trend
+from tidemill.operators import anomaly, clean, crossval, ensemble, features, isolation, metrics, profile, resample, scenario, trend
 from tidemill.schema import RoleError, find_roles, require_roles, tidy_column_names
 
 Y = np.array(CHAMPAGNE, dtype=float)
@@ -79,6 +80,39 @@ def test_carry_fill_equals_pandas(spark, block):
     assert np.allclose(got, pd.Series(expected.to_numpy(), index=ordered["seq"]).sort_index())
 
 
+def test_fills_keep_frames_that_grow(spark):
+    """A frame from each row to the end is gone through again for every row: squared time in a dense block or a long series."""
+    rows = [("a", dt.datetime(2020, 1 + i // 200, 1, 0, i % 60), i, None if i < 250 or i % 3 else float(i)) for i in range(600)]
+    df = spark.createDataFrame([*rows, ("b", dt.datetime(2020, 1, 1), 0, None)], "k string, ts timestamp_ntz, seq int, y double")
+    flagged = df.withColumn("is_outlier_consensus", F.col("y").isNull())
+    frames = {
+        "fill": clean.fill_missing(df, ["k"], "ts", "y", ["seq"]),
+        "clean": clean.clean(df, ["k"], "ts", "y", "seq"),
+        "clean without blocks": clean.clean(df, ["k"], "ts", "y", "seq", block=None),
+        "interpolate": anomaly.interpolate_outliers(flagged, ["k"]),
+        "isolation": isolation.isolation_scores(df, ["k"], ("ts", "seq"), trees=2),
+    }
+    for name, frame in frames.items():
+        plan = frame._jdf.queryExecution().analyzed().toString().lower()
+        assert not re.search(r"specifiedwindowframe\(\w+, (currentrow\$\(\)|1), unboundedfollowing", plan), name
+    got = {(r.k, r.seq): r.y for r in frames["fill"].collect()}
+    ordered = sorted((r[1:] for r in rows), key=lambda r: r[:2])
+    first = next(y for _, _, y in ordered if y is not None)
+    last, expected = None, {("b", 0): None}
+    for _, seq, y in ordered:
+        last = last if y is None else y
+        expected["a", seq] = first if last is None else last
+    assert got == expected
+
+
+def test_interpolation_at_one_time(spark):
+    """Rows of one time take the good point of that time, in whatever order they come."""
+    rows = [(1, 1.0), (5, None), (5, 50.0), (5, None), (9, 9.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(month(t), y, y is None) for t, y in order], "ts date, y double, is_outlier_consensus boolean")
+        assert sorted(r.y for r in anomaly.interpolate_outliers(df).collect()) == [1.0, 9.0, 50.0, 50.0, 50.0]
+
+
 def test_types_and_empty_rows(spark):
     df = spark.createDataFrame([("1.5", "2020-01-02", "TRUE"), ("", "x", "no"), ("abc", "", None)], "n string, d string, b string")
     got = clean.convert_types(df, {"n": "number", "d": "date", "b": "boolean", "gone": "number"}).collect()

@@ -20,7 +20,7 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def by_time(keys: Sequence[str], ts: str = "ts") -> WindowSpec:
+def by_time(keys: Sequence[str], ts: str | Column = "ts") -> WindowSpec:
     """One ordered window per series. Only for frames already reduced to periods."""
     return Window.partitionBy(*keys).orderBy(ts)
 

@@ -31,33 +31,30 @@ def carry_fill(
 
     ``order[0]`` is the time column that the blocks are cut from; ``block`` is
     any ``date_trunc`` unit and changes only the size of the tasks, never the
-    result. ``ahead`` names another column to take the backward values from.
+    result. ``ahead`` names another column to take the backward value from, in
+    the first row that has ``y``. Leading rows of a key all get that one value,
+    so no frame looks ahead: Spark would go through the rest of the block again for every row.
     """
     ahead = ahead or y
     keys = list(keys)
     blocked = df.withColumn("_block", F.date_trunc(block, F.col(order[0])))
     inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    marked = blocked.withColumns(
-        {
-            "_back": F.last(y, True).over(inner.rowsBetween(UNBOUNDED_BEFORE, 0)),
-            "_ahead": F.first(ahead, True).over(inner.rowsBetween(0, UNBOUNDED_AFTER)),
-        }
-    )
-    at = F.struct(*order)
+    marked = blocked.withColumn("_back", F.last(y, True).over(inner.rowsBetween(UNBOUNDED_BEFORE, 0)))
+    present = F.when(F.col(y).isNotNull(), F.struct(*order))
     blocks = blocked.groupBy(*keys, "_block").agg(
-        F.max_by(y, F.when(F.col(y).isNotNull(), at)).alias("_tail"),
-        F.min_by(ahead, F.when(F.col(ahead).isNotNull(), at)).alias("_head"),
+        F.max_by(y, present).alias("_tail"),
+        F.min_by(ahead, present).alias("_head"),
     )
     across = Window.partitionBy(*keys).orderBy("_block")
     carried = blocks.select(
         *keys,
         "_block",
         F.last("_tail", True).over(across.rowsBetween(UNBOUNDED_BEFORE, -1)).alias("before"),
-        F.first("_head", True).over(across.rowsBetween(1, UNBOUNDED_AFTER)).alias("after"),
+        F.first("_head", True).over(across.rowsBetween(UNBOUNDED_BEFORE, UNBOUNDED_AFTER)).alias("head"),
     )
     joined = attach(marked, carried, [*keys, "_block"], "_c", raw=True)
-    filled = F.coalesce("_back", F.col("_c.before"), "_ahead", F.col("_c.after"))
-    return joined.withColumn(out or y, filled).drop("_block", "_back", "_ahead", "_c")
+    filled = F.coalesce("_back", F.col("_c.before"), F.col("_c.head"))
+    return joined.withColumn(out or y, filled).drop("_block", "_back", "_c")
 
 
 def gap_counts(df: DataFrame, keys: Sequence[str], ts: str, block: str = "month") -> DataFrame:

@@ -311,7 +311,8 @@ def interpolate_outliers(
 
     Before the first good point the value stays null; after the last it is the last good value.
     """
-    w = by_time(keys, ts)
+    # each side by a frame that grows: Spark goes through a frame that shrinks again for every row; rows of one time see each other
+    past, ahead = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) for w in (by_time(keys, ts), by_time(keys, F.col(ts).desc())))
     kept = F.when(~F.col(flag), F.col(y))
     seconds = clock_seconds(ts)
     point = F.when(kept.isNotNull(), F.struct(seconds.alias("t"), kept.alias("v")))
@@ -319,8 +320,8 @@ def interpolate_outliers(
         {
             "_t": seconds,
             "_kept": kept,
-            "_a": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_b": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            "_a": F.last(point, True).over(past),
+            "_b": F.last(point, True).over(ahead),
         }
     )
     share = ratio((F.col("_t") - F.col("_a.t")).cast("double"), (F.col("_b.t") - F.col("_a.t")).cast("double"))

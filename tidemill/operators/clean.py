@@ -71,7 +71,7 @@ def _reduced(
             "_value",
             F.coalesce(
                 F.last("_value", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                F.first("_first", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+                F.first("_first", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
             ),
         )
     return filled.withColumn("y", to_number("_value"))

@@ -133,7 +133,7 @@ def isolation_scores(
     filled = {
         f"_f{i}": F.coalesce(
             F.last(c, True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            F.first(c, True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+            F.first(c, True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         ).cast("double")
         for i, c in enumerate(features)
     }
