@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemill.llm import lm_scoring
@@ -103,6 +105,47 @@ def test_no_documents_and_no_training(spark):
     assert [r.score for r in rows] == pytest.approx([-24 * math.log10(2)] * 2) and all(r.base_score == 0 and r.n_known == 0 for r in rows)
 
 
+def test_tasks_hold_little_beside_the_tables():
+    """Counting and scoring 12 MB of text in one batch: arrays follow a slice and the distinct keys, whatever the batch."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 9, 3000)]
+    rows = [" ".join(words[k] for k in rng.integers(0, len(words), 700)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(3000)), "doc_id": list(range(3000)), "held_out": [i % 7 == 2 for i in range(3000)], "text": rows})
+
+    class Sent:
+        value = (lm_scoring.Table(10, "f4"), lm_scoring.Table(10, "u4"))
+
+    def peak(run) -> float:
+        tracemalloc.start()
+        n = sum(b.num_rows for b in run)
+        most = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        assert n > 0
+        return most
+
+    assert peak(lm_scoring._counted(iter([batch]), 5)) < 200
+    assert peak(lm_scoring._score(5, Sent)(iter([batch]))) < 100
+
+
+def test_counts_joined_early_and_late_are_the_same(monkeypatch):
+    """Counts add up however often a task joins or sends them, also when no row is for training."""
+    rows = [t or "" for _, t in ROWS] * 5
+
+    def counted(held) -> Counter:
+        batch = pa.RecordBatch.from_pydict({"held_out": held, "text": rows})
+        total = Counter()
+        for b in lm_scoring._counted(iter([batch, batch]), 3):
+            for r in b.to_pylist():
+                total[r["word"], r["key"]] += r["n"]
+        return total
+
+    cases = [[i % 3 == 0 for i in range(len(rows))], [True] * len(rows)]
+    late = [counted(held) for held in cases]
+    assert sum(n for (word, _), n in late[0].items() if not word) == 2 * sum(len(_low(t)) + 1 for i, t in enumerate(rows) if i % 3)
+    monkeypatch.setattr(lm_scoring, "FLUSH", 5)
+    assert [counted(held) for held in cases] == late
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "ab ab"), (1, "ab"), (1, "ab"), (None, None)], "doc_id long, text string")
     rows = lm_scoring.score(docs, depth=2).collect()

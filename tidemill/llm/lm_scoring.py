@@ -28,6 +28,7 @@ from .text import Texts, mix, signed, texts, word_hashes
 DEPTH = 5
 SHARE_GRAMS = 5_000_000
 FLUSH = 3_000_000
+SLICE_BYTES = 1 << 20  # a byte of a slice takes about 40 of arrays, and an executor holds a table and a slice for each core
 END_WORD = np.uint64(0x5EED)  # stands for the end of a text among word hashes
 _COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("word", pa.bool_())])
 
@@ -57,9 +58,17 @@ def _counted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
     held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
 
     def shrink(word: bool) -> tuple[np.ndarray, np.ndarray]:
+        # parts go as soon as they are joined, and joined arrays as soon as they are in order
         keys, n = map(np.concatenate, zip(*held[word]))
-        found, place = np.unique(keys, return_inverse=True)
-        held[word] = [(found, np.bincount(place, weights=n).astype(np.int64))]
+        held[word] = []
+        order = np.argsort(keys)
+        keys = keys[order]
+        n = n[order]
+        del order
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        held[word] = [(keys[first], np.add.reduceat(n, first))]
         return held[word][0]
 
     def send(word: bool) -> Iterator[pa.RecordBatch]:
@@ -69,7 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
         held[word] = []
 
     for batch in batches:
-        for part in texts(batch.column("text"), lower=True):
+        for part in texts(batch.column("text"), lower=True, slice_bytes=SLICE_BYTES):
             train = ~batch.column("held_out").slice(part.first, len(part)).to_numpy(zero_copy_only=False)
             keys, counts = _grams(part, depth)
             keys, place = np.unique(keys << np.uint64(1) | np.repeat(train, counts), return_counts=True)
@@ -178,7 +187,7 @@ def _score(depth: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words = sent.value
         for batch in batches:
-            for part in texts(batch.column("text"), lower=True):
+            for part in texts(batch.column("text"), lower=True, slice_bytes=SLICE_BYTES):
                 score, base, known = np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), dtype=np.int64)
                 if grams is not None:
                     keys, counts = _grams(part, depth)
