@@ -173,6 +173,15 @@ def test_residual_frames_and_statistics(spark, series, wide):
     assert len(tested) == 2 and all(r.n == 92 and 0 <= r.lb_pvalue <= 1 for r in tested)
 
 
+def test_errors_without_a_past_are_the_values():
+    """After two equal months nothing is forecast, so the error is the difference itself, to the last bit."""
+    values = np.array([0.0, 0.0, 0.0, 693563.5, 452348.67, 0.0, 0.0, 311020.5, 98765.43, 0.0, 0.0, 123456.5, 77.77, 5005.05])
+    for more in range(40):
+        own = values + np.where(values > 0, more, 0)
+        errors = arima.fit_series(own, None, (1, 1, 0, 0, 0, 0), 12).errors
+        assert [errors[i - 1] for i in (3, 7, 11)] == [own[i] for i in (3, 7, 11)]
+
+
 def test_one_series_without_keys(spark, series):
     chosen = {n: f for n, f in model_store.families().items() if n in ("trend", "lag_regression")}
     first = model_store.train(series.where("ts < '1970-01-01'"), chosen)

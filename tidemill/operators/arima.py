@@ -273,7 +273,7 @@ def fit_series(values: np.ndarray, x: np.ndarray | None, order: Sequence[int], p
         return SeriesFit({**row, "params": none, "ar": none, "ma": none, "recent": none, "shocks": none, "sigma": None, "aic": None, "bic": None, "status": "short"}, none)
     scale = float(np.std(z)) or 1.0
     params, sse = css_fit(z / scale, layout.mask(p, q, sp, sq)[None, :], layout)
-    errors = css_residuals(z / scale, params, layout)[0] * scale
+    errors = css_residuals(z, params, layout)[0]  # of the values as they are: scaled down and up again they come back an ulp off
     ar, ma = layout.weights(params)
     folded = _folded(ar[0], d, sd, period)
     found = criteria(sse * scale**2, len(z), np.array([layout.size]))
